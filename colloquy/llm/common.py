@@ -64,6 +64,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def share_below(key: Column, share: Column) -> Column:
+    """True for about `share` (0 to 1) of the values of `key`, chosen by their hash: the same ones on every run."""
+    return F.pmod(F.xxhash64(F.lit(2_024), key), F.lit(1_000_000_007)) < share * 1_000_000_007
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a limit."""
 
@@ -97,7 +102,7 @@ def windows(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     n = len(hashes) - offsets[-1]
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.full(n, len(offsets), np.uint64)
+    total = np.full(n, len(offsets) * 1_000_003 + sum(offsets), np.uint64)  # the same words further apart differ
     for step, at in zip(STEPS, offsets, strict=False):
         total = mixed(total + hashes[at : at + n] * np.uint64(step))
     return total

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts
-from .common import read
+from . import language_id, packing, token_counts, toxicity
+from .common import fold, read
 
 
 def _tokenizer(name: str) -> str:
@@ -14,18 +15,46 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: A document is rejected as toxic from this score on.
+TOXIC_FROM = 0.7
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights learned from the labelled rows of `documents` outside the held-out fold."""
+    return toxicity.train(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"), fold(F.col("doc_id"), 3) != 1)
+
+
+def language_dictionaries(spark: SparkSession, sf_dir: str) -> dict[str, list[bytes]]:
+    """Dictionary contents learned from `documents` outside the held-out fold."""
+    return language_id.train(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), fold(F.col("doc_id"), 4) != 2)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    scored = toxicity.score(read(spark, sf_dir, "documents", "doc_id", "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    found = language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text"), language_dictionaries(spark, sf_dir))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
 
