@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, token_counts, toxicity
+from . import language_id, near_dedup, packing, token_counts, toxicity
 from .common import fold, read
 
 
@@ -40,6 +40,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     found = language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text"), language_dictionaries(spark, sf_dir))
@@ -54,8 +59,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_near_dedup": """
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+    from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c
+    from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), edges as (
+    select a, b from links union all select b, a from links
+), reached as (
+    select doc_id, doc_id as other from documents
+    union
+    select r.doc_id, e.b from reached r join edges e on e.a = r.other
+)
+select d.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(r.other) as component_id, d.doc_id = min(r.other) as kept
+from documents d join reached r using (doc_id) left join sizes s using (doc_id)
+group by d.doc_id
+""",
+}
