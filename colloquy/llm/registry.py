@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, token_counts, toxicity
+from . import decontamination, language_id, near_dedup, packing, token_counts, toxicity
 from .common import fold, read
 
 
@@ -45,6 +45,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, substitutions allowed."""
+    found = decontamination.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("n_words").alias("n_words"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     found = language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text"), language_dictionaries(spark, sf_dir))
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_near_dedup": op5_near_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
@@ -90,5 +97,19 @@ with recursive words as (
 select d.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(r.other) as component_id, d.doc_id = min(r.other) as kept
 from documents d join reached r using (doc_id) left join sizes s using (doc_id)
 group by d.doc_id
+""",
+    "op7_decontamination": """
+with items as (
+    select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w <> '') as w from benchmark
+), item_words as (
+    select item_id, len(w) as n_words, unnest(range(len(w))) as at, unnest(w) as word from items where len(w) >= 8
+), doc_words as (
+    select doc_id, unnest(range(len(w))) as at, unnest(w) as word
+    from (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w <> '') as w from documents)
+), laid as (
+    select doc_id, item_id, n_words, d.at - i.at as start, count(*) as matched
+    from doc_words d join item_words i using (word) group by all
+)
+select doc_id, item_id, max(matched) as matched, max(n_words) as n_words from laid where matched * 100 >= n_words * 80 group by doc_id, item_id
 """,
 }
