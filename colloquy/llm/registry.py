@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, token_counts, toxicity
+from . import decontamination, language_id, near_dedup, packing, token_counts, toxicity, vector_search
 from .common import fold, read
 
 
@@ -35,6 +35,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for each whose id is divisible by 100."""
+    return vector_search.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_vector_search": op2_vector_search,
     "op3_token_counts": op3_token_counts,
     "op5_near_dedup": op5_near_dedup,
     "op7_decontamination": op7_decontamination,
@@ -72,6 +78,17 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_vector_search": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), ranked as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score,
+        row_number() over (partition by q.vec_id order by list_inner_product(q.e, c.e) desc, c.vec_id)::integer as rank
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+""",
     "op5_near_dedup": """
 with recursive words as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
