@@ -124,29 +124,48 @@ class Encoder(dict):
 
     White space never joins two words of this tokenizer's pattern, so a text's ids are its words'
     ids one after another. A text with special tokens' strings or with unusual white space is
-    given to the library as a whole.
+    given to the library as a whole. The tokenizer ignores case, and letters never join with the
+    punctuation that follows them, so words are looked up in lower case and without it first. When
+    the memory is full it becomes the older generation, from which words in use come back.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 300_000):
+    #: Marks that may trail a word.
+    MARKS = ".,;:!?#&%$*|)]}\""
+
+    def __init__(self, tokenizer_json: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.limit = limit
+        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
         self.library.no_padding()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.whole(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self._parts(word)
+        self[word] = value
         return value
 
+    def _parts(self, word: str) -> bytes:
+        core = word.rstrip(self.MARKS)
+        if core != word and core and core[-1].isalpha():
+            return self[core] + self[word[len(core) :]]
+        if word.isascii() and (low := word.lower()) != word:
+            return self[low]
+        return self.whole(word)
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f\x85᠎"):
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f\x85\u180e"):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
