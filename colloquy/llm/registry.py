@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, near_dedup, packing, token_counts, toxicity, vector_search
+from . import chat_format, decontamination, html_text, language_id, near_dedup, packing, token_counts, toxicity, vector_search
 from .common import fold, read
 
 
@@ -45,6 +45,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
@@ -79,6 +84,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_vector_search": op2_vector_search,
     "op3_token_counts": op3_token_counts,
+    "op4_html_text": op4_html_text,
     "op5_near_dedup": op5_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
