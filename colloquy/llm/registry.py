@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_text, language_id, near_dedup, packing, token_counts, toxicity, vector_search
+from . import chat_format, decontamination, html_text, language_id, lm_scoring, near_dedup, packing, token_counts, toxicity, vector_search
 from .common import fold, read
 
 
@@ -55,6 +55,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a model of those outside the held-out fold."""
+    return lm_scoring.score(read(spark, sf_dir, "documents", "doc_id", "text"), fold(F.col("doc_id"), 5) == 1)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, substitutions allowed."""
     found = decontamination.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_html_text": op4_html_text,
     "op5_near_dedup": op5_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
