@@ -83,7 +83,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty) and sketch of each row."""
+    """doc_id, text_hash, n_shingles, node (digest of the set, null if empty) and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -95,11 +95,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 nodes.append(_node(found))
                 sketches.append(found[:SKETCH].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "node", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, sketch array<long>")
 
 
 def _node(found: np.ndarray) -> int | None:
@@ -196,11 +196,11 @@ def _prefix(size: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and node (equal for equal sets) of each row of doc_id, text."""
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) of each row of doc_id, text."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(_sketch(docs))
+    sketched = written(_sketch(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))))
     classes = written(
         sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     )
@@ -246,6 +246,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = ids.join(least, "comp").select("node", "component_id")
     of_class = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    full = sketched.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
+    full = sketched.select("doc_id", "text_hash", "n_shingles", "node").join(of_class, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+    return full.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` without near-duplicates: of each component the row with the smallest id stays, once."""
+    found = written(near_duplicates(docs))
+    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct()
+    twice = found.where("kept").groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_hash"))
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    left = docs.join(lost, same, "left_anti")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, same, "left_semi").withColumn("text_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_")
+    return left.join(twice, same, "left_anti").unionByName(again)

@@ -9,7 +9,8 @@ from . import chat_format, decontamination, html_text, language_id, lm_scoring,
 from .common import fold, read
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -42,7 +43,7 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
-    return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+    return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
-    return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {
