@@ -1,22 +1,55 @@
-"""The corpus pipeline: stages applied to `documents` one after another, each on all its predecessor kept."""
+"""The corpus pipeline: stages applied to `documents` one after another, each on all its predecessor kept.
+
+Every stage but the last returns the columns of the documents it was given; its rejections take
+effect. Models are learned from the whole tables of the directory, never from a stage's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import packing
+from colloquy.llm import decontamination, language_id, near_dedup, packing, toxicity
 from colloquy.llm.common import read, written
-from colloquy.llm.registry import _tokenizer
+from colloquy.llm.registry import TOXIC_FROM, language_dictionaries, tokenizer, toxicity_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below the threshold."""
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language was told with a sufficient margin."""
+    found = language_id.identify(docs, language_dictionaries(spark, sf_dir))
+    return found.where(~F.col("lang_rejected")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each component of near-duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_leaks(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that remain, in sequences of at most 2048 tokens."""
-    return packing.pack(docs, _tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
-#: No stage is expressible in SQL as a whole; the tests hold each against a brute-force version.
+#: Learned models and tokenization can't be said in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
