@@ -1 +1 @@
-"""Part of colloquy; see the README for the layout."""
+"""Shared plans: posts with their scores, and the oracle's equivalent."""

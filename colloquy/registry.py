@@ -1,6 +1,9 @@
-"""Queries of the engine and the DuckDB SQL that gives the same rows."""
+"""All queries of the engine and the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .catalog import ORACLES, QUERIES
+from .operators import audit, bias, cities, correlation, insights, posts, retention, story, vectors  # noqa: F401  they register themselves
+from .streaming import queries as streams  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
