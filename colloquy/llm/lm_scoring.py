@@ -232,6 +232,19 @@ def count_histories(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "history long, class int, n long").groupBy("history", "class").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame) -> Column:
+    """Holds for the most frequent words, HEAD of them at most: all above a count that a histogram of
+    logarithmic counts (some hundred rows) gives."""
+    step = F.floor(F.log2("c") * 32)
+    left, least = HEAD, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["step"]
+    return F.lit(False) if least is None else step >= least
+
+
 def _hash(word: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64))
 
@@ -272,9 +285,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     counts = written(count_words(training))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    frequent = _frequent(counts)
+    top = counts.where(frequent).toPandas()
     head = dict(zip(map(bytes, top["word"]), top["c"].tolist(), strict=True))
-    fitted = [w for w in list(head)[: FITTED_WORDS + 1] if w != END]
+    fitted = [w for w in sorted(head, key=lambda w: (-head[w], w))[: FITTED_WORDS + 1] if w != END]
     centroids = fit_centroids(fitted, np.array([head[w] for w in fitted], np.float64))
     given = spark.sparkContext.broadcast(centroids)
 
@@ -313,9 +327,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def hashes(words: pd.Series) -> pd.Series:
         return words.map(lambda w: _hash(bytes(w))).astype("int64")
 
-    # words of the head can't be rare, so only the others' counts are needed
-    least = int(top["c"].iloc[-1]) if len(top) >= HEAD else 0
-    tail = counts.where((F.col("c") <= least) | F.lit(least == 0)).select(hashes("word").alias("word"), "c").groupBy("word").agg(F.max("c").alias("c"))
+    tail = counts.where(~frequent).select(hashes("word").alias("word"), "c").groupBy("word").agg(F.max("c").alias("c"))
     wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = wanted.join(tail, "word", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("times")).alias("rare_sums"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known")
