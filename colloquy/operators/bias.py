@@ -35,9 +35,8 @@ def _assessed(df: DataFrame, kind: str, field: str, metric: str, threshold: floa
 def concentration(rows: DataFrame, field: str, threshold: float, kind: str) -> DataFrame:
     """Share of the most frequent value of `field` (ties to the first in the alphabet); 0 and 'none' without rows."""
     n = rows.where(F.col(field).isNotNull() & (F.col(field) != "")).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))
-    top = n.agg(F.max_by(F.col("value"), F.struct(F.col("n"), F.lit(0))).alias("any_top"), F.max("n").alias("top"), F.sum("n").alias("all"))
-    first = n.agg(F.min(F.struct((-F.col("n")).alias("k"), "value")).alias("m"))
-    one = top.crossJoin(first).select(F.coalesce(F.col("m.value"), F.lit("none")).alias("group_value"), values.ratio(F.col("top"), F.col("all")).alias("metric_value"))
+    one = n.agg(F.min(F.struct((-F.col("n")).alias("k"), "value")).alias("m"), F.max("n").alias("top"), F.sum("n").alias("all"))
+    one = one.select(F.coalesce(F.col("m.value"), F.lit("none")).alias("group_value"), values.ratio(F.col("top"), F.col("all")).alias("metric_value"))
     critical = F.when(F.col("metric_value") > model.LOCATION_CRITICAL, "critical").otherwise("warning")
     return _assessed(one, kind, field, "max_share", threshold, critical)
 

@@ -16,7 +16,7 @@ from ..functions.text import with_relevance
 from ..sources.tables import embeddings, posts
 
 DIMENSION = 64
-#: Query vectors broadcast at most; a larger set is joined by blocks instead.
+#: Query vectors broadcast at most; a larger set meets the vectors in blocks of this size.
 BROADCAST_VECTORS = 10_000
 
 
@@ -78,9 +78,15 @@ def nearest(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         length = F.sqrt(values.dot(F.col("embedding"), F.col("embedding")))
         return df.withColumn("unit", F.transform("embedding", lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0)))
 
+    blocks = -(-asked.count() // BROADCAST_VECTORS)
     q = unit(asked).select(F.col("post_id").alias("query_id"), F.col("unit").alias("q"))
-    q = F.broadcast(q) if q.count() <= BROADCAST_VECTORS else q
-    pairs = unit(vectors).join(q, F.col("post_id") != F.col("query_id")).select("query_id", "post_id", values.dot(F.col("q"), F.col("unit")).alias("similarity"))
+    if blocks <= 1:
+        pairs = unit(vectors).join(F.broadcast(q), F.col("post_id") != F.col("query_id"))
+    else:
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        each = unit(vectors).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = each.join(q, (each["block"] == q["block"]) & (F.col("post_id") != F.col("query_id")))
+    pairs = pairs.select("query_id", "post_id", values.dot(F.col("q"), F.col("unit")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "post_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -179,6 +179,15 @@ def test_vectors(spark):
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and sum(got[2]) == 0
 
 
+def test_nearest_in_blocks_equals_one_broadcast(spark, monkeypatch):
+    rows = [(i, [float((i * 7) % 5 - 2), float((i * 3) % 7 - 3), 1.0]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "post_id long, embedding array<float>")
+    whole = sorted(map(tuple, vectors.nearest(df.where("post_id < 9"), df, 3).select("query_id", "rank", "post_id").collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_VECTORS", 4)
+    assert whole == sorted(map(tuple, vectors.nearest(df.where("post_id < 9"), df, 3).select("query_id", "rank", "post_id").collect()))
+    assert len(whole) == 27
+
+
 def test_ingest_twice_adds_nothing(spark):
     key = "source_name string, external_id string, n int"
     batch = spark.createDataFrame([("s", "1", 1), ("s", "1", 1), ("s", "2", 2)], key)
