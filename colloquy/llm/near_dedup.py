@@ -11,9 +11,9 @@
    The sketch of the union estimates each pair's similarity, clear misses go, and the rest is
    verified on full sets. The links give components.
 4. What then remains are long lists that still hold several components. They are cut into blocks of
-   bounded total size, and each pair of blocks compares its classes of different components: best
-   overlap first, verified on full sets, skipping what a verified link has joined meanwhile. So no
-   link is lost, and a group of m near copies yields some m links, not m^2 pairs.
+   bounded total size, and each pair of blocks compares its classes of different components, verified
+   on full sets; a pair counts in the list of its smallest common value only. A link is given unless
+   those before it join its ends, so none is lost, and m near copies give some m links, not m^2.
 
 Components are found by min-label propagation with pointer jumping, as DataFrames throughout.
 
@@ -39,8 +39,8 @@ from .common import WordHashes, small_batches, windows, words_of, written
 SKETCH, NEEDED, EXACT_BELOW = 40, 19, 34
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Lists up to this length give all pairs. Shingles of a block of a longer list, about.
-SHORT, BLOCK_SHINGLES = 8, 150_000
+#: Lists up to this length give all pairs. Shingles and classes of a block of a longer list, about.
+SHORT, BLOCK_SHINGLES, BLOCK_CLASSES = 8, 150_000, 800
 #: Pairs whose union sketch puts them below this are not verified.
 ESTIMATE_FLOOR = 0.5
 #: Ids broadcast at most when full sets are fetched (8 bytes each); beyond that, the join shuffles.
@@ -141,24 +141,27 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between components within one pair of blocks; columns node, comp, side, members."""
+def _across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between components within one pair of blocks of the list key[0]; columns node, comp, side, own, members.
+
+    A pair counts in the list of its smallest common value only, so no other list repeats the work.
+    Overlaps of full sets are exact and found for a class and all its partners at once.
+    """
     frame = frame.drop_duplicates("node").reset_index(drop=True)
     sets = [np.frombuffer(x, np.uint64) for x in frame["members"]]
     sizes = np.array([len(s) for s in sets])
     nodes, comps, side = frame["node"].to_numpy(), frame["comp"].to_numpy(), frame["side"].to_numpy()
-    heads = [s[:SKETCH] for s in sets]
-    values, column = np.unique(np.concatenate(heads), return_inverse=True)
-    grid = np.zeros((len(sets), len(values)), np.float32)
-    grid[np.repeat(np.arange(len(sets)), [len(h) for h in heads]), column] = 1
-    common = grid @ grid.T
+    common = _shared([s[:SKETCH] for s in sets])
     least = np.array([needed(int(n)) for n in sizes])
     possible = (common >= np.minimum.outer(least, least)) & (comps[:, None] != comps[None, :])
     possible &= 100 * np.minimum.outer(sizes, sizes) >= PERCENT * np.maximum.outer(sizes, sizes)
+    possible &= _shared([(v := np.asarray(x, np.int64))[v < key[0]] for x in frame["own"]]) == 0
     if (side != side[0]).any():
         possible &= side[:, None] != side[None, :]
-    left, right = np.nonzero(np.triu(possible, 1))
-    order = np.argsort(-common[left, right], kind="stable")
+    possible = np.triu(possible, 1)
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flag = np.zeros(member.max(initial=0) + 1, np.int64)
     root = {c: c for c in comps}
 
     def find(c: int) -> int:
@@ -167,14 +170,27 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
         return c
 
     links = []
-    for i, j in zip(left[order], right[order], strict=True):
-        p, q = find(comps[i]), find(comps[j])
-        if p != q and union_estimate(sets[i], sets[j]) >= ESTIMATE_FLOOR and linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-            root[max(p, q)] = min(p, q)
-            links.append((nodes[i], nodes[j]))
+    for i in np.flatnonzero(possible.any(1)):
+        own = member[starts[i] : starts[i] + sizes[i]]
+        flag[own] = 1
+        both = np.add.reduceat(flag[member], starts)
+        flag[own] = 0
+        for j in np.flatnonzero(possible[i] & (100 * both >= PERCENT * (sizes[i] + sizes - both))):
+            p, q = find(comps[i]), find(comps[j])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((nodes[i], nodes[j]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _shared(values: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the rows have in common."""
+    every, column = np.unique(np.concatenate(values), return_inverse=True)
+    grid = np.zeros((len(values), max(1, len(every))), np.float32)
+    grid[np.repeat(np.arange(len(values)), [len(v) for v in values]), column] = 1
+    return grid @ grid.T
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and comp (the smallest node reachable) for every node of the links (a, b)."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
@@ -209,10 +225,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequent = retained.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = retained.join(frequent, "value").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own"))
     searched = F.greatest(F.lit(0), _prefix(F.col("size")) - (F.least("size", F.lit(SKETCH)) - F.size("own"))).cast("int")
-    lists = written(shared.select("node", "size", F.explode(F.slice("own", 1, searched)).alias("x")).select("node", "size", F.col("x.value").alias("value")))
+    postings = written(shared.select("node", "size", F.transform(F.slice("own", 1, searched), lambda x: x["value"]).alias("own")).where(F.size("own") > 0))
+    lists = postings.select("node", "size", F.explode("own").alias("value"))
 
     heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min("node").alias("head")).where("m > 1")
-    left = lists.join(heads, "value")
+    left = written(lists.join(heads, "value"))
     from_long = left.where((F.col("m") > SHORT) & (F.col("node") != F.col("head"))).select(F.col("head").alias("a"), F.col("node").alias("b"))
     few = left.where(F.col("m") <= SHORT).groupBy("value").agg(F.array_sort(F.collect_list("node")).alias("own"))
     from_short = few.select(F.posexplode("own").alias("i", "a"), "own").select("a", F.explode(F.expr("slice(own, i + 2, size(own))")).alias("b"))
@@ -233,11 +250,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     long = left.where(F.col("m") > SHORT).join(found, "node", "left").select("value", "node", "size", F.coalesce("comp", "node").alias("comp"))
     # lists of the same classes need one look; of one component, none
     alike = long.groupBy("value").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members_hash"), F.count("*").alias("m"), F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    chosen = alike.where("low <> high").groupBy("members_hash", "m", "total").agg(F.min("value").alias("value"))
-    blocked = long.join(chosen, "value").withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
+    chosen = alike.where("low <> high").groupBy("members_hash", "m", "total").agg(F.min("value").alias("value")).select("value", "m", "total")
+    blocked = long.join(chosen, "value").withColumn("blocks", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_CLASSES)).cast("int"))
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     both = blocked.select("value", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = both.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "comp").join(sets, "node")
+    tasks = both.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "comp").join(sets.join(postings.select("node", "own"), "node"), "node")
     more = written(tasks.groupBy("value", "i", "j").applyInPandas(_across, "a long, b long"))
     if not more.isEmpty():
         found = components(links.union(more))
