@@ -75,8 +75,9 @@ def hits(low: Column, markers: list[str]) -> Column:
 def with_relevance(df: DataFrame, keywords: list[str] | None = None, weight: float | None = None, above: float = 0.0, text: str = "content") -> DataFrame:
     """Adds relevance (0 to 1), matched_keywords and is_relevant (relevance > `above`); each match weighs 1/keywords unless told otherwise."""
     keywords = keywords or model.RELEVANCE_KEYWORDS
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = df.withColumn("matched_keywords", contained(low, keywords))
+    # a column of its own: inside conditions the lower-casing would be repeated for each keyword
+    found = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    found = found.withColumn("matched_keywords", contained(F.col("_low"), keywords)).drop("_low")
     n = F.size("matched_keywords")
     share = n / F.lit(len(keywords)) if weight is None else n * F.lit(weight)
     return found.withColumn("relevance", F.least(share.cast("double"), F.lit(1.0))).withColumn("is_relevant", F.col("relevance") > above)
@@ -84,21 +85,22 @@ def with_relevance(df: DataFrame, keywords: list[str] | None = None, weight: flo
 
 def with_dqi(df: DataFrame, weights: dict[str, float] | None = None, text: str = "content") -> DataFrame:
     """Adds the five dimensions of deliberative quality and dqi_total, their (weighted) mean; blank text scores 0 throughout."""
-    bare = trimmed(F.col(text))
-    low = F.lower(bare)
-    words = word_count(F.col(text))
+    low = F.col("_low")
+    found = df.withColumn("_low", F.lower(trimmed(F.col(text)))).withColumn("_words", word_count(F.col(text)))
+    markers = {"_reasons": model.JUSTIFICATION_MARKERS, "_hostile": model.HOSTILE_MARKERS, "_proposals": model.CONSTRUCTIVE_MARKERS, "_sources": model.EVIDENCE_MARKERS}
+    found = found.withColumns({name: hits(low, own) for name, own in markers.items()})  # each text is searched once for each marker
 
     def steps(count: Column, full: int) -> Column:
         return F.when(count >= full, 1.0).when(count >= 1, 0.5).otherwise(0.0)
 
     scores = {
-        "participation": F.when(words >= model.WORDS_FULL, 1.0).when(words >= model.WORDS_PARTIAL, 0.5).otherwise(0.0),
-        "justification": steps(hits(low, model.JUSTIFICATION_MARKERS), 2),
-        "respectfulness": F.greatest(F.lit(0.0), F.lit(1.0).cast("double") - hits(low, model.HOSTILE_MARKERS) * F.lit(0.25)),
-        "constructiveness": steps(hits(low, model.CONSTRUCTIVE_MARKERS), 3),
-        "evidence": steps(hits(low, model.EVIDENCE_MARKERS), 2),
+        "participation": F.when(F.col("_words") >= model.WORDS_FULL, 1.0).when(F.col("_words") >= model.WORDS_PARTIAL, 0.5).otherwise(0.0),
+        "justification": steps(F.col("_reasons"), 2),
+        "respectfulness": F.when(F.col("_words") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_hostile") * F.lit(0.25))),
+        "constructiveness": steps(F.col("_proposals"), 3),
+        "evidence": steps(F.col("_sources"), 2),
     }
-    found = df.withColumns({name: F.when(bare == "", F.lit(0.0)).otherwise(score).cast("double") for name, score in scores.items()})
+    found = found.withColumns({name: score.cast("double") for name, score in scores.items()}).drop("_low", "_words", *markers)
     weights = weights or dict.fromkeys(model.DIMENSIONS, 1 / len(model.DIMENSIONS))
     if len(set(weights.values())) == 1:
         total = (F.col("participation") + F.col("justification") + F.col("respectfulness") + F.col("constructiveness") + F.col("evidence")) / len(model.DIMENSIONS)
