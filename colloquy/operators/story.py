@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..catalog import query
 from ..functions import values
+from ..sources.shared import checkpointed
 from .insights import best, breakdown, cells, cities, ribbon, totals, widest_divide
 
 
@@ -59,7 +60,7 @@ def story(spark: SparkSession, sf_dir: str) -> DataFrame:
     """beat, token and value of the cards that the data supports; names are escaped, numbers formatted."""
     rows, found = cities(spark, sf_dir), cells(spark, sf_dir)
     # a row for each city and source; every card folds these, so they are computed once
-    rows, found = rows.checkpoint(), found.checkpoint()
+    rows, found = checkpointed(rows), checkpointed(found)
 
     def card(beat: str, df: DataFrame, **tokens) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(t).alias("token"), v.alias("value")) for t, v in tokens.items()])

@@ -7,7 +7,6 @@ append mode withholds the last windows behind the watermark.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +16,14 @@ from .. import model
 from ..catalog import query
 from ..functions.text import indicator
 from ..operators.correlation import gated
+from ..sources.shared import shared_base
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def shared(spark: SparkSession) -> str:
     """A new folder that driver and executors see; below spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
