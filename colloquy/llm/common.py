@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_base
+
 #: Rows of whole documents handed to Python at once; texts may be long.
 ARROW_ROWS = 500
 
@@ -33,11 +34,7 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="colloquy-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
+    folder = f"{shared_base(spark)}/colloquy-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, folder)
     return folder
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 #: Words under a mask, as offsets from its start.
 MASKS = ((0, 1, 3, 4), (0, 1, 3, 6))
 #: Words of an item at least; hundredths of them that must agree.
@@ -63,7 +65,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_seeds = item_seeds.count()
     places = _hashed(docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))).select("doc_id", "text_hash", "hashes")
     places = places.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes")).alias("at", "seed"))
-    hits = places.join(_small(item_seeds, n_seeds), "seed").select("doc_id", "text_hash", "item_id", (F.pmod("at", "n") - F.col("item_at")).alias("offset")).distinct().checkpoint()
+    hits = checkpointed(places.join(_small(item_seeds, n_seeds), "seed").select("doc_id", "text_hash", "item_id", (F.pmod("at", "n") - F.col("item_at")).alias("offset")).distinct())
 
     found = _small(hits, hits.count()).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
@@ -77,6 +79,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct().checkpoint()
+    bad = checkpointed(leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
     bad = _small(bad, bad.count())
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")

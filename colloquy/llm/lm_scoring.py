@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .common import small_batches, words_of, written
 
 CLASSES, BUCKETS, HEAD = 32, 1 << 13, 120_000
@@ -163,7 +164,7 @@ def fit_softmax(counted: DataFrame, tokens: int) -> np.ndarray:
     weights = np.zeros((BUCKETS, CLASSES))
     if not tokens:
         return weights.astype(np.float32)
-    shares = counted.repartition(8, "history").checkpoint()
+    shares = checkpointed(counted.repartition(8, "history"))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, STEPS + 1):
         shared = spark.sparkContext.broadcast(weights)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .common import WordHashes, small_batches, windows, words_of, written
 
 #: Values a sketch retains; those that two linked sketches of full length share at least; from this
@@ -193,13 +194,13 @@ def _shared(values: list[np.ndarray]) -> np.ndarray:
 
 def components(links: DataFrame) -> DataFrame:
     """node and comp (the smallest node reachable) for every node of the links (a, b)."""
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")).checkpoint()
+    edges = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
     while True:
         low = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         near = labels.join(low, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         jump = near.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp")
-        moved = jump.select("node", "was", F.least("comp", "next").alias("comp")).checkpoint()
+        moved = checkpointed(jump.select("node", "was", F.least("comp", "next").alias("comp")))
         labels = moved.select("node", "comp")
         if moved.where("comp <> was").isEmpty():
             return labels

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 #: Vectors of a chunk, queries of a block, norm buckets.
 CHUNK, BLOCK, BUCKETS = 16_384, 4_096, 8
 #: From this cosine on, coordinates prune better than lengths; so many coordinates are tried.
@@ -99,7 +101,7 @@ def best_of_chunk(queries: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.Data
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score: the k best other rows for each row for which `is_query` holds."""
     base = _usable(vectors, scale).withColumn("norm", _norm()).withColumn("dim", F.size("v")).withColumn("row", F.xxhash64("vec_id", F.monotonically_increasing_id()))
-    base = base.checkpoint()
+    base = checkpointed(base)
     counted = base.groupBy("dim").agg(F.count("*").alias("n"), F.percentile_approx("norm", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"), F.count_if(is_query).alias("q"))
     sizes = counted.where("q > 0").collect()  # a row for each dimension
     parts = []
