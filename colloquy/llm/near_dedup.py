@@ -4,7 +4,7 @@
    sketch. Documents with equal sets (a 64-bit digest of the whole set) form one class, and only
    classes go on: exact copies cost one aggregation.
 2. Inverted lists of retained values generate candidates. Two sets that reach the threshold share at
-   least `needed` sketch values (certain for small sets, short of it with a chance below 1e-8 for
+   least `needed` sketch values (certain for small sets, short of it with a chance below `MISSED` for
    larger ones), so each class enters only the lists of its rarest values, and values that one class
    alone retains make no list at all.
 3. Lists of up to `SHORT` classes give all their pairs, longer ones the pairs with their first class.
@@ -25,6 +25,8 @@ texts are. A null id is never a component's id unless all its ids are null. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -35,15 +37,12 @@ from pyspark.sql import functions as F
 from ..sources.shared import checkpointed
 from .common import WordHashes, small_batches, windows, words_of, written
 
-#: Values a sketch retains; those that two linked sketches of full length share at least; from this
-#: size on, sets may meet partners whose sketch is cut short.
-SKETCH, NEEDED, EXACT_BELOW = 40, 19, 34
-#: Link if 100 * intersection >= PERCENT * union.
+#: Values a sketch retains; the chance allowed that two linked sketches of full length share fewer than `least_shared`.
+SKETCH, MISSED = 40, 1e-8
+#: Link if 100 * intersection >= percent * union; what op5_near_dedup takes.
 PERCENT = 85
 #: Lists up to this length give all pairs. Shingles and classes of a block of a longer list, about.
 SHORT, BLOCK_SHINGLES, BLOCK_CLASSES = 8, 150_000, 800
-#: Pairs whose union sketch puts them below this are not verified.
-ESTIMATE_FLOOR = 0.5
 #: Ids broadcast at most when full sets are fetched (8 bytes each); beyond that, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -56,13 +55,30 @@ def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.unique(windows(own, tuple(range(min(5, len(words))))))
 
 
-def linked(common: int, a: int, b: int) -> bool:
-    return 100 * common >= PERCENT * (a + b - common)
+@cache
+def least_shared(percent: int) -> int:
+    """Sketch values that two linked sketches of full length share at least, but for a chance below `MISSED`.
 
+    Each of the `SKETCH` smallest values of the union is common with a chance of `percent` or more.
+    """
+    p, below, n = percent / 100, 0.0, 0
+    while (below := below + comb(SKETCH, n) * p**n * (1 - p) ** (SKETCH - n)) < MISSED:
+        n += 1
+    return n
+
+
+def exact_below(percent: int) -> int:
+    """From this size on, sets may meet partners whose sketch is cut short."""
+    return SKETCH * percent // 100
+
+
+def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
+    return 100 * common >= percent * (a + b - common)
 
-def needed(size: int) -> int:
+
+def needed(size: int, percent: int = PERCENT) -> int:
     """Sketch values shared at least with any set that a set of this size links with."""
-    return -(-PERCENT * size // 100) if size < EXACT_BELOW else NEEDED
+    return -(-percent * size // 100) if size < exact_below(percent) else least_shared(percent)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -128,21 +144,22 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, members binary")
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, left_set, right_set) that link."""
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, left_set, right_set) that link; those whose union sketch has too few common values are not verified."""
+    floor = least_shared(percent) / SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-                keep.append(100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)) and union_estimate(a, b) >= ESTIMATE_FLOOR and linked(overlap(a, b), len(a), len(b)))
+                keep.append(100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and union_estimate(a, b) >= floor and linked(overlap(a, b), len(a), len(b), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _across(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between components within one pair of blocks of the list key[0]; columns node, comp, side, own, members.
 
     A pair counts in the list of its smallest common value only, so no other list repeats the work.
@@ -153,9 +170,9 @@ def _across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     sizes = np.array([len(s) for s in sets])
     nodes, comps, side = frame["node"].to_numpy(), frame["comp"].to_numpy(), frame["side"].to_numpy()
     common = _shared([s[:SKETCH] for s in sets])
-    least = np.array([needed(int(n)) for n in sizes])
+    least = np.array([needed(int(n), percent) for n in sizes])
     possible = (common >= np.minimum.outer(least, least)) & (comps[:, None] != comps[None, :])
-    possible &= 100 * np.minimum.outer(sizes, sizes) >= PERCENT * np.maximum.outer(sizes, sizes)
+    possible &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
     possible &= _shared([(v := np.asarray(x, np.int64))[v < key[0]] for x in frame["own"]]) == 0
     if (side != side[0]).any():
         possible &= side[:, None] != side[None, :]
@@ -176,7 +193,7 @@ def _across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         flag[own] = 1
         both = np.add.reduceat(flag[member], starts)
         flag[own] = 0
-        for j in np.flatnonzero(possible[i] & (100 * both >= PERCENT * (sizes[i] + sizes - both))):
+        for j in np.flatnonzero(possible[i] & (100 * both >= percent * (sizes[i] + sizes - both))):
             p, q = find(comps[i]), find(comps[j])
             if p != q:
                 root[max(p, q)] = min(p, q)
@@ -206,14 +223,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _prefix(size: Column) -> Column:
+def _prefix(size: Column, percent: int) -> Column:
     """How many of a sketch's rarest values must be searched."""
-    least = F.when(size < EXACT_BELOW, F.ceil(size * PERCENT / 100)).otherwise(NEEDED)
+    least = F.when(size < exact_below(percent), F.ceil(size * percent / 100)).otherwise(least_shared(percent))
     return F.least(size, F.lit(SKETCH)) - least + 1
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) of each row of doc_id, text."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) of each row of doc_id, text.
+
+    Sets link from a Jaccard similarity of `percent` in the hundred on.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -225,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     retained = classes.select("node", "size", F.explode("sketch").alias("value"))
     frequent = retained.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = retained.join(frequent, "value").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own"))
-    searched = F.greatest(F.lit(0), _prefix(F.col("size")) - (F.least("size", F.lit(SKETCH)) - F.size("own"))).cast("int")
+    searched = F.greatest(F.lit(0), _prefix(F.col("size"), percent) - (F.least("size", F.lit(SKETCH)) - F.size("own"))).cast("int")
     postings = written(shared.select("node", "size", F.transform(F.slice("own", 1, searched), lambda x: x["value"]).alias("own")).where(F.size("own") > 0))
     lists = postings.select("node", "size", F.explode("own").alias("value"))
 
@@ -245,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left_set")), "a")
     sided = sided.join(sets.select(F.col("node").alias("b"), F.col("members").alias("right_set")), "b")
-    links = written(_verified(sided.select("a", "b", "left_set", "right_set")))
+    links = written(_verified(sided.select("a", "b", "left_set", "right_set"), percent))
     found = components(links)
 
     long = left.where(F.col("m") > SHORT).join(found, "node", "left").select("value", "node", "size", F.coalesce("comp", "node").alias("comp"))
@@ -256,7 +276,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     both = blocked.select("value", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = both.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "comp").join(sets.join(postings.select("node", "own"), "node"), "node")
-    more = written(tasks.groupBy("value", "i", "j").applyInPandas(_across, "a long, b long"))
+
+    def across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return _across(key, frame, percent)
+
+    more = written(tasks.groupBy("value", "i", "j").applyInPandas(across, "a long, b long"))
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -269,9 +293,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` without near-duplicates: of each component the row with the smallest id stays, once."""
-    found = written(near_duplicates(docs))
+    found = written(near_duplicates(docs, percent))
     lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct()
     twice = found.where("kept").groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_hash"))

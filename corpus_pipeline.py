@@ -26,9 +26,13 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.where(~F.col("lang_rejected")).select(*docs.columns)
 
 
+#: Documents of this similarity in the hundred or more are near-duplicates; op5_near_dedup has a contract of its own.
+NEAR_PERCENT = 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of near-duplicates."""
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
