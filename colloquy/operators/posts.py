@@ -245,11 +245,11 @@ def themes_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ingest ---
 
 
-def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw payloads as they might arrive, derived from the documents."""
+def payloads(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
+    """Raw payloads as they might arrive, derived from the whole documents, or from `length` characters of each."""
     d = F.col("doc_id")
     head = F.concat(F.lit("  Title  "), d.cast("string"), F.lit("\n"))
-    body = F.left("text", F.lit(200))
+    body = F.col("text") if length is None else F.left("text", F.lit(length))
     return table(spark, sf_dir, "documents").select(
         d.alias("post_id"),
         F.when(d % 3 == 0, "reddit").otherwise("rss").alias("source_type"),
@@ -289,6 +289,13 @@ _RAW = """raw as (
 
 @query("normalise_posts", f"select * from (with {_RAW} select post_id, source_type, content, sha256(content) as content_hash, external_id from raw)")
 def normalise_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL says, of the first 200 characters of each text; normalise_posts_whole takes them all."""
+    return normalised(payloads(spark, sf_dir, 200)).drop("payload")
+
+
+@query("normalise_posts_whole", f"select * from (with {_RAW.replace('left(text, 200)', 'text')} select post_id, source_type, content, sha256(content) as content_hash, external_id from raw)")
+def normalise_posts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, normalised and hashed."""
     return normalised(payloads(spark, sf_dir)).drop("payload")
 
 
