@@ -67,6 +67,11 @@ def trail(scored: DataFrame, post_id: int, key: str | None) -> DataFrame:
     return shown.drop("input_hash")
 
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each post's decisions as one JSON array."""
+    return rows.groupBy("post_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("decision_type", "output")))).alias("decisions"))
+
+
 def _hmac_constant() -> str:
     """The keyed hash in SQL, with the padded keys as literals."""
     raw = KEY.encode().ljust(64, b"\0")
@@ -81,9 +86,13 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("audit_trail_json", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit where post_id < 20 group by post_id)")
 def audit_trail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each post's decisions as one JSON array."""
-    rows = audited(scored_posts(spark, sf_dir).where("post_id < 20"))
-    return rows.groupBy("post_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("decision_type", "output")))).alias("decisions"))
+    """Decisions on the first twenty posts, as its SQL says; audit_trail_json_all gives those on every post."""
+    return as_json(audited(scored_posts(spark, sf_dir).where("post_id < 20")))
+
+
+@query("audit_trail_json_all", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit group by post_id)")
+def audit_trail_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json(audited(scored_posts(spark, sf_dir)))
 
 
 @query("valid_uuid_flags", "select post_id, post_id % 3 <> 2 as valid from posts")

@@ -21,3 +21,8 @@ def test_long_texts_with_equal_openings_are_told_apart(spark, made):
     assert found[1].content == "word " * 60 + "end 1" and found[4].content == "word " * 60 + "end 0"
     assert found[1].content_hash != found[4].content_hash and found[1].content_hash == found[7].content_hash
     assert all("end" in r.payload for r in posts.payloads(spark, made).where("post_id % 3 > 0").collect())
+
+
+def test_every_post_has_its_decisions(spark, made):
+    found = QUERIES["audit_trail_json_all"](spark, made).collect()
+    assert sorted(r.post_id for r in found) == list(range(60)) and all(r.decisions.count("decision_type") == 3 for r in found)
