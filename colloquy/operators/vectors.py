@@ -102,6 +102,17 @@ def similar_posts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(all_.where("post_id < 10"), all_, 5).select("query_id", "rank", "post_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "similar_posts_topk_hundredths",
+    "select query_id, rank, post_id, similarity from (select q.vec_id as query_id, v.vec_id as post_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as similarity, "
+    "row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) desc, v.vec_id)::integer as rank from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) where rank <= 5",
+)
+def similar_posts_topk_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five neighbours of every post whose id is divisible by 100."""
+    all_ = embeddings(spark, sf_dir)
+    return nearest(all_.where("post_id % 100 = 0"), all_, 5).select("query_id", "rank", "post_id", F.round("similarity", 6).alias("similarity"))
+
+
 def novelty(vectors: DataFrame) -> DataFrame:
     """Cosine distance from the label's centroid: over 0.4 is novel, under 0.15 an echo."""
     parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))

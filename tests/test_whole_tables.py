@@ -26,3 +26,8 @@ def test_long_texts_with_equal_openings_are_told_apart(spark, made):
 def test_every_post_has_its_decisions(spark, made):
     found = QUERIES["audit_trail_json_all"](spark, made).collect()
     assert sorted(r.post_id for r in found) == list(range(60)) and all(r.decisions.count("decision_type") == 3 for r in found)
+
+
+def test_every_hundredth_post_asks(spark, made):
+    found = QUERIES["similar_posts_topk_hundredths"](spark, made).collect()
+    assert sorted((r.query_id, r.rank) for r in found) == [(q, k) for q in range(0, 501, 100) for k in range(1, 6)]
