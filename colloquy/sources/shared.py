@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset, as in tests, a temporary folder takes its place."""
+    """spark.checkpoint.dir of the session. Only where it is unset on a local master, as in tests, a temporary
+    folder takes its place; on a cluster a machine's own folder would lose files, so that is an error."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and context._jsc.sc().getCheckpointDir().isEmpty() and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         base = base or tempfile.mkdtemp(prefix="colloquy-shared-")
         context.setCheckpointDir(base)
