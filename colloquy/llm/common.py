@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_base
 
-#: Rows of whole documents handed to Python at once; texts may be long.
-ARROW_ROWS = 500
+#: Rows and bytes of whole documents handed to Python at once, whichever is reached first; texts may be long.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -23,8 +27,40 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of texts holds in a Python worker."""
+    """Bounds what one Arrow batch of texts holds in a Python worker. All operators set the same values, so their order does not matter."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def freeing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`run` with its memory given back to the system when the task ends; workers are used again and would keep it."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores behind it: one that no column of `df` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column stands, as Spark resolves its name: in any case, the exact one first."""
+    names = df.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

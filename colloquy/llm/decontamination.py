@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
+from .common import fresh
 
 #: Words under a mask, as offsets from its start.
 MASKS = ((0, 1, 3, 4), (0, 1, 3, 6))
@@ -54,23 +55,23 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched and n_words (of the item) of each item found in a document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).distinct()
-    items = items.where(F.size("item_words") >= LEAST_WORDS)
+    items = items.where(F.size("item_words") >= LEAST_WORDS).withColumn("item", F.xxhash64("item_id", "item_words"))  # ids may be null
 
-    item_seeds = _hashed(items.withColumnRenamed("item_words", "words")).select("item_id", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes")).alias("at", "seed"))
+    item_seeds = _hashed(items.withColumnRenamed("item_words", "words")).select("item", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes")).alias("at", "seed"))
     last = F.when(F.col("at") < F.col("n"), F.lit(MASKS[0][-1])).otherwise(F.lit(MASKS[1][-1]))
-    item_seeds = item_seeds.where(F.pmod("at", "n") + last < F.col("n")).select("item_id", F.pmod("at", "n").alias("item_at"), "seed")
+    item_seeds = item_seeds.where(F.pmod("at", "n") + last < F.col("n")).select("item", F.pmod("at", "n").alias("item_at"), "seed")
 
     n_seeds = item_seeds.count()
     places = _hashed(docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))).select("doc_id", "text_hash", "hashes")
     places = places.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes")).alias("at", "seed"))
-    hits = checkpointed(places.join(_small(item_seeds, n_seeds), "seed").select("doc_id", "text_hash", "item_id", (F.pmod("at", "n") - F.col("item_at")).alias("offset")).distinct())
+    hits = checkpointed(places.join(_small(item_seeds, n_seeds), "seed").select("doc_id", "text_hash", "item", (F.pmod("at", "n") - F.col("item_at")).alias("offset")).distinct())
 
     found = _small(hits, hits.count()).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     laid = docs.join(found, same).withColumn("words", words_of(F.col("text"))).drop("text")
-    laid = laid.join(_small(items, n_seeds), "item_id")
+    laid = laid.join(_small(items, n_seeds), "item")
     matched = F.size(F.filter(F.sequence(F.lit(0), F.size("item_words") - 1), lambda i: F.get("words", i + F.col("offset")) == F.get("item_words", i)))
     laid = laid.select("doc_id", "text_hash", "item_id", matched.cast("long").alias("matched"), F.size("item_words").cast("long").alias("n_words"))
     laid = laid.where(F.col("matched") * 100 >= F.col("n_words") * SHARE)
@@ -79,6 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item was found."""
-    bad = checkpointed(leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
+    bad_id, bad_hash = fresh(docs, "bad_id"), fresh(docs, "bad_hash")
+    bad = checkpointed(leaks(docs, benchmark).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct())
     bad = _small(bad, bad.count())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_hash)), "left_anti")

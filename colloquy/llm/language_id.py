@@ -7,19 +7,19 @@ close, as in very short texts, the sizes under further dictionaries of each lang
 other training text, are added. The decision is rejected when the relative margin stays narrow.
 
 The dictionaries hold a bounded sample: about `docs_per_language` documents of each language, chosen
-by a hash of their ids, each giving pieces of at most 4,096 characters. Every whole text is scored.
+by a hash of their ids, are cut whole into pieces of `SAMPLE_PIECE` characters; the pieces with the
+smallest hashes fill the dictionaries, so that no place in a text is preferred. A dictionary has
+`DICTIONARY_BYTES`, or less where all of them together would exceed `TOTAL_BYTES`. Every whole text is scored.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and rejected, as is
 everything where no language was learned. Rows whose lang is null teach nothing. Repeated rows are
-judged row by row; ties go to the language first in alphabetical order. Other columns
-are carried along; those named as the results are replaced.
+judged row by row; ties go to the language first in alphabetical order. Other columns are carried
+along; those that have the names of the results are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -27,14 +27,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import share_below, small_batches
+from .common import Batches, freeing, place_of, share_below, small_batches
 
 UNKNOWN = "und"
 #: Bytes of each dictionary, dictionaries of each language, characters compressed at once.
 DICTIONARY_BYTES, DICTIONARIES, PIECE = 48 * 1024, 4, 4096
+#: Characters of a piece of sampled text; bytes of all dictionaries together.
+SAMPLE_PIECE, TOTAL_BYTES = 1024, 64 << 20
 #: Margins below `CLOSE` call for the further dictionaries; below `NARROW` the text is rejected.
 CLOSE, NARROW = 0.10, 0.01
-MAX_LANGUAGES = 500
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -81,56 +82,63 @@ class Compressors:
         return order[0], (second - first) / second
 
 
-@lru_cache(maxsize=2)
-def _compressors(key: tuple[tuple[str, tuple[bytes, ...]], ...]) -> Compressors:
-    return Compressors({lang: list(own) for lang, own in key})
-
-
 def train(docs: DataFrame, learn: Column, docs_per_language: int = 160) -> dict[str, list[bytes]]:
     """Dictionary contents by language, from documents for which `learn` holds."""
     small_batches(docs.sparkSession)
     docs = docs.where("lang is not null and doc_id is not null").where(learn)
-    counts = docs.groupBy("lang").agg(F.count("*").alias("of_lang")).orderBy(F.desc("of_lang"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    counts = docs.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    languages = counts.count()
+    if not languages:
         return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_language / r["of_lang"]))]), F.col("lang"))
-    chosen = docs.where(share_below(F.col("doc_id"), share))
+    each = min(DICTIONARY_BYTES, TOTAL_BYTES // (languages * DICTIONARIES))
+    shares = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), docs_per_language / F.col("of_lang")).alias("share"))
+    # a row for each language, whose dictionaries the driver holds as well
+    chosen = docs.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(share_below(F.col("doc_id"), F.col("share")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def cut(batches: Batches) -> Batches:
         for batch in batches:
-            texts = [normal(t.as_py()) for t in batch.column(2)]
-            # from the middle of a long text, so that shared openings don't fill the dictionaries
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t[max(0, (len(t) - PIECE) // 2) :][:PIECE] for t in texts], pa.string())], ["doc_id", "lang", "piece"])
-
-    pieces = chosen.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, piece string").where("piece <> ''")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "piece"))
+            langs, pieces = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normal(text)
+                own = [words[i : i + SAMPLE_PIECE] for i in range(0, len(words), SAMPLE_PIECE)]
+                langs += [lang] * len(own)
+                pieces += own
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.string())], ["lang", "piece"])
+
+    pieces = chosen.select("lang", "text").mapInArrow(cut, "lang string, piece string").distinct()
+    # enough pieces to fill every dictionary, short ones included
+    most = -(-4 * DICTIONARIES * each // SAMPLE_PIECE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece"))
+    kept = pieces.withColumn("k", rank).where(F.col("k") <= most).orderBy("lang", "k").toLocalIterator()  # bounded: languages x sample
+    own: dict[str, list[bytes]] = {}
+    for r in kept:
+        own.setdefault(r["lang"], []).append(r["piece"].encode())
     contents: dict[str, list[bytes]] = {}
-    kept = pieces.withColumn("k", rank).where(F.col("k") <= 2 * docs_per_language).orderBy("lang", "k").collect()  # bounded: languages x sample
-    for lang in sorted({r["lang"] for r in kept}):
-        own = [r["piece"].encode() for r in kept if r["lang"] == lang]
-        filled = [b" ".join(own[i::DICTIONARIES])[:DICTIONARY_BYTES] for i in range(min(DICTIONARIES, len(own)))]
+    for lang, sampled in own.items():
+        filled = [b" ".join(sampled[i::DICTIONARIES])[:each] for i in range(min(DICTIONARIES, len(sampled)))]
         contents[lang] = (filled * DICTIONARIES)[:DICTIONARIES]
     return contents
 
 
-def identify(docs: DataFrame, contents: dict[str, list[bytes]]) -> DataFrame:
-    """`docs` with lang_pred, lang_score (0 to 1) and lang_rejected. The dictionaries, bounded by
-    their number and size, are broadcast."""
+def identify(docs: DataFrame, contents: dict[str, list[bytes]], names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:
+    """`docs` with the predicted language, its score (0 to 1) and whether the decision is rejected, under `names`.
+    The dictionaries, bounded by their total size, are broadcast."""
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    docs = docs.drop(*names)
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(tuple((lang, tuple(own)) for lang, own in sorted(contents.items())))
-    place = docs.columns.index("text")
+    shared = spark.sparkContext.broadcast(contents)
+    place = place_of(docs, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = _compressors(shared.value)
+    @freeing
+    def run(batches: Batches) -> Batches:
+        compressors = Compressors(shared.value)
         for batch in batches:
             found = [compressors.judge(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] / (x[1] + 0.02) if x[1] > 0 else 0.0 for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < NARROW for x in found], pa.bool_())],
-                [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"],
+                [*batch.schema.names, *names],
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]))
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))

@@ -10,10 +10,15 @@
 3. Lists of up to `SHORT` classes give all their pairs, longer ones the pairs with their first class.
    The sketch of the union estimates each pair's similarity, clear misses go, and the rest is
    verified on full sets. The links give components.
-4. What then remains are long lists that still hold several components. They are cut into blocks of
-   bounded total size, and each pair of blocks compares its classes of different components, verified
-   on full sets; a pair counts in the list of its smallest common value only. A link is given unless
-   those before it join its ends, so none is lost, and m near copies give some m links, not m^2.
+4. What then remains are long lists that still hold several components. They are cut by set size into
+   bands, since sets of very different size never link, and the bands into blocks of bounded total
+   size. Each pair of blocks of one band or of neighbouring bands compares its classes of different
+   components, verified on full sets; a pair counts in the list of its smallest common value only. A
+   link is given unless those before it join its ends, so none is lost, and m near copies give some m
+   links, not m^2.
+
+With a `sketch` of at least the largest set's size, a sketch is the whole set, every bound above is
+certain and the result is exact; the default loses a link with a chance below 2 * `MISSED`.
 
 Components are found by min-label propagation with pointer jumping, as DataFrames throughout.
 
@@ -24,21 +29,21 @@ texts are. A null id is never a component's id unless all its ids are null. Othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
-from .common import WordHashes, small_batches, windows, words_of, written
+from .common import Batches, WordHashes, freeing, fresh, small_batches, windows, words_of, written
 
 #: Values a sketch retains; the chance allowed that two linked sketches of full length share fewer than `least_shared`.
-SKETCH, MISSED = 40, 1e-8
+SKETCH, MISSED = 40, 1e-10
 #: Link if 100 * intersection >= percent * union; what op5_near_dedup takes.
 PERCENT = 85
 #: Lists up to this length give all pairs. Shingles and classes of a block of a longer list, about.
@@ -56,37 +61,39 @@ def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
 
 
 @cache
-def least_shared(percent: int) -> int:
+def least_shared(percent: int, sketch: int = SKETCH) -> int:
     """Sketch values that two linked sketches of full length share at least, but for a chance below `MISSED`.
 
-    Each of the `SKETCH` smallest values of the union is common with a chance of `percent` or more.
+    Each of the `sketch` smallest values of the union is common with a chance of `percent` or more.
     """
     p, below, n = percent / 100, 0.0, 0
-    while (below := below + comb(SKETCH, n) * p**n * (1 - p) ** (SKETCH - n)) < MISSED:
+    if p >= 1:
+        return sketch
+    while n <= sketch and (below := below + exp(lgamma(sketch + 1) - lgamma(n + 1) - lgamma(sketch - n + 1) + n * log(p) + (sketch - n) * log(1 - p))) < MISSED:
         n += 1
     return n
 
 
-def exact_below(percent: int) -> int:
+def exact_below(percent: int, sketch: int = SKETCH) -> int:
     """From this size on, sets may meet partners whose sketch is cut short."""
-    return SKETCH * percent // 100
+    return sketch * percent // 100
 
 
 def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def needed(size: int, percent: int = PERCENT) -> int:
+def needed(size: int, percent: int = PERCENT, sketch: int = SKETCH) -> int:
     """Sketch values shared at least with any set that a set of this size links with."""
-    return -(-percent * size // 100) if size < exact_below(percent) else least_shared(percent)
+    return -(-percent * size // 100) if size < exact_below(percent, sketch) else least_shared(percent, sketch)
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
+def union_estimate(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
     """Jaccard similarity estimated from the bottom-k sketch of the union of two sorted sets."""
-    a, b = a[:SKETCH], b[:SKETCH]
+    a, b = a[:sketch], b[:sketch]
     both = np.sort(np.concatenate([a, b]))
     twice = both[1:] == both[:-1]
-    union = np.concatenate([both[:1], both[1:][~twice]])[:SKETCH]
+    union = np.concatenate([both[:1], both[1:][~twice]])[:sketch]
     return float(np.count_nonzero(both[1:][twice] <= union[-1])) / len(union)
 
 
@@ -99,10 +106,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
+def _sketch(docs: DataFrame, sketch: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (digest of the set, null if empty) and sketch of each row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def run(batches: Batches) -> Batches:
         hashes = WordHashes()
         for batch in batches:
             sizes, nodes, sketches = [], [], []
@@ -110,7 +118,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 found = shingles(words_of(text.as_py()), hashes)
                 sizes.append(len(found))
                 nodes.append(_node(found))
-                sketches.append(found[:SKETCH].view(np.int64))
+                sketches.append(found[:sketch].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "text_hash", "n_shingles", "node", "sketch"],
@@ -120,8 +128,6 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
 
 def _node(found: np.ndarray) -> int | None:
-    import xxhash
-
     if not len(found):
         return None
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
@@ -130,7 +136,8 @@ def _node(found: np.ndarray) -> int | None:
 def _sets(docs: DataFrame) -> DataFrame:
     """The full set of each wanted row (doc_id, text, node), for the rows whose text makes that node."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def run(batches: Batches) -> Batches:
         hashes = WordHashes()
         for batch in batches:
             nodes, sets = [], []
@@ -144,22 +151,27 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, members binary")
 
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, left_set, right_set) that link; those whose union sketch has too few common values are not verified."""
-    floor = least_shared(percent) / SKETCH
+def _verified(pairs: DataFrame, percent: int, sketch: int) -> DataFrame:
+    """The pairs (a, b, left_set, right_set) that link; those whose union sketch has too few common values are not verified.
+
+    A union of at most `sketch` values is its own sketch, so its estimate is exact; of larger ones, linked pairs
+    fall below the floor with a chance below `MISSED`.
+    """
+    floor = least_shared(percent, sketch) / sketch
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-                keep.append(100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and union_estimate(a, b) >= floor and linked(overlap(a, b), len(a), len(b), percent))
+                keep.append(100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and union_estimate(a, b, sketch) >= floor and linked(overlap(a, b), len(a), len(b), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _across(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _across(key: tuple, frame: pd.DataFrame, percent: int, sketch: int) -> pd.DataFrame:
     """Links between components within one pair of blocks of the list key[0]; columns node, comp, side, own, members.
 
     A pair counts in the list of its smallest common value only, so no other list repeats the work.
@@ -169,13 +181,12 @@ def _across(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     sets = [np.frombuffer(x, np.uint64) for x in frame["members"]]
     sizes = np.array([len(s) for s in sets])
     nodes, comps, side = frame["node"].to_numpy(), frame["comp"].to_numpy(), frame["side"].to_numpy()
-    common = _shared([s[:SKETCH] for s in sets])
-    least = np.array([needed(int(n), percent) for n in sizes])
-    possible = (common >= np.minimum.outer(least, least)) & (comps[:, None] != comps[None, :])
-    possible &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
-    possible &= _shared([(v := np.asarray(x, np.int64))[v < key[0]] for x in frame["own"]]) == 0
+    least = np.array([needed(int(n), percent, sketch) for n in sizes])
+    possible = (comps[:, None] != comps[None, :]) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
     if (side != side[0]).any():
         possible &= side[:, None] != side[None, :]
+    possible &= _shared([s[:sketch] for s in sets]) >= np.minimum.outer(least, least)
+    possible &= _shared([(v := np.asarray(x, np.int64))[v < key[0]] for x in frame["own"]]) == 0
     possible = np.triu(possible, 1)
     _, member = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -202,11 +213,21 @@ def _across(key: tuple, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _shared(values: list[np.ndarray]) -> np.ndarray:
-    """How many values each two of the rows have in common."""
-    every, column = np.unique(np.concatenate(values), return_inverse=True)
-    grid = np.zeros((len(values), max(1, len(every))), np.float32)
-    grid[np.repeat(np.arange(len(values)), [len(v) for v in values]), column] = 1
-    return grid @ grid.T
+    """How many values each two of the rows have in common; rows hold a value once."""
+    n = len(values)
+    row = np.repeat(np.arange(n), [len(v) for v in values])
+    _, column, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    row, column = row[times[column] > 1], column[times[column] > 1]  # a value of one row is in no other
+    _, column = np.unique(column, return_inverse=True)
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):  # so many columns at once, to bound the grid
+        a, b = np.searchsorted(column, [low, low + 2048])
+        grid = np.zeros((n, 2048), np.float32)
+        grid[row[a:b], column[a:b] - low] = 1
+        out += grid @ grid.T
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,21 +244,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _prefix(size: Column, percent: int) -> Column:
+def _prefix(size: Column, percent: int, sketch: int) -> Column:
     """How many of a sketch's rarest values must be searched."""
-    least = F.when(size < exact_below(percent), F.ceil(size * percent / 100)).otherwise(least_shared(percent))
-    return F.least(size, F.lit(SKETCH)) - least + 1
+    least = F.when(size < exact_below(percent, sketch), F.ceil(size * percent / 100)).otherwise(least_shared(percent, sketch))
+    return F.least(size, F.lit(sketch)) - least + 1
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _blocks(long: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """The classes of the chosen lists dealt to pairs of blocks: value, i and j (which pair), side (which of the two), node and comp.
+
+    Sets in bands further apart than one differ too much in size to link.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / log(100 / min(percent, 99)) + 1e-9).cast("int")
+    banded = long.join(chosen.select("value"), "value").withColumn("band", band)
+    sizes = banded.groupBy("value", "band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    own = banded.join(sizes, ["value", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # a block is named by its band and its number there
+    near = sizes.select("value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("to"), F.col("blocks").alias("others"))
+    met = own.join(near, ["value", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    this, that = F.struct(F.col("band").alias("band"), F.col("own").alias("block")), F.struct(F.col("to").alias("band"), F.col("other").alias("block"))
+    return met.select("value", F.least(this, that).alias("i"), F.greatest(this, that).alias("j"), this.alias("side"), "node", "comp").withColumn("side", F.xxhash64("side"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, sketch: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) of each row of doc_id, text.
 
     Sets link from a Jaccard similarity of `percent` in the hundred on.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(_sketch(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    sketched = written(_sketch(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), sketch))
     classes = written(
         sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     )
@@ -245,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     retained = classes.select("node", "size", F.explode("sketch").alias("value"))
     frequent = retained.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = retained.join(frequent, "value").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own"))
-    searched = F.greatest(F.lit(0), _prefix(F.col("size"), percent) - (F.least("size", F.lit(SKETCH)) - F.size("own"))).cast("int")
+    searched = F.greatest(F.lit(0), _prefix(F.col("size"), percent, sketch) - (F.least("size", F.lit(sketch)) - F.size("own"))).cast("int")
     postings = written(shared.select("node", "size", F.transform(F.slice("own", 1, searched), lambda x: x["value"]).alias("own")).where(F.size("own") > 0))
     lists = postings.select("node", "size", F.explode("own").alias("value"))
 
@@ -265,23 +302,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left_set")), "a")
     sided = sided.join(sets.select(F.col("node").alias("b"), F.col("members").alias("right_set")), "b")
-    links = written(_verified(sided.select("a", "b", "left_set", "right_set"), percent))
+    links = written(_verified(sided.select("a", "b", "left_set", "right_set"), percent, sketch))
     found = components(links)
 
     long = left.where(F.col("m") > SHORT).join(found, "node", "left").select("value", "node", "size", F.coalesce("comp", "node").alias("comp"))
     # lists of the same classes need one look; of one component, none
     alike = long.groupBy("value").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members_hash"), F.count("*").alias("m"), F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    chosen = alike.where("low <> high").groupBy("members_hash", "m", "total").agg(F.min("value").alias("value")).select("value", "m", "total")
-    blocked = long.join(chosen, "value").withColumn("blocks", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("m") / BLOCK_CLASSES)).cast("int"))
-    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    both = blocked.select("value", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = both.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "comp").join(sets.join(postings.select("node", "own"), "node"), "node")
+    chosen = written(alike.where("low <> high").groupBy("members_hash", "m", "total").agg(F.min("value").alias("value")).select("value"))
+    more = None
+    if not chosen.isEmpty():
+        tasks = _blocks(long, chosen, percent).join(sets.join(postings.select("node", "own"), "node"), "node")
 
-    def across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _across(key, frame, percent)
+        def across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return _across(key, frame, percent, sketch)
 
-    more = written(tasks.groupBy("value", "i", "j").applyInPandas(across, "a long, b long"))
-    if not more.isEmpty():
+        more = written(tasks.groupBy("value", "i", "j").applyInPandas(across, "a long, b long"))
+    if more is not None and not more.isEmpty():
         found = components(links.union(more))
 
     ids = found.join(classes.select("node", "rep"), "node")
@@ -296,13 +332,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` without near-duplicates: of each component the row with the smallest id stays, once."""
     found = written(near_duplicates(docs, percent))
-    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct()
-    twice = found.where("kept").groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_hash"))
+    own_id, own_hash = fresh(docs, "own_id"), fresh(docs, "own_hash")
+    key = [F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)]
+    lost = found.where(~F.col("kept")).select(*key).distinct()
+    twice = found.where("kept").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash))
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
     left = docs.join(lost, same, "left_anti")
     if twice.isEmpty():
         return left
-    again = left.join(twice, same, "left_semi").withColumn("text_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_")
+    digest = fresh(docs, "text_hash")
+    again = left.join(twice, same, "left_semi").withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).drop(digest)
     return left.join(twice, same, "left_anti").unionByName(again)

@@ -16,14 +16,14 @@ group's target or the longest single text.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Batches, freeing, small_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters of text for each group, on average.
 GROUP_CHARS = 1_000_000
@@ -124,15 +124,17 @@ class Encoder(dict):
 
     White space never joins two words of this tokenizer's pattern, so a text's ids are its words'
     ids one after another. A text with special tokens' strings or with unusual white space is
-    given to the library as a whole. The tokenizer ignores case, and letters never join with the
-    punctuation that follows them, so words are looked up in lower case and without it first. When
-    the memory is full it becomes the older generation, from which words in use come back.
+    given to the library as a whole. The tokenizer ignores case, so ASCII words are looked up in
+    lower case. It splits letters from marks that follow them, and a word whose last letter is ASCII
+    is looked up without its trailing marks first; other letters may, decomposed, end in a mark that
+    joins with those after it, and are not split. When the memory is full it becomes the older
+    generation, from which words in use come back.
     """
 
     #: Marks that may trail a word.
     MARKS = ".,;:!?#&%$*|)]}\""
 
-    def __init__(self, tokenizer_json: str, limit: int = 400_000):
+    def __init__(self, tokenizer_json: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -154,7 +156,7 @@ class Encoder(dict):
 
     def _parts(self, word: str) -> bytes:
         core = word.rstrip(self.MARKS)
-        if core != word and core and core[-1].isalpha():
+        if core != word and core and core[-1].isascii() and core[-1].isalpha():
             return self[core] + self[word[len(core) :]]
         if word.isascii() and (low := word.lower()) != word:
             return self[low]
@@ -170,31 +172,23 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=1)
-def _encoder(tokenizer_json: str) -> Encoder:
-    return Encoder(tokenizer_json)
-
-
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 1, seed: int = 17, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row per piece of a document: where it starts, its length and CRC, its sequence and offset there.
 
     A pass over text lengths fixes the number of groups; the texts are then shuffled once, by
-    group, and tokenised, packed and cut there.
+    group, and read in order of group as a stream, so a task holds the ids of one group at a time.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     groups = max(1, -(-int(total) // group_chars))
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     end = np.array([separator], "<u4").tobytes()
+    names_of = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(shared.value)
-        ids, names = [], []
-        for frame in frames:
-            ids += [encoder.encode(text) + end for text in frame["text"]]
-            names += [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
+    def packed(group: int, names: list[int | None], ids: list[bytes]) -> pa.RecordBatch:
         # an order that does not depend on how the rows arrived
         order = sorted(range(len(ids)), key=lambda i: (names[i] is not None, names[i] or 0, zlib.crc32(ids[i]), len(ids[i])))
         lengths = [len(ids[i]) // 4 for i in order]
@@ -203,11 +197,24 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int
             offset = 0
             for doc, start, n in sequence:
                 own = memoryview(ids[order[doc]])[4 * start : 4 * (start + n)]
-                rows.append((names[order[doc]], start, n, zlib.crc32(own), lengths[doc], key[0] * ID_SPACE + k, offset))
+                rows.append((names[order[doc]], start, n, zlib.crc32(own), lengths[doc], group * ID_SPACE + k, offset))
                 offset += n
-        frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names_of)
+
+    @freeing
+    def run(batches: Batches) -> Batches:
+        encoder = Encoder(shared.value)
+        open_group, names, ids = None, [], []
+        for batch in batches:
+            for doc_id, text, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != open_group:
+                    if ids:
+                        yield packed(open_group, names, ids)
+                    open_group, names, ids = group, [], []
+                names.append(doc_id)
+                ids.append(encoder.encode(text) + end)
+        if ids:
+            yield packed(open_group, names, ids)
 
     dealt = docs.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(run, SCHEMA)
+    return dealt.repartition("grp").sortWithinPartitions("grp").select("doc_id", "text", "grp").mapInArrow(run, SCHEMA)

@@ -12,15 +12,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Batches, freeing, small_batches
 
 #: Fixed value: the published byte-level word pattern of this vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,11 +100,6 @@ class MergeCounter(dict):
         return total
 
 
-@lru_cache(maxsize=1)
-def _counter(tokenizer_json: str) -> MergeCounter:
-    return MergeCounter(tokenizer_json)
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """Bytes and tokens of each row's whole text. The tokenizer's JSON (a few MB, whatever the
     input) is read on the driver and sent along, so executors need no copy of it."""
@@ -114,8 +107,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(shared.value)
+    @freeing
+    def run(batches: Batches) -> Batches:
+        counter = MergeCounter(shared.value)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(1):

@@ -6,19 +6,17 @@ learning rate and holds it at zero until its evidence exceeds the L1 penalty, so
 a few thousand (index, weight) pairs, whatever the corpus; these are broadcast for scoring.
 
 The classifier is fitted on a bounded sample of labelled rows: about `max_positive` and
-`max_negative` of them, chosen by a hash of their ids. Scoring covers every whole text.
+`max_negative` of them, chosen by a hash of their ids, and fewer where their features would exceed
+`max_bytes`. The L1 penalty is one fixed value, whatever the sample. Scoring covers every whole text.
 
 Defined results: null text is empty, and an empty text's score is that of the bias alone. Labels
 that are null take no part; of several labels of one id the largest counts. Repeated rows and ids
-are scored row by row. Without any label the score is 0. Other columns
-are carried along; one named toxicity is replaced.
+are scored row by row. Without any label the score is 0. Other columns are carried along; one that
+has the name of the result (`toxicity`, unless another is given) is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, share_below, small_batches, windows
+from .common import Batches, WordHashes, freeing, place_of, share_below, small_batches, windows, written
 
 BITS = 20
 #: Offsets of the words of a feature: words, pairs, pairs one word apart.
 SHAPES = ((0,), (0, 1), (0, 2))
 EDGES = ".,;:!?'\"()[]{}<>|#$%&*+-=_~/\\`^@"
 MODEL = "idx int, weight double"
+#: The L1 penalty: a coordinate stays at zero until its summed gradients exceed it.
+L1 = 6.0
 
 
 class TrimmedHashes(WordHashes):
@@ -46,14 +46,9 @@ class TrimmedHashes(WordHashes):
         return value
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> TrimmedHashes:
-    return TrimmedHashes()
-
-
-def features(text: str) -> np.ndarray:
+def features(text: str, hashes: TrimmedHashes) -> np.ndarray:
     """The distinct feature indexes of a text."""
-    words = _hashes().array(text.lower().split())
+    words = hashes.array(text.lower().split())
     found = [windows(words, shape) >> np.uint64(64 - BITS) for shape in SHAPES]
     return np.unique(np.concatenate(found)).astype(np.int32)
 
@@ -61,7 +56,7 @@ def features(text: str) -> np.ndarray:
 class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss with L1 and L2; the last coordinate is the bias."""
 
-    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, positive: float = 2.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = L1, l2: float = 0.0, positive: float = 2.0):
         self.alpha, self.beta, self.l2, self.positive = alpha, beta, l2, positive
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         self.penalty = np.full((1 << BITS) + 1, l1)
@@ -88,7 +83,7 @@ class Ftrl:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int = 6_000, max_negative: int = 12_000, epochs: int = 4) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int = 6_000, max_negative: int = 12_000, epochs: int = 4, l1: float = L1, max_bytes: int = 256 << 20) -> DataFrame:
     """The model's non-zero weights, from labelled rows for which `learn` holds; index 2^20 is the bias."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -97,23 +92,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int =
     share = F.when(F.col("label") == 1, F.lit(max_positive / max(1, count.get(1, 0)))).otherwise(F.lit(max_negative / max(1, count.get(0, 0))))
     chosen = labels.where(share_below(F.col("doc_id"), share))
 
-    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def featurize(batches: Batches) -> Batches:
+        hashes = TrimmedHashes()
         for batch in batches:
-            found = [features(t.as_py() or "").tobytes() for t in batch.column(1)]
+            found = [features(t.as_py() or "", hashes).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort([xxhash.xxh64_intdigest(f, seed=5) for f in frame["features"]], kind="stable")
         rows = [(np.frombuffer(frame["features"].iloc[i], np.int32), int(frame["label"].iloc[i])) for i in order]
-        model = Ftrl(l1=min(8.0, max(4.0, len(rows) / 1500))).fit(rows, epochs)  # few rows bear a small penalty only
+        model = Ftrl(l1=l1).fit(rows, epochs)
         weights = model.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(weights)
         return pd.DataFrame({"idx": at.astype(np.int32), "weight": weights[at]})
 
-    # one task learns; what it reads is bounded by the two maxima
+    # one task learns; what it reads is bounded in rows by the two maxima, and in bytes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    featured = rows.mapInArrow(featurize, "doc_id long, features binary, label int")
-    return featured.groupBy(F.lit(0).alias("one")).applyInPandas(fit, MODEL)
+    featured = written(rows.mapInArrow(featurize, "doc_id long, features binary, label int"))
+    total = featured.agg(F.sum(F.octet_length("features"))).first()[0] or 0
+    within = featured.where(share_below(F.xxhash64("doc_id"), F.lit(max_bytes / max(1, total))))
+    return written(within.groupBy(F.lit(0).alias("one")).applyInPandas(fit, MODEL))
 
 
 class Scorer:
@@ -125,13 +124,14 @@ class Scorer:
         self.table[idx[inside]] = weight[inside]
         self.bias = float(weight[~inside].sum())
         self.known = len(idx) > 0
+        self.hashes = TrimmedHashes()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.known:
             return np.zeros(len(texts))
         split = [(t or "").lower().split() for t in texts]
         sizes = [len(w) for w in split]
-        words = _hashes().array([w for s in split for w in s])
+        words = self.hashes.array([w for s in split for w in s])
         row = np.repeat(np.arange(len(texts)), sizes)
         pairs = []
         for shape in SHAPES:
@@ -144,19 +144,20 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """`docs` with a column toxicity (0 to 1), from whole texts. The model, bounded by its 2^20 indexes, is broadcast."""
+def score(docs: DataFrame, model: DataFrame, name: str = "toxicity") -> DataFrame:
+    """`docs` with a column (0 to 1) of that name, from whole texts. The model, bounded by its 2^20 indexes, is broadcast."""
     spark = docs.sparkSession
-    docs = docs.drop("toxicity")
+    docs = docs.drop(name)
     small_batches(spark)
     found = model.toPandas()
     shared = spark.sparkContext.broadcast((found["idx"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)))
-    place = docs.columns.index("text")
+    place = place_of(docs, "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def run(batches: Batches) -> Batches:
         scorer = Scorer(*shared.value)
         for batch in batches:
             values = scorer.scores(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

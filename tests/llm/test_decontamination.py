@@ -42,3 +42,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks(d, none).collect() == [] and without_leaks(d, none).count() == 1
     assert leaks(d.limit(0), none).collect() == []
+
+
+def test_null_item_ids_and_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, text, 7, 8), (2, "other words", 7, 8)], "doc_id long, Text string, bad_id int, BAD_HASH int")
+    b = spark.createDataFrame([(None, text)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.matched) for r in leaks(d, b).collect()] == [(1, None, 10)]
+    left = without_leaks(d, b)
+    assert left.columns == d.columns and [r.doc_id for r in left.collect()] == [2]

@@ -35,3 +35,19 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify(docs, train(docs, F.lit(True))).collect()] == [UNKNOWN]
     assert identify(docs.limit(0), {"aa": [b"x" * 100] * 4}).collect() == []
+
+
+def test_result_names_many_languages_and_column_case(spark):
+    rng = random.Random(5)
+    known = [(i, " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(20)), f"l{i % 600:03}") for i in range(600)]
+    contents = train(spark.createDataFrame(known, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(contents) == 600 and all(len(own) == 4 for own in contents.values())
+    docs = spark.createDataFrame([(1, "ting the", "mine")], "doc_id long, TEXT string, lang_pred string")
+    found = identify(docs, {"aa": [b"ting the ou"] * 4, "bb": [b"keit ung sch"] * 4}, ("lang_pred_", "lang_score", "lang_rejected")).first()
+    assert found.lang_pred == "mine" and found.lang_pred_ == "aa"
+
+
+def test_all_of_a_long_text_may_teach(spark):
+    long = "xyz " * 4_000 + "keitung schein " * 400
+    contents = train(spark.createDataFrame([(1, long, "aa")], "doc_id long, text string, lang string"), F.lit(True))
+    assert any(b"keitung" in own for own in contents["aa"]) and any(b"xyz" in own for own in contents["aa"])

@@ -71,3 +71,17 @@ def test_repeated_rows_nulls_and_no_rows(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in got) == [(-1, 3, False), (1, 1, True), (2, 2, True), (3, 3, True), (3, 3, True), (5, 3, False)]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_whole_sets_as_sketches_are_exact(spark):
+    rows = corpus(200, seed=6)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), sketch=100_000)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == brute(rows)
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3), (1, "a b c d e f g", 1, 2, 3), (2, "A b c d e f g", 4, 5, 6), (3, "quite another text is this one", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, TEXT string, own_id int, own_hash int, Text_hash int")
+    got = near_dedup.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert near_dedup.one_of_each(docs.limit(0)).collect() == []

@@ -64,7 +64,7 @@ def test_pipeline_stage_drops_copies_between_80_and_85(spark):
 
 
 def test_bounds_follow_from_the_similarity():
-    assert [least_shared(p) for p in (80, 85)] == [16, 19] and [exact_below(p) for p in (80, 85)] == [32, 34]
+    assert [least_shared(p) for p in (80, 85)] == [13, 17] and [exact_below(p) for p in (80, 85)] == [32, 34]
     for p in (80, 85):
         for size in range(1, exact_below(p)):
             assert size * 100 // p <= near_dedup.SKETCH and needed(size, p) == -(-size * p // 100)

@@ -1,10 +1,11 @@
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
-from colloquy.llm.packing import BinTree, pack, pack_group
+from colloquy.llm.packing import BinTree, Encoder, pack, pack_group
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -62,3 +63,20 @@ def test_pieces_equal_the_library(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_memory_of_words_equals_the_library_on_random_texts():
+    """Letters that decompose, marks, digits, other scripts and unusual white space in any order."""
+    rng = random.Random(11)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    library = Tokenizer.from_file(PATH)
+    decomposing = [chr(c) for c in range(0xC0, 0x2000) if unicodedata.decomposition(chr(c)) and chr(c).isalpha()]
+    pool = [*"aBcXYZ059 .,;:!?#&%$*|)]}\"'-_<>", "İ", "ǆ", "ß", "́", "̇", "क़", "ड़", "中", "か", "が", "゙", "\u00a0", "\u2003", "\t", "\n", "<|", "|>", "'s", "'ll"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(decomposing) if rng.random() < 0.2 else rng.choice(pool) for _ in range(rng.randint(1, 14)))
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(text) == want, text
+    for letter in decomposing:
+        for mark in ".,*":
+            assert encoder.encode(letter + mark) == np.array(library.encode(letter + mark, add_special_tokens=False).ids, "<u4").tobytes()

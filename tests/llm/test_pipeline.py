@@ -63,3 +63,15 @@ def test_stages_take_effect_one_after_another(spark, made, tmp_path):
 def test_run_gives_the_last_stage(spark, made):
     found = corpus_pipeline.run(spark, made[0])
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 0
+
+
+def test_stages_take_empty_tables_and_keep_clashing_columns(spark, made):
+    names = ["toxicity", "lang_pred", "lang_score", "Lang_Rejected", "own_id", "own_hash", "bad_id", "bad_hash", "text_hash", "node", "row", "word"]
+    docs = spark.read.parquet(f"{made[0]}/documents.parquet").where("doc_id < 40")
+    wide = docs.selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, wide, made[0])
+        rows = found.collect()
+        assert rows and stage(spark, wide.limit(0), made[0]).collect() == []
+        if name != "packing":
+            assert found.columns == wide.columns and all(r[n] == i for r in rows for i, n in enumerate(names))

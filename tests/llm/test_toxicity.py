@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 from colloquy.llm.common import fold
-from colloquy.llm.toxicity import BITS, Ftrl, Scorer, features, score, train
+from colloquy.llm.toxicity import BITS, Ftrl, Scorer, TrimmedHashes, features, score, train
 from pyspark.sql import functions as F
 
 
@@ -44,10 +44,46 @@ def test_no_labels_and_no_rows(spark):
 
 def test_batches_score_like_single_texts():
     rows, labels = made_up(200, seed=4)
-    model = Ftrl(l1=0.5).fit([(features(t), y) for (_, t, _), (_, y) in zip(rows, labels, strict=True)], 2)
+    hashes = TrimmedHashes()
+    model = Ftrl(l1=0.5).fit([(features(t, hashes), y) for (_, t, _), (_, y) in zip(rows, labels, strict=True)], 2)
     weights = model.weights(np.arange((1 << BITS) + 1))
     at = np.flatnonzero(weights)
     scorer = Scorer(at, weights[at])
     for (_, text, _), together in zip(rows, scorer.scores([t for _, t, _ in rows]), strict=True):
-        alone = weights[features(text)].sum() + weights[-1]
+        alone = weights[features(text, hashes)].sum() + weights[-1]
         assert abs(1 / (1 + np.exp(-alone)) - together) < 1e-4
+
+
+def test_ftrl_is_the_plain_loop_over_coordinates():
+    """Per-coordinate FTRL-proximal written out one number at a time gives the same weights."""
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 40, 8)).astype(np.int32), int(rng.random() < 0.3)) for _ in range(120)]
+    alpha, beta, l1, positive = 2.0, 1.0, 0.7, 2.0
+    z, n = {}, {}
+
+    def weight(i):
+        if i not in z or (i != 1 << BITS and abs(z[i]) <= l1):
+            return 0.0
+        shrunk = z[i] if i == 1 << BITS else np.sign(z[i]) * (abs(z[i]) - l1)
+        return -shrunk / ((beta + np.sqrt(n[i])) / alpha)
+
+    for _ in range(3):
+        for own, label in rows:
+            at = [*own.tolist(), 1 << BITS]
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - label) * (positive if label else 1)
+            for i in at:
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (np.sqrt(was + g * g) - np.sqrt(was)) / alpha * w[i]
+                n[i] = was + g * g
+    found = Ftrl(l1=l1).fit(rows, 3).weights(np.arange((1 << BITS) + 1))
+    for i in [*range(40), 1 << BITS]:
+        assert abs(found[i] - weight(i)) < 1e-9
+
+
+def test_result_name_and_column_case(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.5)], "doc_id long, Text string, toxicity double")
+    model = spark.createDataFrame([(1 << BITS, 0.0)], "idx int, weight double")
+    found = score(docs, model, "toxicity_").first()
+    assert found.toxicity == 0.5 and found.toxicity_ == 0.5
+    assert score(docs.limit(0), model).collect() == []
