@@ -253,10 +253,11 @@ def _prefix(size: Column, percent: int, sketch: int) -> Column:
 def _blocks(long: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """The classes of the chosen lists dealt to pairs of blocks: value, i and j (which pair), side (which of the two), node and comp.
 
-    Sets in bands further apart than one differ too much in size to link.
+    Sets in bands further apart than one differ too much in size to link; a list that fits into one block has one band.
     """
     band = F.floor(F.log(F.col("size").cast("double")) / log(100 / min(percent, 99)) + 1e-9).cast("int")
-    banded = long.join(chosen.select("value"), "value").withColumn("band", band)
+    fits = (F.col("total") <= BLOCK_SHINGLES) & (F.col("m") <= BLOCK_CLASSES)
+    banded = long.join(chosen, "value").withColumn("band", F.when(fits, 0).otherwise(band)).drop("total", "m")
     sizes = banded.groupBy("value", "band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
     own = banded.join(sizes, ["value", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # a block is named by its band and its number there
@@ -308,7 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sketch: int = SKETC
     long = left.where(F.col("m") > SHORT).join(found, "node", "left").select("value", "node", "size", F.coalesce("comp", "node").alias("comp"))
     # lists of the same classes need one look; of one component, none
     alike = long.groupBy("value").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members_hash"), F.count("*").alias("m"), F.sum("size").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    chosen = written(alike.where("low <> high").groupBy("members_hash", "m", "total").agg(F.min("value").alias("value")).select("value"))
+    chosen = written(alike.where("low <> high").groupBy("members_hash", "m", "total").agg(F.min("value").alias("value")).select("value", "m", "total"))
     more = None
     if not chosen.isEmpty():
         tasks = _blocks(long, chosen, percent).join(sets.join(postings.select("node", "own"), "node"), "node")
