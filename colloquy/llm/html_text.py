@@ -1,10 +1,15 @@
 """Main text of HTML pages: flat text blocks classified by a small decision tree.
 
-A page becomes a flat list of text blocks, one between two block-level tags. A block has its word
-count and link density, those of its two neighbours, and where it stands: inside an article or main
-element, inside something named or marked as page furniture (the innermost of these two decides),
-and whether the page has an article at all. A decision tree, grown by Gini impurity from the small
-labelled table below, classifies each block; the text is the chosen blocks in page order.
+A page becomes a flat list of text blocks, one between two block-level tags. A decision tree, grown by
+Gini impurity from the small labelled table below, classifies each block by its word count and link
+density, those of its two neighbours, whether it is a heading, whether it stands inside an article or
+main element, what marks it as page furniture, and whether the page has an article at all. The text is
+the chosen blocks in page order.
+
+A block's mark is the strongest of the elements around it: 1 for an element whose class or id names
+furniture, a hint that long blocks among long neighbours overrule; 2 for tags and roles of furniture
+and for reader comments. An element's mark counts only if the element can be furniture: one that wraps
+the article, or most of the page's words outside links, is a frame around the content.
 
 Defined results: null and empty pages, and pages without content, give empty text and 0 characters.
 Unclosed tags, cut pages and stray markup are read leniently, whatever their length. Repeated rows
@@ -15,7 +20,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Batches, freeing, small_batches
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
-ROWS = 200
 
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,46 +37,59 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 SKIPPED = set("script style title noscript template textarea iframe object svg math select option button head audio video canvas".split())
 FURNITURE_TAGS = set("nav header footer aside form menu dialog".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words of a class or id that name page furniture, and those that name the content.
+#: Words of a class or id that name page furniture, and those that name reader comments.
 FURNITURE_WORDS = set(
-    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu "
-    "modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr header login masthead menu "
+    "modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-CONTENT_WORDS = set("article articlebody content entry maincontent post story".split())
+COMMENT_WORDS = set("comment comments commentlist disqus replies reply respond".split())
+HINTED, MARKED = 1, 2
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.DOTALL)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
 
+@dataclass
+class Element:
+    """An open or closed element that bears a mark or holds an article."""
+
+    mark: int  # 0, HINTED or MARKED
+    comments: bool
+    article: bool  # article or main itself
+    late: bool  # begins after the page's first article
+    wraps: bool = False  # an article begins inside
+    words: float = 0.0  # outside links
+
+
 @dataclass
 class Block:
     text: str
     words: int
     density: float
-    place: int  # 1 in an article, -1 in furniture, 0 elsewhere
     heading: bool
+    around: tuple[int, ...]  # places of the elements around it
+    title: bool = False  # a first-level heading in an article's own header
+    article: bool = False
+    mark: int = 0
 
 
-def _place(tag: str, attributes: str) -> int:
-    """1 if an element holds content, -1 if furniture, 0 if it says nothing."""
-    if tag in ("article", "main"):
-        return 1
+def _mark(tag: str, attributes: str) -> tuple[int, bool]:
+    """The mark of an element by its tag and attributes, and whether it names reader comments."""
     if tag in FURNITURE_TAGS:
-        return -1
+        return MARKED, False
     if tag in ("body", "html") or "=" not in attributes:
-        return 0
+        return 0, False
     found = 0
     for name, value in NAMED.findall(attributes):
         words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-        if name.lower() == "role" and words[:1]:
-            if words[0] in FURNITURE_ROLES:
-                return -1
-            found = found or int(words[0] in ("main", "article"))
+        if name.lower() == "role":
+            if words[:1] and words[0] in FURNITURE_ROLES:
+                return MARKED, False
+        elif not COMMENT_WORDS.isdisjoint(words):
+            return MARKED, True
         elif not FURNITURE_WORDS.isdisjoint(words):
-            return -1
-        elif not CONTENT_WORDS.isdisjoint(words):
-            found = 1
-    return found
+            found = HINTED
+    return found, False
 
 
 class Blocks:
@@ -79,9 +97,10 @@ class Blocks:
 
     def __init__(self, page: str):
         self.found: list[Block] = []
-        self.open: list[tuple[str, int]] = []  # tag, place as inherited
+        self.elements: list[Element] = []
+        self.open: list[tuple[str, int]] = []  # tag, place of its element or -1
         self.pieces: list[tuple[str, bool]] = []  # text, in a link
-        self.in_link = self.heading = False
+        self.in_link = self.heading = self.articles = False
         at = 0
         while match := MARKUP.search(page, at):
             self.say(page[at : match.start()])
@@ -95,6 +114,7 @@ class Blocks:
                     self.tag(tag, bool(closing), attributes or "")
         self.say(page[at:])
         self.end()
+        self.weigh()
 
     @staticmethod
     def skipped(page: str, tag: str, at: int) -> int:
@@ -113,7 +133,7 @@ class Blocks:
         if tag == "a":
             self.in_link = not closing
         elif tag in INLINE:
-            if not closing and _place(tag, attributes) < 0 or closing and any(t == tag for t, _ in self.open):
+            if not closing and _mark(tag, attributes)[0] or closing and any(t == tag for t, _ in self.open):
                 self.block(tag, closing, attributes)
         elif tag in VOID:
             if tag in ("br", "hr"):
@@ -129,15 +149,25 @@ class Blocks:
                 if self.open[i][0] == tag:
                     del self.open[i:]
                     break
-        elif tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option") or _place(tag, attributes):
-            own = _place(tag, attributes)
-            inherited = self.open[-1][1] if self.open else 0
-            if inherited < 0 and tag not in ("article", "main"):
-                own = -1  # content words don't lift furniture
-            self.open.append((tag, own or inherited))
+        else:
+            self.opened(tag, attributes)
+        self.heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+
+    def opened(self, tag: str, attributes: str) -> None:
+        mark, comments = _mark(tag, attributes)
+        article = tag in ("article", "main") or not mark and any(n.lower() == "role" and v.strip("\"'").lower() in ("main", "article") for n, v in NAMED.findall(attributes))
+        if mark or article:
+            if article:
+                for _, at in self.open:
+                    if at >= 0:
+                        self.elements[at].wraps = True
+            self.open.append((tag, len(self.elements)))
+            self.elements.append(Element(mark, comments, article, self.articles))
+            self.articles = self.articles or article
+        elif tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
+            self.open.append((tag, -1))
         elif self.open and self.open[-1][0] == tag:
             self.open.pop()  # <p class=x>..<p>: an open one ends here
-        self.heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
 
     def end(self) -> None:
         """Closes the block at hand."""
@@ -145,13 +175,29 @@ class Blocks:
             text = " ".join(html.unescape("".join(t for t, _ in self.pieces)).split())
             if text:
                 words = len(text.split())
-                linked = sum(len(html.unescape(t).split()) for t, link in self.pieces if link)
-                place = self.open[-1][1] if self.open else 0
-                if place < 0 and self.heading and self.open[-1][0] in ("h1",) and any(p > 0 for _, p in self.open) and not any(t in ("nav", "aside", "footer", "form") for t, _ in self.open):
-                    place = 1  # an article's own header holds its title
-                self.found.append(Block(text, words, min(1.0, linked / words), place, self.heading))
+                linked = min(words, sum(len(html.unescape(t).split()) for t, link in self.pieces if link))
+                around = tuple(at for _, at in self.open if at >= 0)
+                for at in around:
+                    self.elements[at].words += words - linked
+                tags = [t for t, _ in self.open]
+                title = self.heading and tags[-1:] == ["h1"] and "header" in tags and any(self.elements[at].article for at in around)
+                self.found.append(Block(text, words, linked / words, self.heading, around, title))
             self.pieces = []
 
+    def weigh(self) -> None:
+        """Takes the marks off elements that frame the content, and gives each block its place."""
+        total = sum(b.words * (1 - b.density) for b in self.found)
+        for e in self.elements:
+            share = e.words / total if total else 0.0
+            if e.wraps and not e.late and share >= 0.3 or share >= (0.95 if e.comments else 0.5) and not (e.article or self.articles and not e.wraps):
+                e.mark = 0
+        for b in self.found:
+            own = [self.elements[at] for at in b.around]
+            marks = [e.mark for e in own]
+            if b.title and marks.count(MARKED) == 1:
+                marks.remove(MARKED)  # an article's own header holds its title
+            b.mark, b.article = max(marks, default=0), any(e.article for e in own)
+
 
 @lru_cache(maxsize=64)
 def _closing(tag: str) -> re.Pattern:
@@ -162,67 +208,158 @@ Features = tuple[float, ...]
 
 
 def features(blocks: list[Block]) -> list[Features]:
-    """Words and link density of each block and its neighbours, its place, heading or not, and whether the page has an article."""
-    article = float(any(b.place > 0 for b in blocks))
-    none = Block("", 0, 0.0, 0, False)
+    """Words and link density of each block and its neighbours, heading or not, in an article or not, its mark, and
+    whether the page has an article."""
+    page = float(any(b.article and not b.mark for b in blocks))
+    none = Block("", 0, 0.0, False, ())
     around = [none, *blocks, none]
     return [
-        (float(b.words), b.density, float(before.words), before.density, float(after.words), after.density, float(b.place), float(b.heading), article)
+        (float(b.words), b.density, float(before.words), before.density, float(after.words), after.density, float(b.heading), float(b.article), float(b.mark), page)
         for before, b, after in zip(around, blocks, around[2:], strict=False)
     ]
 
 
 #: The labelled table. Columns: words, link density, the same of the block before and of the one
-#: after, place (1 article, -1 furniture), heading, page has an article, and 1 for main text.
+#: after, heading, in an article, mark (1 hinted by a name, 2 by tag, role or as comments), page has
+#: an article, and 1 for main text.
 LABELLED = """
-12 0.00   0 0.00  60 0.00   1 1 1   1
-60 0.00  12 0.00  45 0.00   1 0 1   1
-45 0.02  60 0.00   3 0.00   1 0 1   1
- 3 0.00  45 0.02   9 0.00   1 0 1   1
- 1 0.00  80 0.00  70 0.00   1 0 1   1
- 9 0.00   3 0.00   0 0.00   1 0 1   1
- 2 0.00  55 0.00  18 0.00   1 1 1   1
-18 0.30   2 0.00  90 0.00   1 0 1   1
- 6 1.00  90 0.00  40 0.00   1 0 1   1
-150 0.00 12 0.00   2 1.00   1 0 1   1
- 1 1.00   1 1.00   1 1.00  -1 0 1   0
- 1 1.00   0 0.00   1 1.00  -1 0 1   0
- 1 1.00   1 1.00  12 0.00  -1 0 1   0
-12 0.00   1 1.00  10 0.00  -1 0 1   0
-40 0.00   1 1.00  10 0.00  -1 0 1   0
-14 0.00  45 0.00   0 0.00  -1 0 1   0
-70 0.00  45 0.00  80 0.00  -1 0 1   0
-25 0.10  90 0.00  25 0.10  -1 0 1   0
- 5 0.00  20 0.00  30 0.00  -1 1 1   0
-12 0.00   5 1.00  60 0.00   0 0 1   0
-30 0.00  60 0.00   0 0.00   0 0 1   0
- 3 1.00   3 1.00   3 1.00   0 0 1   0
- 4 0.00  40 0.00   4 0.00   0 1 1   0
-90 0.00   2 1.00  10 0.00   0 0 1   0
-60 0.00   8 0.00  55 0.00   0 0 0   1
-55 0.05  60 0.00  40 0.00   0 0 0   1
-40 0.00  55 0.05   3 1.00   0 0 0   1
-18 0.00  50 0.00  45 0.00   0 0 0   1
-25 0.00   0 0.00   0 0.00   0 0 0   1
- 6 0.00  45 0.00  50 0.00   0 0 0   1
- 4 0.00  60 0.00  70 0.00   0 1 0   1
- 8 0.00   2 1.00  60 0.00   0 1 0   1
- 9 0.00   0 0.00  80 0.00   0 1 0   1
-14 0.10  40 0.00  22 0.00   0 0 0   1
- 1 1.00   1 1.00   1 1.00   0 0 0   0
- 2 1.00   0 0.00   2 1.00   0 0 0   0
- 2 1.00   2 1.00  60 0.00   0 0 0   0
- 5 0.80   3 1.00   4 1.00   0 0 0   0
-20 0.90  15 0.80  12 1.00   0 0 0   0
-30 0.70  50 0.00  20 0.90   0 0 0   0
- 4 0.00   2 1.00   2 1.00   0 0 0   0
- 3 0.00   5 1.00   6 1.00   0 1 0   0
- 5 0.00   2 1.00   0 0.00   0 0 0   0
- 6 0.20   4 1.00   3 1.00   0 0 0   0
-60 0.00   1 1.00  20 0.00  -1 0 0   0
- 2 1.00   2 1.00   2 1.00  -1 0 0   0
-20 0.00  60 0.00   0 0.00  -1 0 0   0
- 5 0.00   2 1.00  60 0.00  -1 1 0   0
+ 12 0.00   0 0.00  60 0.00  1 1 0 1   1
+ 60 0.00  12 0.00  45 0.00  0 1 0 1   1
+ 45 0.02  60 0.00   3 0.00  0 1 0 1   1
+  3 0.00  45 0.02   9 0.00  0 1 0 1   1
+  1 0.00  80 0.00  70 0.00  0 1 0 1   1
+  1 0.00   2 0.00   1 0.00  0 1 0 1   1
+  9 0.00   3 0.00   0 0.00  0 1 0 1   1
+  2 0.00  55 0.00  18 0.00  1 1 0 1   1
+ 18 0.30   2 0.00  90 0.00  0 1 0 1   1
+  6 1.00  90 0.00  40 0.00  0 1 0 1   1
+ 10 1.00   1 1.00  70 0.00  1 1 0 1   1
+ 20 0.90  35 0.05  60 0.10  0 1 0 1   1
+150 0.00  12 0.00   2 1.00  0 1 0 1   1
+  8 0.00   7 0.00  30 0.00  1 1 0 1   1
+ 14 0.00  40 0.00   9 0.00  0 1 0 1   1
+  5 0.00  90 0.00   4 1.00  0 1 0 1   1
+ 11 0.00   7 0.00  21 0.00  1 1 0 1   1
+  3 0.00  13 0.00   3 0.00  1 1 0 1   1
+ 66 0.00  65 0.00   1 0.00  0 1 0 1   1
+  3 0.00 104 0.00   3 0.00  0 1 0 1   1
+ 63 0.00  54 0.00   0 0.00  0 1 0 1   1
+120 0.00   0 0.00   0 0.00  0 1 0 1   1
+ 35 0.00   3 0.00   0 0.00  0 1 0 1   1
+ 28 0.00   1 0.00   0 0.00  0 1 0 1   1
+ 45 0.00   1 1.00   0 0.00  0 1 0 1   1
+ 50 0.00   3 1.00  60 0.00  0 1 0 1   1
+  2 0.00   2 1.00   9 0.00  1 1 0 1   1
+ 12 0.00   4 1.00   8 0.00  0 1 0 1   1
+  3 1.00   3 1.00   3 1.00  0 1 0 1   0
+  4 1.00   5 1.00   6 1.00  0 1 0 1   0
+  2 1.00   2 1.00   1 1.00  0 1 0 1   0
+  6 0.95   5 1.00   7 0.90  0 1 0 1   0
+  7 0.00   1 1.00  10 0.00  0 1 1 1   0
+ 10 0.00  60 0.00  50 0.00  0 1 1 1   0
+ 30 0.00  60 0.00  50 0.00  0 1 1 1   0
+ 14 0.10   8 0.00   6 0.50  0 1 1 1   0
+  4 0.00  70 0.00   3 1.00  1 1 1 1   0
+  2 1.00   2 1.00   2 1.00  0 1 1 1   0
+ 25 0.60  40 0.00  20 0.80  0 1 1 1   0
+  7 0.00  80 0.00  90 0.00  0 1 1 1   0
+ 12 0.00   1 1.00 100 0.00  0 1 1 1   0
+ 30 0.00  90 0.00 100 0.00  0 1 1 1   0
+ 20 0.00  70 0.00  95 0.00  0 0 1 1   0
+ 45 0.00  30 0.00  85 0.00  0 1 1 1   0
+ 40 0.00  70 0.00  90 0.00  0 0 1 0   0
+ 70 0.00  60 0.00  50 0.02  0 1 1 1   1
+ 55 0.05  70 0.00  90 0.00  0 1 1 1   1
+120 0.00  55 0.00  60 0.00  0 1 1 1   1
+ 60 0.00   3 1.00   4 1.00  0 1 1 1   0
+ 80 0.00   5 0.00   3 0.80  0 1 1 1   0
+  1 1.00   1 1.00   1 1.00  0 0 2 1   0
+  1 1.00   0 0.00   1 1.00  0 0 2 1   0
+  1 1.00   1 1.00  12 0.00  0 0 2 1   0
+ 12 0.00   1 1.00  10 0.00  0 0 2 1   0
+ 40 0.00   1 1.00  10 0.00  0 0 2 1   0
+ 70 0.00  45 0.00  80 0.00  0 1 2 1   0
+ 45 0.00  70 0.00  30 0.00  0 1 2 1   0
+  5 0.00  20 0.00  30 0.00  1 1 2 1   0
+ 60 0.00  60 0.00  80 0.00  0 1 2 1   0
+120 0.00  90 0.00 100 0.00  0 1 2 1   0
+ 55 0.05  70 0.00  90 0.00  0 1 2 1   0
+ 70 0.00  60 0.00  50 0.02  0 1 2 1   0
+120 0.00  55 0.00  60 0.00  0 1 2 1   0
+ 52 0.00  60 0.00  55 0.00  0 1 2 1   0
+ 57 0.00  55 0.00  70 0.00  0 0 2 1   0
+ 65 0.00  60 0.00  50 0.00  0 0 2 0   0
+ 90 0.00  65 0.00  70 0.00  0 0 2 0   0
+ 75 0.00  90 0.00  60 0.00  0 0 2 1   0
+110 0.00  70 0.00  65 0.00  0 0 2 0   0
+ 90 0.00  60 0.00  90 0.00  0 0 2 1   0
+  8 0.00  20 0.00  90 0.00  0 0 2 1   0
+ 60 0.00  70 0.00  90 0.00  0 1 2 1   0
+ 70 0.00  60 0.00  50 0.00  0 0 2 0   0
+ 95 0.00  80 0.00  90 0.00  0 0 2 0   0
+ 25 0.10  90 0.00  25 0.10  0 0 2 1   0
+ 14 0.00  45 0.00   0 0.00  0 0 1 1   0
+ 90 0.00  60 0.00  70 0.00  0 0 1 1   0
+ 65 0.00  80 0.00  60 0.00  0 0 1 1   0
+ 70 0.00  45 0.00  80 0.00  0 0 1 1   0
+  8 0.00   1 1.00  12 0.00  0 0 1 1   0
+ 12 0.00   5 1.00  60 0.00  0 0 0 1   0
+ 30 0.00  60 0.00   0 0.00  0 0 0 1   0
+  3 1.00   3 1.00   3 1.00  0 0 0 1   0
+  4 0.00  40 0.00   4 0.00  1 0 0 1   0
+ 90 0.00   2 1.00  10 0.00  0 0 0 1   0
+ 60 0.00   2 1.00  55 0.00  0 0 0 1   0
+ 20 0.00  50 0.00  40 0.00  0 0 0 1   0
+ 12 0.00  60 0.00  60 0.00  0 0 0 1   0
+ 45 0.00  60 0.00  50 0.00  0 0 0 1   0
+  3 0.00  20 0.00  60 0.00  0 0 0 1   0
+  8 0.00   0 0.00  30 0.00  0 0 0 1   0
+  9 0.00   2 0.00  60 0.00  1 0 0 1   0
+ 35 0.00  12 0.00   0 0.00  0 0 0 1   0
+ 60 0.00   8 0.00  55 0.00  0 0 0 0   1
+  9 0.00   8 0.00  12 0.00  1 0 0 0   1
+  3 0.00  13 0.00   3 0.00  1 0 0 0   1
+ 63 0.00  54 0.00   1 0.00  0 0 0 0   1
+  3 0.00 104 0.00   3 0.00  0 0 0 0   1
+ 63 0.00  54 0.00   0 0.00  0 0 0 0   1
+ 40 0.00  12 0.00   0 0.00  0 0 0 0   1
+120 0.00   0 0.00   0 0.00  0 0 0 0   1
+ 55 0.05  60 0.00  40 0.00  0 0 0 0   1
+ 40 0.00  55 0.05   3 1.00  0 0 0 0   1
+ 18 0.00  50 0.00  45 0.00  0 0 0 0   1
+ 25 0.00   0 0.00   0 0.00  0 0 0 0   1
+  6 0.00  45 0.00  50 0.00  0 0 0 0   1
+  2 0.00  60 0.00  40 0.00  0 0 0 0   1
+  2 0.00  70 0.00   9 0.00  0 0 0 0   1
+  1 0.00   9 0.00  30 0.00  0 0 0 0   1
+  4 0.00  60 0.00  70 0.00  1 0 0 0   1
+  8 0.00   2 1.00  60 0.00  1 0 0 0   1
+  8 0.00   7 0.00  60 0.00  1 0 0 0   1
+  9 0.00   0 0.00  80 0.00  1 0 0 0   1
+ 14 0.10  40 0.00  22 0.00  0 0 0 0   1
+  5 1.00  60 0.00  45 0.00  0 0 0 0   1
+  9 0.00  50 0.00  10 0.00  0 0 0 0   1
+ 12 0.00  45 0.00   0 0.00  0 0 0 0   1
+  1 1.00   1 1.00   1 1.00  0 0 0 0   0
+  2 1.00   0 0.00   2 1.00  0 0 0 0   0
+  2 1.00   2 1.00  60 0.00  0 0 0 0   0
+  5 0.80   3 1.00   4 1.00  0 0 0 0   0
+ 20 0.90  15 0.80  12 1.00  0 0 0 0   0
+ 30 0.70  50 0.00  20 0.90  0 0 0 0   0
+  4 0.00   2 1.00   2 1.00  0 0 0 0   0
+  3 0.00   5 1.00   6 1.00  1 0 0 0   0
+  5 0.00   2 1.00   0 0.00  0 0 0 0   0
+  6 0.20   4 1.00   3 1.00  0 0 0 0   0
+  7 0.00   1 1.00   9 0.00  0 0 1 0   0
+ 10 0.00  60 0.00  50 0.00  0 0 1 0   0
+ 20 0.00  60 0.00   0 0.00  0 0 1 0   0
+ 65 0.00  60 0.00  50 0.00  0 0 1 0   1
+ 90 0.00  65 0.00  70 0.00  0 0 1 0   1
+ 60 0.00   1 1.00  20 0.00  0 0 2 0   0
+ 60 0.00  50 0.00  55 0.00  0 0 2 0   0
+  2 1.00   2 1.00   2 1.00  0 0 2 0   0
+ 12 0.10  50 0.00   0 0.00  0 0 2 0   0
+  5 0.00   2 1.00  60 0.00  1 0 2 0   0
 """
 
 
@@ -280,9 +417,10 @@ def main_text(page: str | None, tree: Tree | None = None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, main text and its length in code points of every row."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    small_batches(pages.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @freeing
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -1,7 +1,9 @@
+import random
 import time
+from collections import Counter
 
 import pytest
-from colloquy.llm.html_text import LABELLED, default_tree, extract, main_text
+from colloquy.llm.html_text import LABELLED, Blocks, default_tree, extract, features, main_text
 
 LONG = "several plain words of running text that a reader would want to keep in the end "
 PAGES = [
@@ -15,6 +17,12 @@ PAGES = [
     (None, ""),
     ("<p", ""),
     ("<script>never closed <article>x</article>", ""),
+    (f"<article><h1>Head</h1><p>{LONG}</p></article><section class='comments'><article><p>{LONG * 3}</p></article><article><p>I agree</p></article></section>", ("Head " + LONG).strip()),
+    (f"<article><h1>Head</h1><p>{LONG * 2}</p><div id='comments'><article class=comment><p>{LONG}</p></article></div></article>", ("Head " + LONG * 2).strip()),
+    (f"<div class='layout with-sidebar'><article><h1>Head</h1><p>{LONG}</p></article><div class='sidebar'><p>Most read stories of today</p></div></div>", ("Head " + LONG).strip()),
+    (f"<div class='social-issues-page'><h2>Head</h2><p>{LONG * 2}</p><p>{LONG * 3}</p></div>", ("Head " + LONG * 5).strip()),
+    (f"<article><h1>Head</h1><p>{LONG * 4}</p><p class='share-price'>{LONG * 5}</p><p>{LONG * 4}</p><p class='share'>Share this story</p><p>{LONG * 6}</p></article>", ("Head " + LONG * 19).strip()),
+    (f"<form id=aspnetForm><article><p>{LONG * 2}</p></article></form>", (LONG * 2).strip()),
 ]
 
 
@@ -41,3 +49,45 @@ def test_rows(spark):
     want = [(i, f"u{i}", t, len(t)) for i, (_, t) in enumerate(PAGES)] + [(0, "u0", PAGES[0][1], len(PAGES[0][1])), (None, None, "é𝄞", 2)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_neighbours_decide():
+    """The same block, with neighbours of running text and among links."""
+    plain = f"<div><p>{LONG * 4}</p><p>Short words</p><p>{LONG * 4}</p></div>"
+    links = f"<div><p><a href=a>One more</a></p><p>Short words</p><p><a href=b>Two more</a></p></div><div><p>{LONG * 4}</p></div>"
+    assert "Short words" in main_text(plain) and "Short words" not in main_text(links)
+
+
+def test_features_of_neighbours_change_decisions():
+    pages = [f"<div><p><a href=a>One</a></p><p>{LONG}</p><p><a href=b>Two more</a></p></div><div><h2>Head</h2><p>{LONG * k}</p><p>So.</p><p>{LONG * 3}</p></div>" for k in range(1, 8)]
+    changed = 0
+    for page in pages:
+        for row in features(Blocks(page).found):
+            alone = (*row[:2], 0.0, 0.0, 0.0, 0.0, *row[6:])
+            changed += default_tree().judge(row) != default_tree().judge(alone)
+    assert changed > 0
+
+
+def test_precision_and_recall_without_article_tags():
+    """Made-up pages whose content has no element of its own: what is content is known, the tree has to tell."""
+    rng = random.Random(7)
+    right = wrong = missed = 0
+    for _ in range(200):
+        menu = "".join(f"<li><a href=/{i}>{'word ' * rng.randint(1, 2)}</a></li>" for i in range(rng.randint(3, 8)))
+        ad = "buy this now please dear reader"[: rng.randint(8, 30)]
+        content = [("h1", "Some title of the page")] + [("p", " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.choice([2, 9, 30, 60, 120])))) for _ in range(rng.randint(2, 9))]
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in content)
+        page = f"<body><nav><ul>{menu}</ul></nav><div class=ad>{ad}</div><div>{body}</div><div class=related>{menu}</div><footer>all rights reserved</footer>"
+        tree, blocks = default_tree(), Blocks(page).found
+        got = [b.text for b, row in zip(blocks, features(blocks), strict=True) if tree.judge(row)]
+        want = [x for _, x in content]
+        hits = sum((Counter(got) & Counter(want)).values())
+        right, wrong, missed = right + hits, wrong + len(got) - hits, missed + len(want) - hits
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+
+
+@pytest.mark.parametrize("words", [1, 5, 20, 40, 53, 60, 80, 150])
+def test_comments_and_navigation_stay_out_at_any_length(words):
+    text = "word " * words
+    page = f"<article><h1>Head</h1><p>{LONG * 9}</p><div class=comment-list><p>{text}</p><p>{text}</p></div></article><footer><p>{text}</p></footer>"
+    assert main_text(page) == ("Head " + LONG * 9).strip()
