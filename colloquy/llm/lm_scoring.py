@@ -217,7 +217,9 @@ class Model:
         """Of all classes, and of all parts of the tokens' own classes."""
         out = []
         for start, own in ((self.class_prior, found[:SEEN]), (self.part_prior[c], found[SEEN:])):
-            total = self.weights[own[0]] + start
+            # arrays that came with a broadcast have a type object of their own, with which numpy adds rows slowly
+            total = np.empty((len(c), CLASSES), np.float32)
+            np.add(self.weights[own[0]], start, out=total)
             for rows in own[1:]:
                 total += self.weights[rows]
             total -= total.max(1, keepdims=True)
@@ -247,13 +249,16 @@ class Model:
     def expect(self, ids: np.ndarray, sizes: np.ndarray, into: np.ndarray) -> None:
         """Adds how often the model expects each outcome after each feature."""
         c, _, found = self.features(ids, sizes)
-        every = np.arange(CLASSES)
+        every, flat = np.arange(CLASSES), into.reshape(-1)
+        at = np.empty((CHUNK, CLASSES), np.int64)  # one buffer for all chunks
         for i in range(0, len(ids), CHUNK):
             own = slice(i, i + CHUNK)
             for expected, rows in zip(self.probabilities(c[own], found[:, own]), (found[:SEEN, own], found[SEEN:, own]), strict=True):
-                flat = expected.ravel()
+                place = at[: len(expected)]
                 for r in rows:
-                    np.add.at(into.reshape(-1), (r[:, None] * CLASSES + every).ravel(), flat)
+                    np.multiply(r[:, None], CLASSES, out=place)
+                    np.add(place, every, out=place)
+                    np.add.at(flat, place.reshape(-1), expected.reshape(-1))
 
 
 def moved(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
