@@ -377,7 +377,7 @@ def gathered(training: DataFrame, model: Model, tokens: int, add: Callable[[Mode
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = len(model.weights)
-    tasks = max(spark.sparkContext.defaultParallelism, tokens // model.weights.size)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, tokens // (4 * model.weights.size))
 
     @freeing
     def run(batches: Batches) -> Batches:
