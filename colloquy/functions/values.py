@@ -39,9 +39,18 @@ def region(lng: Column) -> Column:
     return F.when(lng < -30, "Americas").when(lng < 60, "Europe-Africa").otherwise("Asia-Pacific")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number's absolute value with so many decimals; ties go up, and a value short of the tie goes down."""
+    scale = 10.0**digits
+    size = F.abs(value.cast("double"))
+    up = F.floor(size * scale + 0.5)
+    nearest = F.when((up - 0.5) / scale > size, up - 1).otherwise(up)
+    return F.format_string(f"%.{digits}f", nearest / scale)
+
+
 def percent_text(share: Column) -> Column:
     """One decimal and a percent sign; a dash for null and NaN."""
-    return _finite(share, F.concat(F.format_string("%.1f", F.bround(share * 100, 1)), F.lit("%")))
+    return _finite(share, F.concat(F.when(share < 0, "-").otherwise(""), fixed(share * 100, 1), F.lit("%")))
 
 
 def count_text(n: Column) -> Column:
@@ -51,8 +60,7 @@ def count_text(n: Column) -> Column:
 
 def net_text(value: Column) -> Column:
     """Two decimals with a sign (a true minus); a dash for null and NaN."""
-    shown = F.format_string("%.2f", F.bround(F.abs(value), 2))
-    return _finite(value, F.concat(F.when(value < 0, MINUS).otherwise("+"), shown))
+    return _finite(value, F.concat(F.when(value < 0, MINUS).otherwise("+"), fixed(value, 2)))
 
 
 def _finite(value: Column, text: Column) -> Column:

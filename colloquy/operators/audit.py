@@ -84,14 +84,10 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trail(scored_posts(spark, sf_dir), 8, KEY).select("post_id", "decision_type", "version", "output", "input_hmac")
 
 
-@query("audit_trail_json", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit where post_id < 20 group by post_id)")
-def audit_trail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on the first twenty posts, as its SQL says; audit_trail_json_all gives those on every post."""
-    return as_json(audited(scored_posts(spark, sf_dir).where("post_id < 20")))
-
-
 @query("audit_trail_json_all", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit group by post_id)")
-def audit_trail_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("audit_trail_json", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit group by post_id)")
+def audit_trail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on every post; registered under two names."""
     return as_json(audited(scored_posts(spark, sf_dir)))
 
 

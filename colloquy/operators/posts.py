@@ -78,9 +78,9 @@ def filter_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(posts(spark, sf_dir), location="Tokyo").select("post_id", "location")
 
 
-@query("filter_date_range", "select post_id, collected_at from posts where collected_at >= timestamp '2024-06-10' and collected_at <= timestamp '2024-06-20'")
+@query("filter_date_range", "select post_id, collected_at from posts where collected_at >= timestamp '2024-06-30' and collected_at <= timestamp '2024-07-01'")
 def filter_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtered(posts(spark, sf_dir), from_="2024-06-10", to="2024-06-20").select("post_id", "collected_at")
+    return filtered(posts(spark, sf_dir), from_="2024-06-30", to="2024-07-01").select("post_id", "collected_at")
 
 
 @query("located_posts", "select post_id, location from posts where location is not null and location <> ''")
@@ -245,11 +245,11 @@ def themes_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ingest ---
 
 
-def payloads(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
-    """Raw payloads as they might arrive, derived from the whole documents, or from `length` characters of each."""
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw payloads as they might arrive, derived from the whole documents."""
     d = F.col("doc_id")
     head = F.concat(F.lit("  Title  "), d.cast("string"), F.lit("\n"))
-    body = F.col("text") if length is None else F.left("text", F.lit(length))
+    body = F.col("text")
     return table(spark, sf_dir, "documents").select(
         d.alias("post_id"),
         F.when(d % 3 == 0, "reddit").otherwise("rss").alias("source_type"),
@@ -281,21 +281,16 @@ def normalised(raw: DataFrame) -> DataFrame:
 
 _RAW = """raw as (
     select doc_id as post_id, case when doc_id % 3 = 0 then 'reddit' else 'rss' end as source_type,
-        trim(regexp_replace(case when doc_id % 3 = 0 then 'Title  ' || doc_id || case when doc_id % 2 = 0 and trim(left(text, 200), E' \\t\\n\\r') <> '' then E'\\n\\n' || trim(left(text, 200), E' \\t\\n\\r') else '' end else left(text, 200) end, '\\s+', ' ', 'g')) as content,
+        trim(regexp_replace(case when doc_id % 3 = 0 then 'Title  ' || doc_id || case when doc_id % 2 = 0 and trim(text, E' \\t\\n\\r') <> '' then E'\\n\\n' || trim(text, E' \\t\\n\\r') else '' end else text end, '\\s+', ' ', 'g')) as content,
         case doc_id % 3 when 0 then doc_id::varchar when 1 then 'e' || doc_id else '' end as external_id
     from documents
 )"""
 
 
+@query("normalise_posts_whole", f"select * from (with {_RAW} select post_id, source_type, content, sha256(content) as content_hash, external_id from raw)")
 @query("normalise_posts", f"select * from (with {_RAW} select post_id, source_type, content, sha256(content) as content_hash, external_id from raw)")
 def normalise_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL says, of the first 200 characters of each text; normalise_posts_whole takes them all."""
-    return normalised(payloads(spark, sf_dir, 200)).drop("payload")
-
-
-@query("normalise_posts_whole", f"select * from (with {_RAW.replace('left(text, 200)', 'text')} select post_id, source_type, content, sha256(content) as content_hash, external_id from raw)")
-def normalise_posts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts, normalised and hashed."""
+    """Whole texts, normalised and hashed; registered under two names."""
     return normalised(payloads(spark, sf_dir)).drop("payload")
 
 
@@ -307,8 +302,8 @@ def payload_pii_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An incoming batch: half of the posts, some of them twice."""
-    incoming = posts(spark, sf_dir).where("post_id % 2 = 0")
+    """An incoming batch: all posts, some of them twice."""
+    incoming = posts(spark, sf_dir)
     return incoming.unionByName(incoming.where("post_id % 10 = 0"))
 
 
@@ -318,17 +313,19 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_posts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of the batch that the store doesn't hold by source and external id, each once."""
+    """Rows of the batch that the store doesn't hold by source and external id, each once; of rows that differ, the first in order of their columns."""
     key = ["source_name", "external_id"]
-    return incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    rest = [c for c in incoming.columns if c not in key]
+    new = incoming.join(existing.select(*key), key, "left_anti")
+    return new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(*incoming.columns)
 
 
-@query("ingest_new_posts", "select post_id, source_name, external_id from posts where post_id % 2 = 0 and post_id % 3 <> 0")
+@query("ingest_new_posts", "select post_id, source_name, external_id from posts where post_id % 3 <> 0")
 def ingest_new_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_posts(batch(spark, sf_dir), stored(spark, sf_dir)).select("post_id", "source_name", "external_id")
 
 
-@query("ingest_batch_counts", "select count(*) + count(*) filter (post_id % 10 = 0) as total, count(*) filter (post_id % 3 <> 0) as new, count(*) filter (post_id % 3 = 0) + count(*) filter (post_id % 10 = 0) as skipped from posts where post_id % 2 = 0")
+@query("ingest_batch_counts", "select count(*) + count(*) filter (post_id % 10 = 0) as total, count(*) filter (post_id % 3 <> 0) as new, count(*) filter (post_id % 3 = 0) + count(*) filter (post_id % 10 = 0) as skipped from posts")
 def ingest_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of the batch came, were new and were skipped."""
     key = ["source_name", "external_id"]
@@ -343,7 +340,7 @@ def ingested(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return with_dqi(with_relevance(with_sentiment(new_posts(incoming, existing))))
 
 
-@query("ingest_pipeline", "select post_id, indicator, comparative, relevance, round(dqi_total, 6) as dqi_total from dqi where post_id % 2 = 0 and post_id % 3 <> 0")
+@query("ingest_pipeline", "select post_id, indicator, comparative, relevance, round(dqi_total, 6) as dqi_total from dqi where post_id % 3 <> 0")
 def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(batch(spark, sf_dir), stored(spark, sf_dir)).select("post_id", "indicator", "comparative", "relevance", F.round("dqi_total", 6).alias("dqi_total"))
 

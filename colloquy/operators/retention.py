@@ -11,8 +11,8 @@ from ..functions.text import with_relevance
 from ..plans.scored import counts, with_indicator
 from ..sources.tables import embeddings, posts
 
-#: "Today" of the demonstration, which puts the end of the hot window into the derived month.
-TODAY = "2024-09-15"
+#: "Today" of the demonstration: the hot window ends within the newest day of the derived posts, so both tiers hold rows at every size.
+TODAY = "2024-09-29"
 CUTOFF_SQL = f"(date '{TODAY}' - interval {model.RETENTION_DAYS} day)"
 
 

@@ -95,7 +95,7 @@ def story(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = kinds.agg(F.min(at).alias("hi"), F.max(at).alias("lo"), F.count("*").alias("n")).where("n >= 2")
     messengers = card(
         "messengers", ends, msgHiCategory=name(F.col("hi.category")), msgHiNet=net_of(-F.col("hi.k")), msgHiSource=name(F.col("hi.top_source")), msgLoCategory=name(F.col("lo.category")), msgLoNet=net_of(-F.col("lo.k")),
-        msgLoSource=name(F.col("lo.top_source")), msgGap=F.format_string("%.2f", F.bround(F.col("lo.k") - F.col("hi.k"), 2)),
+        msgLoSource=name(F.col("lo.top_source")), msgGap=values.fixed(F.col("lo.k") - F.col("hi.k"), 2),
     )
     warmest, coolest = (by_net(rows, w, 1).select(F.col("city").alias(f"{k}_city"), F.col("net").alias(f"{k}_net")) for k, w in (("warm", True), ("cool", False)))
     eligible = rows.where(F.col("total") >= model.MIN_TOTAL).agg(F.count("*").alias("eligible")).where("eligible >= 2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from ..functions.text import with_relevance
 from ..sources.tables import embeddings, posts
 
 DIMENSION = 64
-#: Query vectors broadcast at most; a larger set meets the vectors in blocks of this size.
-BROADCAST_VECTORS = 10_000
+#: Asked vectors of a block and vectors of a chunk, about.
+BLOCK_VECTORS, CHUNK_VECTORS = 8_192, 16_384
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -26,8 +27,6 @@ def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     would be loaded where the generator starts, once for each worker."""
     import zlib
 
-    import numpy as np
-
     for batch in texts:
         out = []
         for text in batch:
@@ -69,46 +68,56 @@ def embedding_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(old, new, "post_id", "version").select("post_id", "model_name")
 
 
+def _closest(asked: pd.DataFrame, chunk: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k most similar vectors of a chunk for each asked one; ties (to six decimals) go to the smaller id."""
+    if asked.empty or chunk.empty:
+        return pd.DataFrame({"query_id": [], "post_id": [], "similarity": []}).astype({"query_id": "int64", "post_id": "int64", "similarity": "float64"})
+    q, v = (np.array(x["embedding"].tolist(), np.float64).reshape(len(x), -1) for x in (asked, chunk))
+    q, v = (x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1.0) for x in (q, v))
+    ids, names = chunk["post_id"].to_numpy(), asked["post_id"].to_numpy()
+    found = []
+    for low in range(0, len(q), 256):  # a bounded share of the similarities at once
+        near = q[low : low + 256] @ v.T
+        near[names[low : low + 256, None] == ids[None, :]] = -np.inf
+        shown = np.round(near, 6)
+        for i, row in enumerate(shown):
+            at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+            at = at[np.isfinite(row[at])]
+            at = at[np.lexsort((ids[at], -row[at]))[:k]]
+            found.append(pd.DataFrame({"query_id": names[low + i], "post_id": ids[at], "similarity": near[i][at]}))
+    return pd.concat(found)
+
+
 def nearest(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k most similar other posts of each asked one, exactly. Vectors are brought to unit length
-    once, so a pair costs one product; the asked set is broadcast up to a checked number, and each
-    partition keeps k rows for a query before the rows meet."""
-
-    def unit(df: DataFrame) -> DataFrame:
-        length = F.sqrt(values.dot(F.col("embedding"), F.col("embedding")))
-        return df.withColumn("unit", F.transform("embedding", lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0)))
-
-    blocks = -(-asked.count() // BROADCAST_VECTORS)
-    q = unit(asked).select(F.col("post_id").alias("query_id"), F.col("unit").alias("q"))
-    if blocks <= 1:
-        pairs = unit(vectors).join(F.broadcast(q), F.col("post_id") != F.col("query_id"))
-    else:
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        each = unit(vectors).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = each.join(q, (each["block"] == q["block"]) & (F.col("post_id") != F.col("query_id")))
-    pairs = pairs.select("query_id", "post_id", values.dot(F.col("q"), F.col("unit")).alias("similarity"))
+    """The k most similar other posts of each asked one, exactly. Asked ones are dealt to blocks and vectors to chunks
+    of bounded size; each pair of a block and a chunk is one product of matrices that keeps k rows for an asked one.
+    Vectors of different dimension don't compare; null vectors take no part."""
+    asked, vectors = (df.where("embedding is not null").select("post_id", "embedding", F.size("embedding").alias("dim")) for df in (asked, vectors))
+    blocks, chunks = max(1, -(-asked.count() // BLOCK_VECTORS)), max(1, -(-vectors.count() // CHUNK_VECTORS))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("post_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = vectors.withColumn("chunk", F.pmod(F.xxhash64("post_id", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # both may come from one table
+
+    def closest(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        return _closest(one, other, k)
+
+    pairs = left.groupBy("dim", "block", "chunk").cogroup(right.groupBy("dim", "block", "chunk")).applyInPandas(closest, "query_id long, post_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "post_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 @query(
-    "similar_posts_topk",
+    "similar_posts_topk_hundredths",
     "select query_id, rank, post_id, similarity from (select q.vec_id as query_id, v.vec_id as post_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as similarity, "
-    "row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) desc, v.vec_id)::integer as rank from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id < 10) where rank <= 5",
+    "row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) desc, v.vec_id)::integer as rank from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) where rank <= 5",
 )
-def similar_posts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five neighbours of ten given posts."""
-    all_ = embeddings(spark, sf_dir)
-    return nearest(all_.where("post_id < 10"), all_, 5).select("query_id", "rank", "post_id", F.round("similarity", 6).alias("similarity"))
-
-
 @query(
-    "similar_posts_topk_hundredths",
+    "similar_posts_topk",
     "select query_id, rank, post_id, similarity from (select q.vec_id as query_id, v.vec_id as post_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as similarity, "
     "row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) desc, v.vec_id)::integer as rank from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) where rank <= 5",
 )
-def similar_posts_topk_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five neighbours of every post whose id is divisible by 100."""
+def similar_posts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five neighbours of every post whose id is divisible by 100; registered under two names."""
     all_ = embeddings(spark, sf_dir)
     return nearest(all_.where("post_id % 100 = 0"), all_, 5).select("query_id", "rank", "post_id", F.round("similarity", 6).alias("similarity"))
 

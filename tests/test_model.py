@@ -193,3 +193,9 @@ def test_ingest_twice_adds_nothing(spark):
     batch = spark.createDataFrame([("s", "1", 1), ("s", "1", 1), ("s", "2", 2)], key)
     first = posts.new_posts(batch, batch.limit(0))
     assert first.count() == 2 and posts.new_posts(batch, first).count() == 0
+
+
+def test_formats_take_ties_up(spark):
+    df = spark.createDataFrame([(0.125, 0.0625), (-0.125, 0.1245), (0.375, 0.0005), (1.005, 1.0), (0.0, 0.5)], "s double, p double")
+    got = [tuple(r) for r in df.select(values.net_text(F.col("s")), values.percent_text(F.col("p"))).collect()]
+    assert got == [("+0.13", "6.3%"), (f"{values.MINUS}0.13", "12.5%"), ("+0.38", "0.1%"), ("+1.00", "100.0%"), ("+0.00", "50.0%")]
