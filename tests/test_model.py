@@ -183,7 +183,8 @@ def test_nearest_in_blocks_equals_one_broadcast(spark, monkeypatch):
     rows = [(i, [float((i * 7) % 5 - 2), float((i * 3) % 7 - 3), 1.0]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "post_id long, embedding array<float>")
     whole = sorted(map(tuple, vectors.nearest(df.where("post_id < 9"), df, 3).select("query_id", "rank", "post_id").collect()))
-    monkeypatch.setattr(vectors, "BROADCAST_VECTORS", 4)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 4)
+    monkeypatch.setattr(vectors, "CHUNK_VECTORS", 7)
     assert whole == sorted(map(tuple, vectors.nearest(df.where("post_id < 9"), df, 3).select("query_id", "rank", "post_id").collect()))
     assert len(whole) == 27
 
