@@ -14,7 +14,7 @@ Rows are dealt by conversation and read in order of turn as a stream, so a worke
 conversation at a time.
 
 Defined results: null text is empty, null role is the empty role. Turns order by turn (null first),
-then role, then text, so ties and repeated rows keep a fixed order. A null conversation id is a
+then role, then text, then parts, so ties and repeated rows keep a fixed order. A null conversation id is a
 conversation of its own. An empty table gives no rows. Where the input has a column `parts`
 (array<struct<kind, text, ref, tokens>>) that isn't null, it replaces the row's text; a part of
 unknown kind is an error, a null part is skipped. Other columns are ignored.
@@ -35,6 +35,7 @@ FORMATTED = (
     "conv_id long, formatted string, loss_starts array<int>, loss_ends array<int>, "
     "attachments array<struct<turn: int, place: int, kind: string, ref: string, tokens: long>>, expanded_tokens long"
 )
+KINDS = ("text", "image", "audio", "document")
 CONTROL = re.compile(r"[\\<|]")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: Escapes, turn heads, ends and placeholders, as they stand in a formatted string.
@@ -70,10 +71,9 @@ class Flattener:
         self.write(f"<|turn {escape(role)}|>")
         for part in parts:
             if part is not None:
-                visit = getattr(self, f"visit_{part['kind']}", None)
-                if visit is None:
+                if part["kind"] not in KINDS:
                     raise ValueError(f"unknown kind of part: {part['kind']}")
-                visit(part, role)
+                getattr(self, f"visit_{part['kind']}")(part, role)
         self.write("<|end|>\n")
 
     def visit_text(self, part: dict, role: str) -> None:
@@ -100,7 +100,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     text_part = F.array(F.struct(F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens"))).cast(kind)
     parts = F.coalesce(F.col("parts").cast(kind), text_part) if "parts" in turns.columns else text_part
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "parts")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "parts").select("conv_id", "role", "parts")
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int32())), ("loss_ends", pa.list_(pa.int32())), ("attachments", pa.list_(pa.struct([("turn", pa.int32()), ("place", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

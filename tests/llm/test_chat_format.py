@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from colloquy.llm.chat_format import digests, escape, format_conversations, turns_of, unescape
+from colloquy.llm.chat_format import Flattener, digests, escape, format_conversations, turns_of, unescape
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,3 +47,9 @@ def test_parts_and_attachments(spark):
 def test_broken_strings_are_refused(broken):
     with pytest.raises(ValueError):
         turns_of(broken)
+
+
+@pytest.mark.parametrize("kind", ["attachment", "turn", "video", None])
+def test_kinds_that_are_none(kind):
+    with pytest.raises(ValueError, match="unknown kind"):
+        Flattener().visit_turn("user", [{"kind": kind, "text": "x", "ref": None, "tokens": None}])
