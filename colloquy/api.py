@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import values
 from .functions.text import with_relevance
-from .operators import audit, bias, cities, posts
+from .operators import audit, bias, cities, posts, retention
 from .plans.scored import counts, scored_posts, with_indicator
 from .sources.store import Store
 from .sources.tables import AS_OF, sources
@@ -20,7 +20,9 @@ class Api:
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
 
     def health(self) -> DataFrame:
-        return bias.health_snapshot(self.spark, self.sf_dir)
+        """One row: state, newest job, open alerts."""
+        alerts = bias.latest_assessments(with_indicator(self.spark, self.sf_dir), audit.jobs(self.spark, self.sf_dir)).where("is_violation")
+        return bias.health(audit.jobs(self.spark, self.sf_dir), alerts.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
 
     def city_sentiment(self, platform: str | None = None, from_: str | None = None, to: str | None = None) -> DataFrame:
         rows = posts.filtered(with_indicator(self.spark, self.sf_dir), category=platform, from_=from_, to=to)
@@ -38,11 +40,20 @@ class Api:
         """Filtered posts; this endpoint refuses a limit outside 1 to 100."""
         return posts.listed(with_indicator(self.spark, self.sf_dir), limit, **conditions)
 
+    def audited_post(self, post_id: int) -> DataFrame:
+        """The post that a trail belongs to, one row; a post that does not exist is a LookupError."""
+        found = audit.post_block(scored_posts(self.spark, self.sf_dir), post_id)
+        if found.isEmpty():
+            raise LookupError(f"no post {post_id}")
+        return found
+
     def audit(self, post_id: int, key: str | None = None) -> DataFrame:
+        """The decisions on a post with method, settings and reasons, in order of time."""
         return audit.trail(scored_posts(self.spark, self.sf_dir), post_id, key)
 
     def bias(self) -> DataFrame:
-        return bias.bias_latest(self.spark, self.sf_dir)
+        """All assessments of the latest completed job; `is_violation` marks the violations."""
+        return bias.latest_assessments(with_indicator(self.spark, self.sf_dir), audit.jobs(self.spark, self.sf_dir))
 
     def methodology(self) -> DataFrame:
         return audit.methodology_current(self.spark, self.sf_dir)
@@ -57,6 +68,10 @@ class Api:
     def themes(self, k: int = 12, min_volume: int = 3) -> DataFrame:
         return posts.themes(with_relevance(with_indicator(self.spark, self.sf_dir)), k, min_volume)
 
+    def compact(self, store: Store, today: str, month: str | None = None) -> DataFrame:
+        """Compacts the months beyond retention, or the one asked for, and says what was done."""
+        return retention.compact(store, today, month)
+
     def run_pipeline(self, store: Store, incoming: DataFrame) -> None:
         """Takes a batch of posts in: new ones are scored in one pass, then posts, results and audit rows are
         appended. Running it again with the same batch adds nothing."""

@@ -50,7 +50,7 @@ LEXICON = {
     "bad": -3, "terrible": -4, "harm": -2, "fear": -2, "risk": -2, "biased": -2, "fraud": -4, "worthless": -2, "stupid": -2, "hate": -3, "fail": -2, "worried": -3,
 }
 
-# Thresholds.
+# Thresholds.
 POSITIVE_ABOVE, NEGATIVE_BELOW = 0.05, -0.05
 WARM_FROM, BUCKET_ABOVE = 0.1, 0.1
 GATE_RELEVANCE, GATE_CONFIDENCE = 0.40, 0.85
@@ -62,7 +62,7 @@ MIN_TOTAL, DIVIDE_MIN_SHARE, MIN_THEME_VOLUME = 5, 0.08, 3
 BAR_WIDTH, BAR_DEPTH, BAR_GAP, BAR_TOP, BAR_FLOOR, SEGMENT_FLOOR = 0.15, 0.10, 0.05, 500_000, 5_000, 2_000
 RETENTION_DAYS = 90
 
-#: Registered scoring methods; null deprecated_at means in force.
+# Registered scoring methods; null deprecated_at means in force.
 METHODOLOGIES = [
     ("sentiment", "1.0.0", "lexicon-valence-v1", '{"positive_threshold":0.05,"negative_threshold":-0.05}', "2024-01-01", None),
     ("relevance", "1.0.0", "keyword-relevance-v1", '{"keywords":20,"threshold":0}', "2024-01-01", None),
@@ -71,6 +71,14 @@ METHODOLOGIES = [
     ("bias", "1.0.0", "distribution-checks-v1", '{"location_concentration_max":0.6,"platform_parity_max_diff":0.3,"negative_dominance_max":0.7}', "2024-01-01", None),
 ]
 
+#: Why each method decides as it does, in plain words.
+JUSTIFICATIONS = {
+    "sentiment": "The values of known words are added up and divided by the number of words.",
+    "relevance": "A post is relevant if it holds one of the listed keywords.",
+    "discourse": "Five signs of deliberation are scored from 0 to 1 and averaged.",
+    "bias": "Shares and means of groups of posts are held against fixed limits.",
+}
+
 POSTS = T.StructType(
     [
         T.StructField("post_id", T.LongType()),

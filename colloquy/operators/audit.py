@@ -61,17 +61,34 @@ def audit_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trail(scored: DataFrame, post_id: int, key: str | None) -> DataFrame:
     """A post's audit rows with the method in force; the input hash only as a keyed hash, and not at all without a key."""
     spark = scored.sparkSession
-    methods = methodologies(spark).where("deprecated_at is null").select(F.col("component").alias("decision_type"), "version", "model_name")
+    methods = methodologies(spark).where("deprecated_at is null").select(F.col("component").alias("decision_type"), "version", "model_name", "config")
     rows = audited(scored.where(F.col("post_id") == post_id)).join(F.broadcast(methods), "decision_type")
+    reasons = F.create_map(*[F.lit(x) for pair in model.JUSTIFICATIONS.items() for x in pair])
+    rows = rows.withColumn("justification", F.element_at(reasons, F.col("decision_type"))).orderBy("collected_at", "decision_type")
     shown = rows.withColumn("input_hmac", values.hmac_sha256(key, F.col("input_hash"))) if key else rows
     return shown.drop("input_hash")
 
 
+def post_block(found: DataFrame, post_id: int) -> DataFrame:
+    """What a trail says of its post: the first 120 characters, place, source and time; no row without the post."""
+    return found.where(F.col("post_id") == post_id).select("post_id", F.substring("content", 1, 120).alias("content_snippet"), "location", "category", "source_name", "collected_at")
+
+
+@query("audit_post_block", "select post_id, content[:120] as content_snippet, location, category, source_name, collected_at from posts where post_id = 8")
+def audit_post_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return post_block(posts(spark, sf_dir), 8)
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """Each post's decisions as one JSON array."""
     return rows.groupBy("post_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("decision_type", "output")))).alias("decisions"))
 
 
+def _of_method(column: int) -> str:
+    """A column of the methods in force, by decision type, in SQL."""
+    return "case decision_type " + " ".join(f"when '{m[0]}' then '{m[column]}'" for m in model.METHODOLOGIES if m[5] is None) + " end"
+
+
 def _hmac_constant() -> str:
     """The keyed hash in SQL, with the padded keys as literals."""
     raw = KEY.encode().ljust(64, b"\0")
@@ -84,6 +101,16 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trail(scored_posts(spark, sf_dir), 8, KEY).select("post_id", "decision_type", "version", "output", "input_hmac")
 
 
+_REASON = "case decision_type " + " ".join(f"when '{k}' then '{v}'" for k, v in model.JUSTIFICATIONS.items()) + " end"
+
+
+@query("audit_decisions", f"select * from (with {_AUDIT} select post_id, decision_type, {_of_method(2)} as model_name, {_of_method(1)} as version, {_of_method(3)} as config, {_REASON} as justification, output, confidence, collected_at from audit where post_id = 8)")
+def audit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full trail of a post without a key: no input hash in any form, the method with its settings and reasons."""
+    found = trail(scored_posts(spark, sf_dir), 8, None).withColumn("confidence", F.round("confidence", 6))
+    return found.select("post_id", "decision_type", "model_name", "version", "config", "justification", "output", "confidence", "collected_at")
+
+
 @query("audit_trail_json_all", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit group by post_id)")
 @query("audit_trail_json", f"select * from (with {_AUDIT} select post_id, '[' || string_agg('{{\"decision_type\":\"' || decision_type || '\",\"output\":' || to_json(output) || '}}', ',' order by decision_type) || ']' as decisions from audit group by post_id)")
 def audit_trail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +137,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processing jobs, derived from the posts they took in; the last one is still running."""
     found = posts(spark, sf_dir).groupBy("job_id").agg(F.count("*").alias("posts_processed"))
     started = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), (F.lit(4) - F.col("job_id")).cast("int"))
-    return found.withColumn("started_at", started).withColumn("status", F.when(F.col("job_id") == 3, "running").otherwise("completed"))
+    found = found.withColumn("started_at", started).withColumn("status", F.when(F.col("job_id") == 3, "running").otherwise("completed"))
+    return found.withColumn("completed_at", F.when(F.col("status") == "completed", F.col("started_at") + F.expr("interval 30 minutes")))
 
 
-JOBS_SQL = f"jobs as (select job_id, count(*) as posts_processed, timestamp '{AS_OF}' - to_hours(4 - job_id) as started_at, case when job_id = 3 then 'running' else 'completed' end as status from posts group by job_id)"
+JOBS_SQL = f"jobs as (select job_id, count(*) as posts_processed, timestamp '{AS_OF}' - to_hours(4 - job_id) as started_at, case when job_id = 3 then 'running' else 'completed' end as status, case when job_id <> 3 then timestamp '{AS_OF}' - to_hours(4 - job_id) + to_minutes(30) end as completed_at from posts group by job_id)"
 
 
 def latest(found: DataFrame) -> DataFrame:

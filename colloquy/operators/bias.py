@@ -65,7 +65,8 @@ def assessments(rows: DataFrame) -> DataFrame:
 
 
 def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return of_job(with_indicator(spark, sf_dir), JOB)
+    """The job's posts; where the posts carry the job themselves, a filter that reaches the scan does for the semi join."""
+    return with_indicator(spark, sf_dir).where(F.col("job_id") == JOB)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -83,18 +84,26 @@ def _concentration_sql(field: str, where: str, threshold: float, kind: str) -> s
     )
 
 
+
+def _all_sql(job: str) -> str:
+    """The three checks of the job that `job` names, a number or a subquery."""
+    of = f"from sentiment where job_id = {job}"
+    location = _concentration_sql("location", f"job_id = {job} and", model.LOCATION_MAX, "location_concentration")
+    return f"({location}) union all ({_PARITY.replace(_J, of)}) union all ({_NEGATIVE.replace(_J, of)})"
+
+
 _LOCATION = _concentration_sql("location", f"job_id = {JOB} and", model.LOCATION_MAX, "location_concentration")
 _PARITY = f"""select 'platform_sentiment_parity' as assessment_type, 'category' as group_field, least(arg_min(category, m), arg_max(category, m)) || ' vs ' || greatest(arg_min(category, m), arg_max(category, m)) as group_value,
     'max_pairwise_difference' as metric_name, round(max(m) - min(m), 6) as metric_value, 0.3::double as threshold, max(m) - min(m) > 0.3 as is_violation, case when max(m) - min(m) > 0.3 then 'warning' end as severity
     from (select category, avg(comparative) as m {_J} group by 1)"""
 _NEGATIVE = f"""select 'negative_dominance' as assessment_type, 'indicator' as group_field, 'negative' as group_value, 'negative_share' as metric_name, round(count(distinct post_id) filter (indicator = 'negative')::double / count(distinct post_id), 6) as metric_value,
     0.7::double as threshold, count(distinct post_id) filter (indicator = 'negative')::double / count(distinct post_id) > 0.7 as is_violation, case when count(distinct post_id) filter (indicator = 'negative')::double / count(distinct post_id) > 0.7 then 'warning' end as severity {_J}"""
-_ALL = f"({_LOCATION}) union all ({_PARITY}) union all ({_NEGATIVE})"
+_ALL = _all_sql(str(JOB))
 
 
 @query("job_posts", f"select post_id {_J}")
 def job_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _job(spark, sf_dir).select("post_id")
+    return of_job(with_indicator(spark, sf_dir), JOB).select("post_id")
 
 
 @query("bias_location_concentration", _LOCATION)
@@ -138,6 +147,22 @@ def bias_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("m.v").alias("group_value"), values.ratio(-F.col("m.k"), F.col("all")).alias("share"), F.col("m.job_id").alias("job_id"))
 
 
+_LAST = "(select job_id from jobs where status = 'completed' order by started_at desc, job_id limit 1)"
+
+
+@query("bias_latest_assessments", f"select * from (with {JOBS_SQL} select a.*, j.job_id, j.completed_at as assessed_at from ({_all_sql(_LAST)}) a cross join (select job_id, completed_at from jobs where job_id = {_LAST}) j)")
+def bias_latest_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assessment of the latest completed job, violations marked, with the time of assessing: the job's end.
+    Without a completed job there are no rows."""
+    return _rounded(latest_assessments(with_indicator(spark, sf_dir), jobs(spark, sf_dir)))
+
+
+def latest_assessments(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The checks over the posts of the latest completed job of `found`, a one-row broadcast."""
+    last = latest(found).select("job_id", F.col("completed_at").alias("assessed_at"))
+    return assessments(rows.join(F.broadcast(last.select("job_id")), "job_id", "left_semi")).join(F.broadcast(last))
+
+
 @query("active_alerts", f"select assessment_type, group_value from ({_ALL}) where is_violation and assessment_type <> 'negative_dominance'")
 def active_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts not yet resolved; those of dominance count as resolved here."""
@@ -152,6 +177,22 @@ def health_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(jobs(spark, sf_dir)).select("job_id", "posts_processed").crossJoin(F.broadcast(alerts))
 
 
+def health(found: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row: the newest job in any state (nulls without one) and the open alerts, ordered by their type. An answer that comes
+    at all shows that the engine is connected."""
+    last = found.orderBy(F.desc("started_at"), "job_id").limit(1).select("job_id", "status", "posts_processed", "started_at", "completed_at")
+    listed = alerts.where("resolved_at is null").agg(F.array_sort(F.collect_list(F.struct("assessment_type", "severity"))).alias("active_alerts"))
+    state = listed.select(F.lit("healthy").alias("health"), F.lit(True).alias("connected"), "active_alerts")
+    return state.join(F.broadcast(last), how="left")
+
+
+@query("health_report", f"select * from (with {JOBS_SQL}, last as (select * from jobs order by started_at desc, job_id limit 1) select 'healthy' as health, true as connected, job_id, status, posts_processed, started_at, completed_at, (select coalesce(string_agg(assessment_type || '/' || severity, ',' order by assessment_type), '') from ({_ALL}) where is_violation) as active_alerts from last)")
+def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = assessments(_job(spark, sf_dir)).where("is_violation").withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
+    shown = F.array_join(F.transform("active_alerts", lambda a: F.concat(a["assessment_type"], F.lit("/"), a["severity"])), ",")
+    return health(jobs(spark, sf_dir), alerts).withColumn("active_alerts", shown)
+
+
 @query("bias_source_concentration", _concentration_sql("source_name", f"job_id = {JOB} and", model.SOURCE_MAX, "source_concentration"))
 def bias_source_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(concentration(_job(spark, sf_dir), "source_name", model.SOURCE_MAX, "source_concentration"))

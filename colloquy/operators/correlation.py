@@ -87,6 +87,35 @@ def pseudo_user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(sightings(spark, sf_dir))
 
 
+def correlated(rows: DataFrame, salt: str = SALT) -> DataFrame:
+    """A profile for each pseudonym, drawn from the signal hash and the salt: users of the same signals share one.
+
+    Every accepted sighting counts as a platform; the first one gives the topics. The aggregate folds in any
+    order and has a map-side part, so a pseudonym of very many sightings is no hot task.
+    """
+    signal = signal_hash(F.col("style"), F.array("topic"), salt)
+    named = gated(rows).withColumn("pseudo_id", pseudo_id(F.concat(signal, F.lit(salt))))
+    return named.groupBy("pseudo_id").agg(
+        F.count("*").alias("platform_count"),
+        F.max("confidence").alias("correlation_confidence"),
+        F.min("sighted_at").alias("first_sighted_at"),
+        F.max("sighted_at").alias("last_sighted_at"),
+        F.min_by("topic", F.struct("sighted_at", "event_id")).alias("topic_affinity"),
+    )
+
+
+_SIGNAL = f"sha256(sha256('{{\"signals\":{{\"style\":' || user_id % 5 || ',\"topics\":[\"topic' || event_id % 3 || '\"]}},\"salt\":\"{SALT}\"}}') || '{SALT}')"
+
+
+@query(
+    "pseudo_profiles",
+    f"select pseudo_id, count(*) as platform_count, max(confidence) as correlation_confidence, min(ts) as first_sighted_at, max(ts) as last_sighted_at, 'topic' || arg_min(event_id, (ts, event_id)) % 3 as topic_affinity "
+    f"from (select *, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] as pseudo_id from (select *, ('0x' || substr({_SIGNAL}, 1, 8))::bigint as n from {_SIGHTINGS} where confidence >= 0.85)) group by pseudo_id",
+)
+def pseudo_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlated(sightings(spark, sf_dir))
+
+
 @query("correlation_confidence", "select user_id, round(0.40 * least(1.0, n / 100.0) + 0.25 * hours / 24.0 + 0.20 * types / 5.0 + 0.15 * (user_id % 10) / 10.0, 6)::double as confidence from (select user_id, count(*) as n, count(distinct extract('hour' from ts)) as hours, count(distinct event_type) as types from events group by 1)")
 def correlation_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted sum of style, time, topic and vocabulary signals."""

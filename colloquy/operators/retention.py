@@ -9,6 +9,8 @@ from .. import model
 from ..catalog import query
 from ..functions.text import with_relevance
 from ..plans.scored import counts, with_indicator
+from ..sources.shared import checkpointed
+from ..sources.store import Store
 from ..sources.tables import embeddings, posts
 
 #: "Today" of the demonstration: the hot window ends within the newest day of the derived posts, so both tiers hold rows at every size.
@@ -65,9 +67,7 @@ def rollup_topic_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rollup_source_monthly", f"select date_trunc('month', collected_at)::date as month, source_name, {_COUNTS}, round(avg(comparative), 6) as avg_comparative from sentiment group by 1, 2")
 def rollup_source_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts by month and source."""
-    rows = with_indicator(spark, sf_dir)
-    return rows.groupBy(month().alias("month"), "source_name").agg(*counts(), F.round(F.avg("comparative"), 6).alias("avg_comparative"))
+    return source_rollup(with_indicator(spark, sf_dir))
 
 
 @query("rollup_topic_cube", "select date_trunc('month', collected_at)::date as month, category, nullif(location, '') as location, grouping_id(month, category, location)::bigint as level, count(*) as total from (select *, date_trunc('month', collected_at)::date as month from (select collected_at, category, nullif(location, '') as location from posts)) group by cube (month, category, location)".replace("select date_trunc('month', collected_at)::date as month, category, nullif(location, '') as location, grouping", "select month, category, location, grouping", 1))
@@ -131,3 +131,35 @@ def tiered_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = rows.where(F.col("collected_at") >= cutoff(TODAY)).groupBy(month().alias("month"), "category").agg(F.count("*").alias("total")).withColumn("tier", F.lit("detail"))
     cold = topic_rollup(with_relevance(rows.where(F.col("collected_at") < cutoff(TODAY)))).groupBy("month", "category").agg(F.sum("total").alias("total")).withColumn("tier", F.lit("rollup"))
     return hot.unionByName(cold).select("month", "tier", "category", "total")
+
+
+def source_rollup(rows: DataFrame) -> DataFrame:
+    """Posts by month and source."""
+    return rows.groupBy(month().alias("month"), "source_name").agg(*counts(), F.round(F.avg("comparative"), 6).alias("avg_comparative"))
+
+
+def compact(store: Store, today: str, asked: str | None = None) -> DataFrame:
+    """Compacts the months due, or the one asked for, in the store: rollups are added, embeddings of its posts deleted, the
+    posts logged, their content made null; gives the log's rows of this run.
+
+    Steps come in an order that a repeated run completes after a failure: months stay due until their content is
+    null, rows are added by key, and the log is drawn from the rollups that are stored and not logged yet. Posts that
+    arrive for a month after it was logged are left as they are.
+    """
+    raw = store.read("raw_posts")
+    logged = store.read("compaction_log")
+    due = checkpointed(months_to_compact(raw, logged, today, asked))  # a row for each month
+    held = raw.join(F.broadcast(due), "month", "left_semi")
+    content = held.where("content is not null")
+    scores = store.read("sentiment_results").select("post_id", "indicator", "comparative").join(store.read("relevance_results").select("post_id", "matched_keywords"), "post_id")
+    scored = content.drop("month").join(scores, "post_id")
+    store.append("monthly_topic_rollups", topic_rollup(scored))
+    store.append("monthly_source_rollups", source_rollup(scored))
+    reason = F.concat(F.lit("month "), F.date_format("month", "yyyy-MM"), F.lit(" beyond retention"))
+    store.append("data_retention_log", content.select("post_id", F.lit("compacted").alias("action"), reason.alias("reason"), F.lit(today).cast("timestamp_ntz").alias("performed_at")))
+    store.replace("post_embeddings", store.read("post_embeddings").join(held.select("post_id"), "post_id", "left_anti"))
+    store.replace_partitions("raw_posts", held.withColumn("content", F.lit(None).cast("string")))
+    made = store.read("monthly_topic_rollups").groupBy("month").agg(F.sum("total").alias("posts_compacted"), F.count("*").alias("rollups_created"))
+    new = checkpointed(made.join(logged.select("month"), "month", "left_anti"))
+    store.append("compaction_log", new)
+    return new

@@ -1,8 +1,8 @@
 """The store: tables as Parquet folders with fixed schemas, append-only but for staged replacements.
 
-A write goes to a folder of its own first and is moved into place at the end, so a reader sees the old
-rows or the new ones, and a failed or repeated write leaves no half table. Paths may be in any file
-system that Spark reaches.
+`replace` writes to a folder of its own first and moves it into place at the end. `append` and
+`replace_partitions` leave the moving to Spark's committer and may be repeated after a failure: rows that
+are there by their key are not added again. Paths may be in any file system that Spark reaches.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 #: Tables in the order of their creation: name, columns, key (unique by construction), partition column.
 TABLES = [
     ("data_sources", "source_name string, display_name string, source_type string, category string, active boolean", ["source_name"], None),
@@ -22,7 +24,7 @@ TABLES = [
     ("sentiment_results", "post_id long, score long, comparative double, indicator string, positive_words array<string>, negative_words array<string>, token_count long", ["post_id"], None),
     ("relevance_results", "post_id long, relevance double, matched_keywords array<string>, is_relevant boolean", ["post_id"], None),
     ("discourse_results", "post_id long, dqi_total double, participation double, justification double, respectfulness double, constructiveness double, evidence double", ["post_id"], None),
-    ("data_retention_log", "post_id long, action string, reason string, performed_at timestamp_ntz", [], None),
+    ("data_retention_log", "post_id long, action string, reason string, performed_at timestamp_ntz", ["post_id", "action"], None),
     ("bias_assessments", "job_id long, assessment_type string, group_field string, group_value string, metric_name string, metric_value double, threshold double, is_violation boolean, severity string", ["job_id", "assessment_type"], None),
     ("alert_events", "job_id long, assessment_type string, severity string, resolved_at timestamp_ntz", ["job_id", "assessment_type"], None),
     ("post_embeddings", "post_id long, embedding array<float>, model_name string", ["post_id"], None),
@@ -96,5 +98,12 @@ class Store:
             raise OSError(f"{name} could not be replaced")
         fs.delete(aside, True)
 
+    def replace_partitions(self, name: str, rows: DataFrame) -> None:
+        """Puts new content in place of the partitions that `rows` holds; all others are not read or written.
+        The rows are computed in full and kept in the shared folder first, so they may come from the table itself."""
+        columns = self.spark.createDataFrame([], self.schemas[name]).columns
+        kept = checkpointed(rows.select(*columns))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partitions[name]).parquet(f"{self.folder}/{name}")
+
     def is_connected(self) -> bool:
         return self.spark.range(1).count() == 1

@@ -4,6 +4,7 @@ import pytest
 from colloquy.api import Api
 from colloquy.sources.store import TABLES, Store
 from colloquy.sources.tables import posts
+from pyspark.sql import functions as F
 
 DATA = os.environ.get("COLLOQUY_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -41,4 +42,28 @@ def test_pipeline_is_idempotent_and_endpoints_answer(spark, tmp_path):
     assert api.themes(2).count() <= 2 and api.health().count() == 1 and api.timeseries(2).count() % 2 == 0
     assert "input_hash" not in api.audit(8).columns and "input_hmac" in api.audit(8, "k").columns
     assert api.sources(True).count() < api.sources().count() and api.methodology().count() == 4
-    assert api.bias().count() == 1 and api.city_sentiment("news").count() > 0 and api.summary("news").count() == 1
+    assert api.health().first().status == "running" and {r.assessment_type for r in api.bias().collect()} == {"location_concentration", "platform_sentiment_parity", "negative_dominance"}
+    assert len(api.audited_post(8).first().content_snippet) <= 120 and "justification" in api.audit(8).columns
+    with pytest.raises(LookupError):
+        api.audited_post(-1)
+    assert api.city_sentiment("news").count() > 0 and api.summary("news").count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_compaction_of_the_store(spark, tmp_path):
+    store, api = Store(spark, str(tmp_path)), Api(spark, DATA)
+    store.migrate()
+    batch = posts(spark, DATA).where("post_id < 40").withColumn("collected_at", F.expr("case when post_id < 25 then timestamp_ntz'2024-03-05 01:00:00' else timestamp_ntz'2024-09-05 01:00:00' end"))
+    api.run_pipeline(store, batch)
+    store.append("post_embeddings", spark.createDataFrame([(3, [1.0], "m"), (30, [1.0], "m")], "post_id long, embedding array<float>, model_name string"))
+    done = api.compact(store, "2024-09-29").collect()
+    assert [(str(r.month), r.posts_compacted) for r in done] == [("2024-03-01", 25)]
+    assert done[0].rollups_created == store.read("monthly_topic_rollups").count()
+    raw = {r.post_id: r.content for r in store.read("raw_posts").collect()}
+    assert len(raw) == 40 and all((raw[i] is None) == (i < 25) for i in raw)
+    assert [r.post_id for r in store.read("post_embeddings").collect()] == [30]
+    assert store.read("data_retention_log").count() == 25
+    assert store.read("monthly_source_rollups").agg(F.sum("total")).first()[0] == 25
+    assert api.compact(store, "2024-09-29").count() == 0 and store.read("compaction_log").count() == 1
+    with pytest.raises(ValueError):
+        api.compact(store, "2024-09-29", "2024-13")
