@@ -160,6 +160,9 @@ class Encoder(dict):
             return self[core] + self[word[len(core) :]]
         if word.isascii() and (low := word.lower()) != word:
             return self[low]
+        if word.isascii() and word.isalpha():
+            # lower-case ASCII letters: normalising and the byte mapping change nothing and the pattern takes them as one piece
+            return np.array([t.id for t in self.library.model.tokenize(word)], "<u4").tobytes()
         return self.whole(word)
 
     def whole(self, text: str) -> bytes:
