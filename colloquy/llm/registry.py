@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_text, language_id, lm_scoring, near_dedup, packing, token_counts, toxicity, vector_search
+from . import chat_format, collocations, decontamination, html_text, language_id, lm_scoring, near_dedup, packing, quality, token_counts, toxicity, vector_search, whitening
 from .common import fold, read
 
 
@@ -86,6 +86,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector; a deviation beyond a long is null."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents", "lang", "text"))
+
+
+#: A document counts as good from this score on.
+GOOD_FROM = 0.3
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"), fold(F.col("doc_id"), 5) != 0)
+    return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_vector_search": op2_vector_search,
@@ -97,6 +118,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_quality": op13_quality,
 }
 
 ORACLES: dict[str, str] = {
@@ -165,5 +189,37 @@ with items as (
     from doc_words d join item_words i using (word) group by all
 )
 select doc_id, item_id, max(matched) as matched, max(n_words) as n_words from laid where matched * 100 >= n_words * 80 group by doc_id, item_id
+""",
+    "op12_collocations": r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), words as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+), grams as (
+    select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+    from words, (values (1), (2), (3), (4)) as lengths(k) where len(w) >= k
+), f as (
+    select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30
+), n as (
+    select lang, sum(len(w))::bigint as n from words group by lang
+), longer as (
+    select c.lang, c.phrase from f c join f d on d.lang = c.lang and d.k > c.k and 100 * d.f >= 80 * c.f
+        and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ') where c.k > 1
+), own as (
+    select * from f where k > 1 and (lang, phrase) not in (select (lang, phrase) from longer)
+), cuts as (
+    select lang, phrase, f as a, unnest(range(1, k)) as cut, string_split(phrase, ' ') as w from own
+), scored as (
+    select c.lang, c.phrase, c.a, c.cut, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score
+    from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[:c.cut], ' ')
+    join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+), worst as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), ranked as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, score from worst
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
 """,
 }
