@@ -69,16 +69,23 @@ def automaton(ids: np.ndarray, depth: int, pair_allowed=None) -> Automaton:
     takes two arrays of ids and says which pairs a substring may hold.
     """
     places, state_of = np.flatnonzero(ids > OUT), np.full(len(ids), -1, np.int64)
-    names, first, which, times = np.unique(ids[places], return_index=True, return_inverse=True, return_counts=True)
-    state_of[places] = which
-    last, endpos, longest, shortest, link = [places[first]], [times], [np.ones(len(names), np.int64)], [np.ones(len(names), np.int64)], [np.full(len(names), -1)]
-    total, low, width = len(names), 0, int(ids.max(initial=0)) + 1
+    width = int(ids.max(initial=0)) + 1
+    times, at = np.bincount(ids[places], minlength=width), np.zeros(width, np.int64)
+    at[ids[places]] = places
+    names = np.flatnonzero(times)
+    state_of[places] = (np.cumsum(times > 0) - 1)[ids[places]]
+    last, endpos, longest, shortest, link = [at[names]], [times[names]], [np.ones(len(names), np.int64)], [np.ones(len(names), np.int64)], [np.full(len(names), -1)]
+    total, low = len(names), 0
     for k in range(2, depth + 1):
         ends = places[1:][(np.diff(places) == 1) & (state_of[places[1:] - 1] >= 0) & (state_of[places[1:]] >= 0)]
         if k == 2 and pair_allowed is not None and len(ends):
             ends = ends[pair_allowed(ids[ends - 1], ids[ends])]
-        _, first, which, times = np.unique(state_of[ends - 1] * width + ids[ends], return_index=True, return_inverse=True, return_counts=True)
-        own, suffix = ends[first], state_of[ends[first]]
+        key = state_of[ends - 1] * width + ids[ends]
+        order = np.argsort(key)
+        new = np.diff(key[order], prepend=-1) != 0
+        times = np.diff(np.flatnonzero(new), append=len(key))
+        own = ends[order[new]]
+        suffix = state_of[own]
         same = times == np.concatenate(endpos)[suffix]  # the suffix of k - 1 words ends nowhere else: one class
         linked = np.concatenate(link)
         short = np.concatenate(shortest)
@@ -89,7 +96,7 @@ def automaton(ids: np.ndarray, depth: int, pair_allowed=None) -> Automaton:
         link.append(np.where(same, linked[suffix], suffix))
         longest[-2][suffix[same] - low] = 0  # absorbed into the longer one's state
         low, state_of = total, np.full(len(ids), -1, np.int64)
-        state_of[ends] = total + which
+        state_of[ends[order]] = total + np.cumsum(new) - 1
         total += len(own)
         places = ends
     last, endpos, longest, shortest, link = map(np.concatenate, (last, endpos, longest, shortest, link))
