@@ -22,7 +22,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         if oracle:
             from .plans.oracle import CTES
 
-            ORACLES[name] = f"with {CTES}\n{oracle.strip()}"
+            ORACLES[name] = f"with {CTES}{oracle if oracle.startswith(',') else chr(10) + oracle.strip()}"
         return f
 
     return register

@@ -22,13 +22,14 @@ def signal_hash(style: Column, topics: Column, salt: str = SALT) -> Column:
 
 
 def pseudo_id(seed: Column) -> Column:
-    """adjective-animal from the first four bytes of the seed's hash."""
-    n = F.conv(F.substring(F.sha2(seed, 256), 1, 8), 16, 10).cast("bigint")
+    """adjective-animal from the first four bytes of the seed's hash, and the next eight bytes: words alone would name different seeds alike."""
+    digest = F.sha2(seed, 256)
+    n = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
     def word(words: list[str], at: Column) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
 
-    return F.concat(word(ADJECTIVES, n), F.lit("-"), word(ANIMALS, F.floor(n / len(ADJECTIVES))))
+    return F.concat_ws("-", word(ADJECTIVES, n), word(ANIMALS, F.floor(n / len(ADJECTIVES))), F.substring(digest, 9, 16))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def _words_sql(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("pseudo_ids", f"select user_id, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] as pseudo_id from (select user_id, ('0x' || substr(sha256('user-' || user_id), 1, 8))::bigint as n from (select distinct user_id from events))")
+@query("pseudo_ids", f"select user_id, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] || '-' || substr(digest, 9, 16) as pseudo_id from (select user_id, sha256('user-' || user_id) as digest, ('0x' || substr(digest, 1, 8))::bigint as n from (select distinct user_id from events))")
 def pseudo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     return users.select("user_id", pseudo_id(F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("pseudo_id"))
@@ -88,20 +89,20 @@ def pseudo_user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlated(rows: DataFrame, salt: str = SALT) -> DataFrame:
-    """A profile for each pseudonym, drawn from the signal hash and the salt: users of the same signals share one.
+    """A profile for each signal hash, named by it and the salt: users of the same signals share one, others never do.
 
     Every accepted sighting counts as a platform; the first one gives the topics. The aggregate folds in any
     order and has a map-side part, so a pseudonym of very many sightings is no hot task.
     """
     signal = signal_hash(F.col("style"), F.array("topic"), salt)
-    named = gated(rows).withColumn("pseudo_id", pseudo_id(F.concat(signal, F.lit(salt))))
-    return named.groupBy("pseudo_id").agg(
+    folded = gated(rows).withColumn("signal_hash", signal).groupBy("signal_hash").agg(
         F.count("*").alias("platform_count"),
         F.max("confidence").alias("correlation_confidence"),
         F.min("sighted_at").alias("first_sighted_at"),
         F.max("sighted_at").alias("last_sighted_at"),
         F.min_by("topic", F.struct("sighted_at", "event_id")).alias("topic_affinity"),
     )
+    return folded.withColumn("pseudo_id", pseudo_id(F.concat("signal_hash", F.lit(salt)))).drop("signal_hash")
 
 
 _SIGNAL = f"sha256(sha256('{{\"signals\":{{\"style\":' || user_id % 5 || ',\"topics\":[\"topic' || event_id % 3 || '\"]}},\"salt\":\"{SALT}\"}}') || '{SALT}')"
@@ -110,7 +111,7 @@ _SIGNAL = f"sha256(sha256('{{\"signals\":{{\"style\":' || user_id % 5 || ',\"top
 @query(
     "pseudo_profiles",
     f"select pseudo_id, count(*) as platform_count, max(confidence) as correlation_confidence, min(ts) as first_sighted_at, max(ts) as last_sighted_at, 'topic' || arg_min(event_id, (ts, event_id)) % 3 as topic_affinity "
-    f"from (select *, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] as pseudo_id from (select *, ('0x' || substr({_SIGNAL}, 1, 8))::bigint as n from {_SIGHTINGS} where confidence >= 0.85)) group by pseudo_id",
+    f"from (select *, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] || '-' || substr(digest, 9, 16) as pseudo_id from (select *, {_SIGNAL} as digest, ('0x' || substr(digest, 1, 8))::bigint as n from {_SIGHTINGS} where confidence >= 0.85)) group by pseudo_id",
 )
 def pseudo_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlated(sightings(spark, sf_dir))
