@@ -18,7 +18,7 @@ from .shared import checkpointed
 TABLES = [
     ("data_sources", "source_name string, display_name string, source_type string, category string, active boolean", ["source_name"], None),
     ("raw_posts", "post_id long, source_name string, category string, external_id string, content string, content_hash string, location string, language string, collected_at timestamp_ntz, month date", ["source_name", "external_id"], "month"),
-    ("processing_jobs", "job_id long, triggered_by string, status string, posts_collected long, posts_processed long, started_at timestamp_ntz, completed_at timestamp_ntz", ["job_id"], None),
+    ("processing_jobs", "job_id long, triggered_by string, status string, posts_collected long, posts_processed long, started_at timestamp_ntz, completed_at timestamp_ntz", ["job_id", "status"], None),
     ("methodology_versions", "component string, version string, model_name string, config string, effective_from string, deprecated_at string", ["component", "version"], None),
     ("decision_audit_log", "audit_id string, post_id long, job_id long, decision_type string, input_hash string, output string, confidence double", ["audit_id"], None),
     ("sentiment_results", "post_id long, score long, comparative double, indicator string, positive_words array<string>, negative_words array<string>, token_count long", ["post_id"], None),
@@ -33,6 +33,7 @@ TABLES = [
     ("compaction_log", "month date, posts_compacted long, rollups_created long", ["month"], None),
     ("pseudonymous_users", "user_id long, sighting_count long, distinct_platforms long, correlation_confidence double, first_sighted_at timestamp_ntz, last_sighted_at timestamp_ntz, topic_affinity string", ["user_id"], None),
     ("user_platform_sightings", "event_id long, user_id long, source_id string, signal_hash string, confidence double, sighted_at timestamp_ntz", ["event_id"], None),
+    ("dead_letters", "letter_id string, stage string, reason string, line string, batch_id long", ["letter_id"], None),
 ]
 
 

@@ -11,9 +11,9 @@ DATA = os.environ.get("COLLOQUY_TEST_DATA", "/root/testdata/sf0.001")
 
 def test_migrations_run_once(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    assert store.migrate() == [t[0] for t in TABLES] and len(TABLES) == 17
+    assert store.migrate() == [t[0] for t in TABLES] and len(TABLES) == 18
     assert store.migrate() == [] and store.is_connected()
-    assert len(store.migrate(fresh=True)) == 17
+    assert len(store.migrate(fresh=True)) == 18
 
 
 def test_append_and_replace(spark, tmp_path):
