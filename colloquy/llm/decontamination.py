@@ -6,10 +6,12 @@ not hide a match. Every position of every document and of every benchmark item i
 mask; equal hashes propose (document, item, offset), and each proposal is verified by laying the
 item over the document at that offset: it stands if at least `SHARE` of the item's words agree.
 
-Two masks of four words find every item of ten words or more with up to a fifth of them substituted.
+Two masks of four words find every item of seven words or more with up to a fifth of them substituted.
+Shorter items are found exactly by whole runs of words: up to four words agree in full, and of five or six
+words, one of which may be substituted, either the first or the last ones do. Documents are hashed by runs
+of just the lengths that such items need, and not at all where there are none.
 
-Items of fewer than `LEAST_WORDS` words are no evidence and match nothing. Null and empty texts match
-nothing. Repeated rows of one id and text, and repeated items, give one result each; a null id is a
+Null and empty texts match nothing. Repeated rows of one id and text, and repeated items, give one result each; a null id is a
 key like any other. Other columns are ignored. Seeds and hits are broadcast only up to a checked
 number of rows, beyond which the same joins shuffle.
 """
@@ -24,8 +26,11 @@ from .common import fresh
 
 #: Words under a mask, as offsets from its start.
 MASKS = ((0, 1, 3, 4), (0, 1, 3, 6))
-#: Words of an item at least; hundredths of them that must agree.
-LEAST_WORDS, SHARE = 8, 80
+#: Words from which on the masks find an item; runs of shorter ones by their number of words, as (start, length).
+MASKED_FROM = 7
+RUNS = {1: [(0, 1)], 2: [(0, 2)], 3: [(0, 3)], 4: [(0, 4)], 5: [(0, 2), (2, 3)], 6: [(0, 3), (3, 3)]}
+#: Hundredths of an item's words that must agree.
+SHARE = 80
 #: Rows of a side that is broadcast at most (some 40 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -35,14 +40,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(hashes: str) -> Column:
-    """Seed hashes of all positions, mask after mask; those over the end hash fewer words and match nothing."""
+def _seed(hashes: str, at: Column, offsets: tuple[int, ...], number: int) -> Column:
+    return F.xxhash64(F.lit(number), *[F.get(F.col(hashes), at + k) for k in offsets])
 
-    def of(mask: int) -> Column:
-        others = MASKS[mask][1:]
-        return F.transform(F.col(hashes), lambda x, i: F.xxhash64(F.lit(mask), x, *[F.get(F.col(hashes), i + k) for k in others]))
 
-    return F.concat(*[of(m) for m in range(len(MASKS))])
+def _seeds(hashes: str, lengths: list[int] = ()) -> Column:
+    """Seed hashes of all positions, mask after mask, then runs of the lengths given; those over the end hash fewer words and match nothing."""
+    shapes = [(m, i) for i, m in enumerate(MASKS)] + [(tuple(range(n)), len(MASKS) + n) for n in lengths]
+
+    def of(offsets: tuple[int, ...], number: int) -> Column:
+        return F.transform(F.col(hashes), lambda _, i: _seed(hashes, i, offsets, number))
+
+    return F.concat(*[of(*shape) for shape in shapes])
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -57,15 +66,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched and n_words (of the item) of each item found in a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("item_words")).distinct()
-    items = items.where(F.size("item_words") >= LEAST_WORDS).withColumn("item", F.xxhash64("item_id", "item_words"))  # ids may be null
+    items = items.where(F.size("item_words") > 0).withColumn("item", F.xxhash64("item_id", "item_words"))  # ids may be null
+    hashed = _hashed(items.withColumnRenamed("item_words", "words")).select("item", "hashes", F.size("hashes").alias("n"))
 
-    item_seeds = _hashed(items.withColumnRenamed("item_words", "words")).select("item", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes")).alias("at", "seed"))
+    masked = hashed.where(F.col("n") >= MASKED_FROM).select("item", "n", F.posexplode(_seeds("hashes")).alias("at", "seed"))
     last = F.when(F.col("at") < F.col("n"), F.lit(MASKS[0][-1])).otherwise(F.lit(MASKS[1][-1]))
-    item_seeds = item_seeds.where(F.pmod("at", "n") + last < F.col("n")).select("item", F.pmod("at", "n").alias("item_at"), "seed")
+    item_seeds = masked.where(F.pmod("at", "n") + last < F.col("n")).select("item", F.pmod("at", "n").alias("item_at"), "seed")
+    short = {r["n"] for r in hashed.where(F.col("n") < MASKED_FROM).select("n").distinct().collect()}  # six at most
+    for n in sorted(short):
+        for start, length in RUNS[n]:
+            run = _seed("hashes", F.lit(start), tuple(range(length)), len(MASKS) + length)
+            item_seeds = item_seeds.unionByName(hashed.where(F.col("n") == n).select("item", F.lit(start).alias("item_at"), run.alias("seed")))
+    lengths = sorted({length for n in short for _, length in RUNS[n]})
 
     n_seeds = item_seeds.count()
     places = _hashed(docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))).select("doc_id", "text_hash", "hashes")
-    places = places.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes")).alias("at", "seed"))
+    places = places.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode(_seeds("hashes", lengths)).alias("at", "seed"))
     hits = checkpointed(places.join(_small(item_seeds, n_seeds), "seed").select("doc_id", "text_hash", "item", (F.pmod("at", "n") - F.col("item_at")).alias("offset")).distinct())
 
     found = _small(hits, hits.count()).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})

@@ -180,7 +180,7 @@ group by d.doc_id
 with items as (
     select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w <> '') as w from benchmark
 ), item_words as (
-    select item_id, len(w) as n_words, unnest(range(len(w))) as at, unnest(w) as word from items where len(w) >= 8
+    select item_id, len(w) as n_words, unnest(range(len(w))) as at, unnest(w) as word from items where len(w) > 0
 ), doc_words as (
     select doc_id, unnest(range(len(w))) as at, unnest(w) as word
     from (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: w <> '') as w from documents)

@@ -6,7 +6,7 @@ from colloquy.llm.decontamination import leaks, without_leaks
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdef", k=3)) for _ in range(40)]
-    items = [(i, rng.choices(words, k=rng.randint(5, 40))) for i in range(25)]
+    items = [(i, rng.choices(words, k=rng.choice([1, 2, 3, 4, 5, 5, 6, 6, 7, 7, 8, 9, 10, 12, 40]))) for i in range(45)]
     docs = []
     for i in range(150):
         own = rng.choices(words, k=rng.randint(0, 80))
@@ -20,12 +20,11 @@ def test_leaks_equal_brute_force(spark):
     want = set()
     for doc, d in docs:
         for item, w in items:
-            if len(w) >= 8:
-                best = max((sum(0 <= s + k < len(d) and d[s + k] == x for k, x in enumerate(w)) for s in range(-len(w) + 1, len(d))), default=0)
-                if best * 100 >= len(w) * 80:
-                    want.add((doc, item, best, len(w)))
+            best = max((sum(0 <= s + k < len(d) and d[s + k] == x for k, x in enumerate(w)) for s in range(-len(w) + 1, len(d))), default=0)
+            if best * 100 >= len(w) * 80:
+                want.add((doc, item, best, len(w)))
     rows = [(i, "  ".join(w).upper() + "!", 0) for i, w in docs]
-    rows += [rows[1], (None, rows[1][1], 0), (500, None, 0), (501, "", 0), (502, "abc " * 40_000, 0)]
+    rows += [rows[1], (None, rows[1][1], 0), (500, None, 0), (501, "", 0), (502, "xyz " * 40_000, 0)]
     bench = [(i, ", ".join(w)) for i, w in items] + [(900, None), (901, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
     b = spark.createDataFrame([*bench, bench[0]], "item_id long, text string")
