@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .catalog import ORACLES, QUERIES
-from .operators import accounts, audit, bias, cities, clusters, correlation, insights, posts, retention, story, vectors  # noqa: F401  they register themselves
+from .operators import accounts, audit, bias, cities, clusters, correlation, history, insights, posts, retention, story, vectors  # noqa: F401  they register themselves
 from .streaming import ingest, profiles  # noqa: F401
 from .streaming import queries as streams  # noqa: F401
 
