@@ -15,6 +15,8 @@ group's target or the longest single text.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -119,6 +121,11 @@ def _powers(pieces: list[Piece], n: int) -> list[list[Piece]]:
     return out
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder(dict):
     """Token ids of space-separated words as little-endian bytes, remembered up to a limit.
 
@@ -127,14 +134,17 @@ class Encoder(dict):
     given to the library as a whole. The tokenizer ignores case, so ASCII words are looked up in
     lower case. It splits letters from marks that follow them, and a word whose last letter is ASCII
     is looked up without its trailing marks first; other letters may, decomposed, end in a mark that
-    joins with those after it, and are not split. When the memory is full it becomes the older
+    joins with those after it, and are not split. What a text has in new words of lower-case Latin letters
+    goes to the library in one call, which tells the ids of each by its place. When the memory is full it becomes the older
     generation, from which words in use come back.
     """
 
     #: Marks that may trail a word.
     MARKS = ".,;:!?#&%$*|)]}\""
+    #: Words that normalising leaves as they are and the pattern takes as one piece.
+    PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, tokenizer_json: str, limit: int = 200_000):
+    def __init__(self, tokenizer_json: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -162,17 +172,39 @@ class Encoder(dict):
             return self[low]
         if word.isascii() and word.isalpha():
             # lower-case ASCII letters: normalising and the byte mapping change nothing and the pattern takes them as one piece
-            return np.array([t.id for t in self.library.model.tokenize(word)], "<u4").tobytes()
+            return pack_ids([t.id for t in self.library.model.tokenize(word)])
         return self.whole(word)
 
     def whole(self, text: str) -> bytes:
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return ids.tobytes()
+        return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f\x85\u180e"):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        words = text.split()
+        if not text.isascii():
+            self._learn({w for w in words if w not in self and not w.isascii()})
+        return b"".join(map(self.__getitem__, words))
+
+    def _learn(self, words: set[str]) -> None:
+        """Takes the plain ones of these words, or what is plain before their trailing marks, into the memory."""
+        plain = set()
+        for word in words:
+            core = word.rstrip(self.MARKS)
+            if core and core[-1].isascii() and core[-1].isalpha():
+                word = core
+            if word not in self and word not in self.older and self.PLAIN.fullmatch(word):
+                plain.add(word)
+        if len(plain) < 2 or len(self) + len(plain) > self.limit:
+            return
+        own = sorted(plain)
+        found = self.library.encode(" ".join(own), add_special_tokens=False)
+        ids, places = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        if len(starts) == len(own):  # else some word was more than one piece: each is asked for by itself
+            data, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
+            for word, low, high in zip(own, starts.tolist(), ends, strict=True):
+                self[word] = data[4 * low : 4 * high]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 1, seed: int = 17, group_chars: int = GROUP_CHARS) -> DataFrame:
