@@ -29,7 +29,7 @@ def pseudo_id(seed: Column) -> Column:
     def word(words: list[str], at: Column) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
 
-    return F.concat_ws("-", word(ADJECTIVES, n), word(ANIMALS, F.floor(n / len(ADJECTIVES))), F.substring(digest, 9, 16))
+    return F.concat(word(ADJECTIVES, n), F.lit("-"), word(ANIMALS, F.floor(n / len(ADJECTIVES))), F.substring(digest, 9, 16))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _words_sql(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("pseudo_ids", f"select user_id, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] || '-' || substr(digest, 9, 16) as pseudo_id from (select user_id, sha256('user-' || user_id) as digest, ('0x' || substr(digest, 1, 8))::bigint as n from (select distinct user_id from events))")
+@query("pseudo_ids", f"select user_id, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] || substr(digest, 9, 16) as pseudo_id from (select user_id, sha256('user-' || user_id) as digest, ('0x' || substr(digest, 1, 8))::bigint as n from (select distinct user_id from events))")
 def pseudo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     return users.select("user_id", pseudo_id(F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("pseudo_id"))
@@ -111,7 +111,7 @@ _SIGNAL = f"sha256(sha256('{{\"signals\":{{\"style\":' || user_id % 5 || ',\"top
 @query(
     "pseudo_profiles",
     f"select pseudo_id, count(*) as platform_count, max(confidence) as correlation_confidence, min(ts) as first_sighted_at, max(ts) as last_sighted_at, 'topic' || arg_min(event_id, (ts, event_id)) % 3 as topic_affinity "
-    f"from (select *, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] || '-' || substr(digest, 9, 16) as pseudo_id from (select *, {_SIGNAL} as digest, ('0x' || substr(digest, 1, 8))::bigint as n from {_SIGHTINGS} where confidence >= 0.85)) group by pseudo_id",
+    f"from (select *, {_words_sql(ADJECTIVES)}[(n % 16 + 1)::int] || '-' || {_words_sql(ANIMALS)}[((n // 16) % 17 + 1)::int] || substr(digest, 9, 16) as pseudo_id from (select *, {_SIGNAL} as digest, ('0x' || substr(digest, 1, 8))::bigint as n from {_SIGHTINGS} where confidence >= 0.85)) group by pseudo_id",
 )
 def pseudo_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlated(sightings(spark, sf_dir))
