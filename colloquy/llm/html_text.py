@@ -3,8 +3,9 @@
 A page becomes a flat list of text blocks, one between two block-level tags. A decision tree, grown by
 Gini impurity from the small labelled table below, classifies each block by its word count and link
 density, those of its two neighbours, whether it is a heading, whether it stands inside an article or
-main element, what marks it as page furniture, and whether the page has an article at all. The text is
-the chosen blocks in page order.
+main element, what marks it as page furniture, which share of the page's words stands where it stands (in
+articles or outside), and how long a run of blocks of links it belongs to. The text is the chosen blocks in page order: a teaser in an
+article element doesn't put out the text beside it, and a list of links goes or stays as a whole.
 
 A block's mark is the strongest of the elements around it: 1 for an element whose class or id names
 furniture, a hint that long blocks among long neighbours overrule; 2 for tags and roles of furniture
@@ -12,16 +13,18 @@ and for reader comments. An element's mark counts only if the element can be fur
 the article, or most of the page's words outside links, is a frame around the content.
 
 Defined results: null and empty pages, and pages without content, give empty text and 0 characters.
-Unclosed tags, cut pages and stray markup are read leniently, whatever their length. Repeated rows
-give repeated results. Other columns are ignored.
+Unclosed tags, cut pages and stray markup are read leniently, in time that grows with their length and not with
+how deeply they nest. Repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +47,8 @@ FURNITURE_WORDS = set(
 )
 COMMENT_WORDS = set("comment comments commentlist disqus replies reply respond".split())
 HINTED, MARKED = 1, 2
+#: Blocks of this link density or more count as links.
+DENSE = 0.8
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.DOTALL)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
@@ -57,8 +62,12 @@ class Element:
     comments: bool
     article: bool  # article or main itself
     late: bool  # begins after the page's first article
+    parent: int  # place of the nearest element around it, or -1
+    within: bool  # in an article, or one itself
     wraps: bool = False  # an article begins inside
-    words: float = 0.0  # outside links
+    words: float = 0.0  # outside links; at first its own, then with those of the elements inside
+    hinted: int = 0  # marks of each kind on itself and around it
+    marked: int = 0
 
 
 @dataclass
@@ -67,10 +76,11 @@ class Block:
     words: int
     density: float
     heading: bool
-    around: tuple[int, ...]  # places of the elements around it
+    inside: int  # place of the nearest element around it, or -1
     title: bool = False  # a first-level heading in an article's own header
     article: bool = False
     mark: int = 0
+    links: int = 0  # length of the run of blocks of links that it belongs to
 
 
 def _mark(tag: str, attributes: str) -> tuple[int, bool]:
@@ -98,7 +108,9 @@ class Blocks:
     def __init__(self, page: str):
         self.found: list[Block] = []
         self.elements: list[Element] = []
-        self.open: list[tuple[str, int]] = []  # tag, place of its element or -1
+        self.open: list[tuple[str, int]] = []  # tag, place of its element or of the nearest one around it, or -1
+        self.tags = Counter[str]()  # how often each tag is open
+        self.unclosed: set[str] = set()  # skipped elements that aren't closed in the rest of the page
         self.pieces: list[tuple[str, bool]] = []  # text, in a link
         self.in_link = self.heading = self.articles = False
         at = 0
@@ -116,13 +128,16 @@ class Blocks:
         self.end()
         self.weigh()
 
-    @staticmethod
-    def skipped(page: str, tag: str, at: int) -> int:
+    def skipped(self, page: str, tag: str, at: int) -> int:
         """Where a skipped element ends: after its closing tag; without one, a page's head ends at its body, others at the page's end."""
-        if end := _closing(tag).search(page, at):
-            return end.end()
-        if tag == "head" and (body := re.compile(r"<body\b", re.IGNORECASE).search(page, at)):
-            return body.start()
+        if tag not in self.unclosed:
+            if end := _closing(tag).search(page, at):
+                return end.end()
+            self.unclosed.add(tag)  # nor will a later one find its end: each search that fails is made once
+        if tag == "head" and "body" not in self.unclosed:
+            if body := re.compile(r"<body\b", re.IGNORECASE).search(page, at):
+                return body.start()
+            self.unclosed.add("body")
         return len(page) if tag in ("script", "style", "title", "textarea") else at
 
     def say(self, text: str) -> None:
@@ -133,7 +148,7 @@ class Blocks:
         if tag == "a":
             self.in_link = not closing
         elif tag in INLINE:
-            if not closing and _mark(tag, attributes)[0] or closing and any(t == tag for t, _ in self.open):
+            if not closing and _mark(tag, attributes)[0] or closing and self.tags[tag]:
                 self.block(tag, closing, attributes)
         elif tag in VOID:
             if tag in ("br", "hr"):
@@ -145,29 +160,39 @@ class Blocks:
         self.end()
         self.in_link = False
         if closing:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
+            while self.tags[tag]:
+                if self.closed() == tag:
                     break
         else:
             self.opened(tag, attributes)
         self.heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
 
+    def closed(self) -> str:
+        """Takes the innermost open tag off."""
+        tag, _ = self.open.pop()
+        self.tags[tag] -= 1
+        return tag
+
     def opened(self, tag: str, attributes: str) -> None:
         mark, comments = _mark(tag, attributes)
         article = tag in ("article", "main") or not mark and any(n.lower() == "role" and v.strip("\"'").lower() in ("main", "article") for n, v in NAMED.findall(attributes))
+        parent = self.open[-1][1] if self.open else -1
         if mark or article:
-            if article:
-                for _, at in self.open:
-                    if at >= 0:
-                        self.elements[at].wraps = True
-            self.open.append((tag, len(self.elements)))
-            self.elements.append(Element(mark, comments, article, self.articles))
+            at = parent if article else -1
+            while at >= 0 and not self.elements[at].wraps:  # those around one that wraps wrap already
+                self.elements[at].wraps = True
+                at = self.elements[at].parent
+            self.begin(tag, len(self.elements))
+            self.elements.append(Element(mark, comments, article, self.articles, parent, article or parent >= 0 and self.elements[parent].within))
             self.articles = self.articles or article
         elif tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
-            self.open.append((tag, -1))
+            self.begin(tag, parent)
         elif self.open and self.open[-1][0] == tag:
-            self.open.pop()  # <p class=x>..<p>: an open one ends here
+            self.closed()  # <p class=x>..<p>: an open one ends here
+
+    def begin(self, tag: str, at: int) -> None:
+        self.open.append((tag, at))
+        self.tags[tag] += 1
 
     def end(self) -> None:
         """Closes the block at hand."""
@@ -176,27 +201,36 @@ class Blocks:
             if text:
                 words = len(text.split())
                 linked = min(words, sum(len(html.unescape(t).split()) for t, link in self.pieces if link))
-                around = tuple(at for _, at in self.open if at >= 0)
-                for at in around:
-                    self.elements[at].words += words - linked
-                tags = [t for t, _ in self.open]
-                title = self.heading and tags[-1:] == ["h1"] and "header" in tags and any(self.elements[at].article for at in around)
-                self.found.append(Block(text, words, linked / words, self.heading, around, title))
+                tag, inside = self.open[-1] if self.open else ("", -1)
+                if inside >= 0:
+                    self.elements[inside].words += words - linked
+                title = self.heading and tag == "h1" and self.tags["header"] > 0 and inside >= 0 and self.elements[inside].within
+                self.found.append(Block(text, words, linked / words, self.heading, inside, title))
             self.pieces = []
 
     def weigh(self) -> None:
         """Takes the marks off elements that frame the content, and gives each block its place."""
         total = sum(b.words * (1 - b.density) for b in self.found)
+        for e in reversed(self.elements):  # from the inside out: parents come first
+            if e.parent >= 0:
+                self.elements[e.parent].words += e.words
         for e in self.elements:
             share = e.words / total if total else 0.0
             if e.wraps and not e.late and share >= 0.3 or share >= (0.95 if e.comments else 0.5) and not (e.article or self.articles and not e.wraps):
                 e.mark = 0
+            around = self.elements[e.parent] if e.parent >= 0 else None
+            e.hinted = (e.mark == HINTED) + (around.hinted if around else 0)
+            e.marked = (e.mark == MARKED) + (around.marked if around else 0)
         for b in self.found:
-            own = [self.elements[at] for at in b.around]
-            marks = [e.mark for e in own]
-            if b.title and marks.count(MARKED) == 1:
-                marks.remove(MARKED)  # an article's own header holds its title
-            b.mark, b.article = max(marks, default=0), any(e.article for e in own)
+            if b.inside >= 0:
+                own = self.elements[b.inside]
+                marked = 0 if b.title and own.marked == 1 else own.marked  # an article's own header holds its title
+                b.mark, b.article = MARKED if marked else HINTED if own.hinted else 0, own.within
+        for (dense, _, _), own in groupby(self.found, lambda b: (b.density >= DENSE, b.mark, b.article)):
+            if dense:
+                run = list(own)
+                for b in run:
+                    b.links = len(run)
 
 
 @lru_cache(maxsize=64)
@@ -208,158 +242,197 @@ Features = tuple[float, ...]
 
 
 def features(blocks: list[Block]) -> list[Features]:
-    """Words and link density of each block and its neighbours, heading or not, in an article or not, its mark, and
-    whether the page has an article."""
-    page = float(any(b.article and not b.mark for b in blocks))
-    none = Block("", 0, 0.0, False, ())
+    """Words and link density of each block and its neighbours, heading or not, in an article or not, its mark, the
+    share of the page's words (outside links and marked blocks) that stands in its place, articles or the rest, and its run of links."""
+    plain = [(b.words * (1 - b.density), b.article) for b in blocks if not b.mark]
+    share = sum(w for w, article in plain if article) / (sum(w for w, _ in plain) or 1.0)
+    none = Block("", 0, 0.0, False, -1)
     around = [none, *blocks, none]
     return [
-        (float(b.words), b.density, float(before.words), before.density, float(after.words), after.density, float(b.heading), float(b.article), float(b.mark), page)
+        (float(b.words), b.density, float(before.words), before.density, float(after.words), after.density, float(b.heading), float(b.article), float(b.mark), share if b.article else 1 - share, float(b.links))
         for before, b, after in zip(around, blocks, around[2:], strict=False)
     ]
 
 
 #: The labelled table. Columns: words, link density, the same of the block before and of the one
-#: after, heading, in an article, mark (1 hinted by a name, 2 by tag, role or as comments), page has
-#: an article, and 1 for main text.
+#: after, heading, in an article, mark (1 hinted by a name, 2 by tag, role or as comments), share of
+#: the page's words in its place, length of its run of links, and 1 for main text.
 LABELLED = """
- 12 0.00   0 0.00  60 0.00  1 1 0 1   1
- 60 0.00  12 0.00  45 0.00  0 1 0 1   1
- 45 0.02  60 0.00   3 0.00  0 1 0 1   1
-  3 0.00  45 0.02   9 0.00  0 1 0 1   1
-  1 0.00  80 0.00  70 0.00  0 1 0 1   1
-  1 0.00   2 0.00   1 0.00  0 1 0 1   1
-  9 0.00   3 0.00   0 0.00  0 1 0 1   1
-  2 0.00  55 0.00  18 0.00  1 1 0 1   1
- 18 0.30   2 0.00  90 0.00  0 1 0 1   1
-  6 1.00  90 0.00  40 0.00  0 1 0 1   1
- 10 1.00   1 1.00  70 0.00  1 1 0 1   1
- 20 0.90  35 0.05  60 0.10  0 1 0 1   1
-150 0.00  12 0.00   2 1.00  0 1 0 1   1
-  8 0.00   7 0.00  30 0.00  1 1 0 1   1
- 14 0.00  40 0.00   9 0.00  0 1 0 1   1
-  5 0.00  90 0.00   4 1.00  0 1 0 1   1
- 11 0.00   7 0.00  21 0.00  1 1 0 1   1
-  3 0.00  13 0.00   3 0.00  1 1 0 1   1
- 66 0.00  65 0.00   1 0.00  0 1 0 1   1
-  3 0.00 104 0.00   3 0.00  0 1 0 1   1
- 63 0.00  54 0.00   0 0.00  0 1 0 1   1
-120 0.00   0 0.00   0 0.00  0 1 0 1   1
- 35 0.00   3 0.00   0 0.00  0 1 0 1   1
- 28 0.00   1 0.00   0 0.00  0 1 0 1   1
- 45 0.00   1 1.00   0 0.00  0 1 0 1   1
- 50 0.00   3 1.00  60 0.00  0 1 0 1   1
-  2 0.00   2 1.00   9 0.00  1 1 0 1   1
- 12 0.00   4 1.00   8 0.00  0 1 0 1   1
-  3 1.00   3 1.00   3 1.00  0 1 0 1   0
-  4 1.00   5 1.00   6 1.00  0 1 0 1   0
-  2 1.00   2 1.00   1 1.00  0 1 0 1   0
-  6 0.95   5 1.00   7 0.90  0 1 0 1   0
-  7 0.00   1 1.00  10 0.00  0 1 1 1   0
- 10 0.00  60 0.00  50 0.00  0 1 1 1   0
- 30 0.00  60 0.00  50 0.00  0 1 1 1   0
- 14 0.10   8 0.00   6 0.50  0 1 1 1   0
-  4 0.00  70 0.00   3 1.00  1 1 1 1   0
-  2 1.00   2 1.00   2 1.00  0 1 1 1   0
- 25 0.60  40 0.00  20 0.80  0 1 1 1   0
-  7 0.00  80 0.00  90 0.00  0 1 1 1   0
- 12 0.00   1 1.00 100 0.00  0 1 1 1   0
- 30 0.00  90 0.00 100 0.00  0 1 1 1   0
- 20 0.00  70 0.00  95 0.00  0 0 1 1   0
- 45 0.00  30 0.00  85 0.00  0 1 1 1   0
- 40 0.00  70 0.00  90 0.00  0 0 1 0   0
- 70 0.00  60 0.00  50 0.02  0 1 1 1   1
- 55 0.05  70 0.00  90 0.00  0 1 1 1   1
-120 0.00  55 0.00  60 0.00  0 1 1 1   1
- 60 0.00   3 1.00   4 1.00  0 1 1 1   0
- 80 0.00   5 0.00   3 0.80  0 1 1 1   0
-  1 1.00   1 1.00   1 1.00  0 0 2 1   0
-  1 1.00   0 0.00   1 1.00  0 0 2 1   0
-  1 1.00   1 1.00  12 0.00  0 0 2 1   0
- 12 0.00   1 1.00  10 0.00  0 0 2 1   0
- 40 0.00   1 1.00  10 0.00  0 0 2 1   0
- 70 0.00  45 0.00  80 0.00  0 1 2 1   0
- 45 0.00  70 0.00  30 0.00  0 1 2 1   0
-  5 0.00  20 0.00  30 0.00  1 1 2 1   0
- 60 0.00  60 0.00  80 0.00  0 1 2 1   0
-120 0.00  90 0.00 100 0.00  0 1 2 1   0
- 55 0.05  70 0.00  90 0.00  0 1 2 1   0
- 70 0.00  60 0.00  50 0.02  0 1 2 1   0
-120 0.00  55 0.00  60 0.00  0 1 2 1   0
- 52 0.00  60 0.00  55 0.00  0 1 2 1   0
- 57 0.00  55 0.00  70 0.00  0 0 2 1   0
- 65 0.00  60 0.00  50 0.00  0 0 2 0   0
- 90 0.00  65 0.00  70 0.00  0 0 2 0   0
- 75 0.00  90 0.00  60 0.00  0 0 2 1   0
-110 0.00  70 0.00  65 0.00  0 0 2 0   0
- 90 0.00  60 0.00  90 0.00  0 0 2 1   0
-  8 0.00  20 0.00  90 0.00  0 0 2 1   0
- 60 0.00  70 0.00  90 0.00  0 1 2 1   0
- 70 0.00  60 0.00  50 0.00  0 0 2 0   0
- 95 0.00  80 0.00  90 0.00  0 0 2 0   0
- 25 0.10  90 0.00  25 0.10  0 0 2 1   0
- 14 0.00  45 0.00   0 0.00  0 0 1 1   0
- 90 0.00  60 0.00  70 0.00  0 0 1 1   0
- 65 0.00  80 0.00  60 0.00  0 0 1 1   0
- 70 0.00  45 0.00  80 0.00  0 0 1 1   0
-  8 0.00   1 1.00  12 0.00  0 0 1 1   0
- 12 0.00   5 1.00  60 0.00  0 0 0 1   0
- 30 0.00  60 0.00   0 0.00  0 0 0 1   0
-  3 1.00   3 1.00   3 1.00  0 0 0 1   0
-  4 0.00  40 0.00   4 0.00  1 0 0 1   0
- 90 0.00   2 1.00  10 0.00  0 0 0 1   0
- 60 0.00   2 1.00  55 0.00  0 0 0 1   0
- 20 0.00  50 0.00  40 0.00  0 0 0 1   0
- 12 0.00  60 0.00  60 0.00  0 0 0 1   0
- 45 0.00  60 0.00  50 0.00  0 0 0 1   0
-  3 0.00  20 0.00  60 0.00  0 0 0 1   0
-  8 0.00   0 0.00  30 0.00  0 0 0 1   0
-  9 0.00   2 0.00  60 0.00  1 0 0 1   0
- 35 0.00  12 0.00   0 0.00  0 0 0 1   0
- 60 0.00   8 0.00  55 0.00  0 0 0 0   1
-  9 0.00   8 0.00  12 0.00  1 0 0 0   1
-  3 0.00  13 0.00   3 0.00  1 0 0 0   1
- 63 0.00  54 0.00   1 0.00  0 0 0 0   1
-  3 0.00 104 0.00   3 0.00  0 0 0 0   1
- 63 0.00  54 0.00   0 0.00  0 0 0 0   1
- 40 0.00  12 0.00   0 0.00  0 0 0 0   1
-120 0.00   0 0.00   0 0.00  0 0 0 0   1
- 55 0.05  60 0.00  40 0.00  0 0 0 0   1
- 40 0.00  55 0.05   3 1.00  0 0 0 0   1
- 18 0.00  50 0.00  45 0.00  0 0 0 0   1
- 25 0.00   0 0.00   0 0.00  0 0 0 0   1
-  6 0.00  45 0.00  50 0.00  0 0 0 0   1
-  2 0.00  60 0.00  40 0.00  0 0 0 0   1
-  2 0.00  70 0.00   9 0.00  0 0 0 0   1
-  1 0.00   9 0.00  30 0.00  0 0 0 0   1
-  4 0.00  60 0.00  70 0.00  1 0 0 0   1
-  8 0.00   2 1.00  60 0.00  1 0 0 0   1
-  8 0.00   7 0.00  60 0.00  1 0 0 0   1
-  9 0.00   0 0.00  80 0.00  1 0 0 0   1
- 14 0.10  40 0.00  22 0.00  0 0 0 0   1
-  5 1.00  60 0.00  45 0.00  0 0 0 0   1
-  9 0.00  50 0.00  10 0.00  0 0 0 0   1
- 12 0.00  45 0.00   0 0.00  0 0 0 0   1
-  1 1.00   1 1.00   1 1.00  0 0 0 0   0
-  2 1.00   0 0.00   2 1.00  0 0 0 0   0
-  2 1.00   2 1.00  60 0.00  0 0 0 0   0
-  5 0.80   3 1.00   4 1.00  0 0 0 0   0
- 20 0.90  15 0.80  12 1.00  0 0 0 0   0
- 30 0.70  50 0.00  20 0.90  0 0 0 0   0
-  4 0.00   2 1.00   2 1.00  0 0 0 0   0
-  3 0.00   5 1.00   6 1.00  1 0 0 0   0
-  5 0.00   2 1.00   0 0.00  0 0 0 0   0
-  6 0.20   4 1.00   3 1.00  0 0 0 0   0
-  7 0.00   1 1.00   9 0.00  0 0 1 0   0
- 10 0.00  60 0.00  50 0.00  0 0 1 0   0
- 20 0.00  60 0.00   0 0.00  0 0 1 0   0
- 65 0.00  60 0.00  50 0.00  0 0 1 0   1
- 90 0.00  65 0.00  70 0.00  0 0 1 0   1
- 60 0.00   1 1.00  20 0.00  0 0 2 0   0
- 60 0.00  50 0.00  55 0.00  0 0 2 0   0
-  2 1.00   2 1.00   2 1.00  0 0 2 0   0
- 12 0.10  50 0.00   0 0.00  0 0 2 0   0
-  5 0.00   2 1.00  60 0.00  1 0 2 0   0
+ 12 0.00   0 0.00  60 0.00  1 1 0 1.00 0   1
+ 60 0.00  12 0.00  45 0.00  0 1 0 1.00 0   1
+ 45 0.02  60 0.00   3 0.00  0 1 0 1.00 0   1
+  3 0.00  45 0.02   9 0.00  0 1 0 1.00 0   1
+  1 0.00  80 0.00  70 0.00  0 1 0 1.00 0   1
+  1 0.00   2 0.00   1 0.00  0 1 0 1.00 0   1
+  9 0.00   3 0.00   0 0.00  0 1 0 1.00 0   1
+  2 0.00  55 0.00  18 0.00  1 1 0 1.00 0   1
+ 18 0.30   2 0.00  90 0.00  0 1 0 1.00 0   1
+  6 1.00  90 0.00  40 0.00  0 1 0 1.00 1   1
+ 10 1.00   1 1.00  70 0.00  1 1 0 1.00 1   1
+ 20 0.90  35 0.05  60 0.10  0 1 0 1.00 1   1
+150 0.00  12 0.00   2 1.00  0 1 0 1.00 0   1
+  8 0.00   7 0.00  30 0.00  1 1 0 1.00 0   1
+ 14 0.00  40 0.00   9 0.00  0 1 0 1.00 0   1
+  5 0.00  90 0.00   4 1.00  0 1 0 1.00 0   1
+ 11 0.00   7 0.00  21 0.00  1 1 0 1.00 0   1
+  3 0.00  13 0.00   3 0.00  1 1 0 1.00 0   1
+ 66 0.00  65 0.00   1 0.00  0 1 0 1.00 0   1
+  3 0.00 104 0.00   3 0.00  0 1 0 1.00 0   1
+ 63 0.00  54 0.00   0 0.00  0 1 0 1.00 0   1
+120 0.00   0 0.00   0 0.00  0 1 0 1.00 0   1
+ 35 0.00   3 0.00   0 0.00  0 1 0 1.00 0   1
+ 28 0.00   1 0.00   0 0.00  0 1 0 1.00 0   1
+ 45 0.00   1 1.00   0 0.00  0 1 0 1.00 0   1
+ 50 0.00   3 1.00  60 0.00  0 1 0 1.00 0   1
+  2 0.00   2 1.00   9 0.00  1 1 0 1.00 0   1
+ 12 0.00   4 1.00   8 0.00  0 1 0 1.00 0   1
+  3 1.00   3 1.00   3 1.00  0 1 0 1.00 3   0
+  4 1.00   5 1.00   6 1.00  0 1 0 1.00 3   0
+  2 1.00   2 1.00   1 1.00  0 1 0 1.00 3   0
+  6 0.95   5 1.00   7 0.90  0 1 0 1.00 3   0
+  7 0.00   1 1.00  10 0.00  0 1 1 1.00 0   0
+ 10 0.00  60 0.00  50 0.00  0 1 1 1.00 0   0
+ 30 0.00  60 0.00  50 0.00  0 1 1 1.00 0   0
+ 14 0.10   8 0.00   6 0.50  0 1 1 1.00 0   0
+  4 0.00  70 0.00   3 1.00  1 1 1 1.00 0   0
+  2 1.00   2 1.00   2 1.00  0 1 1 1.00 3   0
+ 25 0.60  40 0.00  20 0.80  0 1 1 1.00 0   0
+  7 0.00  80 0.00  90 0.00  0 1 1 1.00 0   0
+ 12 0.00   1 1.00 100 0.00  0 1 1 1.00 0   0
+ 30 0.00  90 0.00 100 0.00  0 1 1 1.00 0   0
+ 20 0.00  70 0.00  95 0.00  0 0 1 0.00 0   0
+ 45 0.00  30 0.00  85 0.00  0 1 1 1.00 0   0
+ 40 0.00  70 0.00  90 0.00  0 0 1 1.00 0   0
+ 70 0.00  60 0.00  50 0.02  0 1 1 1.00 0   1
+ 55 0.05  70 0.00  90 0.00  0 1 1 1.00 0   1
+120 0.00  55 0.00  60 0.00  0 1 1 1.00 0   1
+ 60 0.00   3 1.00   4 1.00  0 1 1 1.00 0   0
+ 80 0.00   5 0.00   3 0.80  0 1 1 1.00 0   0
+  1 1.00   1 1.00   1 1.00  0 0 2 0.00 3   0
+  1 1.00   0 0.00   1 1.00  0 0 2 0.00 2   0
+  1 1.00   1 1.00  12 0.00  0 0 2 0.00 2   0
+ 12 0.00   1 1.00  10 0.00  0 0 2 0.00 0   0
+ 40 0.00   1 1.00  10 0.00  0 0 2 0.00 0   0
+ 70 0.00  45 0.00  80 0.00  0 1 2 1.00 0   0
+ 45 0.00  70 0.00  30 0.00  0 1 2 1.00 0   0
+  5 0.00  20 0.00  30 0.00  1 1 2 1.00 0   0
+ 60 0.00  60 0.00  80 0.00  0 1 2 1.00 0   0
+120 0.00  90 0.00 100 0.00  0 1 2 1.00 0   0
+ 55 0.05  70 0.00  90 0.00  0 1 2 1.00 0   0
+ 70 0.00  60 0.00  50 0.02  0 1 2 1.00 0   0
+120 0.00  55 0.00  60 0.00  0 1 2 1.00 0   0
+ 52 0.00  60 0.00  55 0.00  0 1 2 1.00 0   0
+ 57 0.00  55 0.00  70 0.00  0 0 2 0.00 0   0
+ 65 0.00  60 0.00  50 0.00  0 0 2 1.00 0   0
+ 90 0.00  65 0.00  70 0.00  0 0 2 1.00 0   0
+ 75 0.00  90 0.00  60 0.00  0 0 2 0.00 0   0
+110 0.00  70 0.00  65 0.00  0 0 2 1.00 0   0
+ 90 0.00  60 0.00  90 0.00  0 0 2 0.00 0   0
+  8 0.00  20 0.00  90 0.00  0 0 2 0.00 0   0
+ 60 0.00  70 0.00  90 0.00  0 1 2 1.00 0   0
+ 70 0.00  60 0.00  50 0.00  0 0 2 1.00 0   0
+ 95 0.00  80 0.00  90 0.00  0 0 2 1.00 0   0
+ 25 0.10  90 0.00  25 0.10  0 0 2 0.00 0   0
+ 14 0.00  45 0.00   0 0.00  0 0 1 0.00 0   0
+ 90 0.00  60 0.00  70 0.00  0 0 1 0.00 0   0
+ 65 0.00  80 0.00  60 0.00  0 0 1 0.00 0   0
+ 70 0.00  45 0.00  80 0.00  0 0 1 0.00 0   0
+  8 0.00   1 1.00  12 0.00  0 0 1 0.00 0   0
+ 12 0.00   5 1.00  60 0.00  0 0 0 0.00 0   0
+ 30 0.00  60 0.00   0 0.00  0 0 0 0.00 0   0
+  3 1.00   3 1.00   3 1.00  0 0 0 0.00 3   0
+  4 0.00  40 0.00   4 0.00  1 0 0 0.00 0   0
+ 90 0.00   2 1.00  10 0.00  0 0 0 0.00 0   0
+ 60 0.00   2 1.00  55 0.00  0 0 0 0.00 0   0
+ 20 0.00  50 0.00  40 0.00  0 0 0 0.00 0   0
+ 12 0.00  60 0.00  60 0.00  0 0 0 0.00 0   0
+ 45 0.00  60 0.00  50 0.00  0 0 0 0.00 0   0
+  3 0.00  20 0.00  60 0.00  0 0 0 0.00 0   0
+  8 0.00   0 0.00  30 0.00  0 0 0 0.00 0   0
+  9 0.00   2 0.00  60 0.00  1 0 0 0.00 0   0
+ 35 0.00  12 0.00   0 0.00  0 0 0 0.00 0   0
+ 60 0.00   8 0.00  55 0.00  0 0 0 1.00 0   1
+  9 0.00   8 0.00  12 0.00  1 0 0 1.00 0   1
+  3 0.00  13 0.00   3 0.00  1 0 0 1.00 0   1
+ 63 0.00  54 0.00   1 0.00  0 0 0 1.00 0   1
+  3 0.00 104 0.00   3 0.00  0 0 0 1.00 0   1
+ 63 0.00  54 0.00   0 0.00  0 0 0 1.00 0   1
+ 40 0.00  12 0.00   0 0.00  0 0 0 1.00 0   1
+120 0.00   0 0.00   0 0.00  0 0 0 1.00 0   1
+ 55 0.05  60 0.00  40 0.00  0 0 0 1.00 0   1
+ 40 0.00  55 0.05   3 1.00  0 0 0 1.00 0   1
+ 18 0.00  50 0.00  45 0.00  0 0 0 1.00 0   1
+ 25 0.00   0 0.00   0 0.00  0 0 0 1.00 0   1
+  6 0.00  45 0.00  50 0.00  0 0 0 1.00 0   1
+  2 0.00  60 0.00  40 0.00  0 0 0 1.00 0   1
+  2 0.00  70 0.00   9 0.00  0 0 0 1.00 0   1
+  1 0.00   9 0.00  30 0.00  0 0 0 1.00 0   1
+  4 0.00  60 0.00  70 0.00  1 0 0 1.00 0   1
+  8 0.00   2 1.00  60 0.00  1 0 0 1.00 0   1
+  8 0.00   7 0.00  60 0.00  1 0 0 1.00 0   1
+  9 0.00   0 0.00  80 0.00  1 0 0 1.00 0   1
+ 14 0.10  40 0.00  22 0.00  0 0 0 1.00 0   1
+  5 1.00  60 0.00  45 0.00  0 0 0 1.00 1   1
+  9 0.00  50 0.00  10 0.00  0 0 0 1.00 0   1
+ 12 0.00  45 0.00   0 0.00  0 0 0 1.00 0   1
+  1 1.00   1 1.00   1 1.00  0 0 0 1.00 3   0
+  2 1.00   0 0.00   2 1.00  0 0 0 1.00 2   0
+  2 1.00   2 1.00  60 0.00  0 0 0 1.00 2   0
+  5 0.80   3 1.00   4 1.00  0 0 0 1.00 3   0
+ 20 0.90  15 0.80  12 1.00  0 0 0 1.00 3   0
+ 30 0.70  50 0.00  20 0.90  0 0 0 1.00 0   0
+  4 0.00   2 1.00   2 1.00  0 0 0 1.00 0   0
+  3 0.00   5 1.00   6 1.00  1 0 0 1.00 0   0
+  5 0.00   2 1.00   0 0.00  0 0 0 1.00 0   0
+  6 0.20   4 1.00   3 1.00  0 0 0 1.00 0   0
+  7 0.00   1 1.00   9 0.00  0 0 1 1.00 0   0
+ 10 0.00  60 0.00  50 0.00  0 0 1 1.00 0   0
+ 20 0.00  60 0.00   0 0.00  0 0 1 1.00 0   0
+ 65 0.00  60 0.00  50 0.00  0 0 1 1.00 0   1
+ 90 0.00  65 0.00  70 0.00  0 0 1 1.00 0   1
+ 60 0.00   1 1.00  20 0.00  0 0 2 1.00 0   0
+ 60 0.00  50 0.00  55 0.00  0 0 2 1.00 0   0
+  2 1.00   2 1.00   2 1.00  0 0 2 1.00 3   0
+ 12 0.10  50 0.00   0 0.00  0 0 2 1.00 0   0
+  5 0.00   2 1.00  60 0.00  1 0 2 1.00 0   0
+  4 0.00 200 0.00   0 0.00  0 1 0 0.00 0   0
+  2 0.00 120 0.00   9 0.00  1 1 0 0.10 0   0
+  9 0.00   2 0.00 150 0.00  0 1 0 0.10 0   0
+ 14 0.00   0 0.00  80 0.00  0 1 0 0.10 0   0
+ 30 0.00   4 0.00  90 0.00  0 1 0 0.10 0   0
+  2 1.00   9 0.00  70 0.00  0 1 0 0.10 1   0
+ 60 0.00  50 0.00   4 0.00  0 0 0 0.90 0   1
+ 25 0.00   2 0.00  60 0.00  0 0 0 0.90 0   1
+200 0.00   0 0.00   3 0.00  0 0 0 0.90 0   1
+ 90 0.00  12 0.00   9 0.00  0 0 0 0.80 0   1
+ 70 0.00  60 0.00  50 0.00  0 0 0 0.45 0   0
+ 40 0.00   2 1.00  55 0.00  0 0 0 0.45 0   0
+ 12 0.00  50 0.00  60 0.00  0 0 0 0.40 0   0
+  2 1.00  80 0.00   2 1.00  0 1 0 1.00 5   0
+  2 1.00   2 1.00  90 0.00  0 1 0 1.00 5   0
+  1 1.00  60 0.00   1 1.00  0 1 0 1.00 4   0
+  5 1.00   6 1.00  40 0.00  0 1 0 1.00 3   0
+  4 1.00  70 0.00   5 1.00  0 1 0 1.00 3   0
+  6 1.00  50 0.00   6 1.00  0 1 0 1.00 2   1
+  6 1.00   6 1.00  45 0.00  0 1 0 1.00 2   1
+  2 1.00  60 0.00   2 1.00  0 0 0 1.00 5   0
+  2 1.00   2 1.00  60 0.00  0 0 0 1.00 5   0
+  1 1.00   0 0.00   1 1.00  0 0 0 1.00 2   0
+  1 1.00   1 1.00   8 0.00  0 0 0 1.00 2   0
+  2 0.00   1 1.00  60 0.00  1 0 0 1.00 0   1
+  3 0.00   2 1.00  45 0.00  1 0 0 1.00 0   1
+  2 0.00   3 1.00  90 0.00  1 0 0 0.90 0   1
+  3 0.00  45 0.00   2 1.00  0 0 0 1.00 0   1
+ 10 0.00  70 0.00   1 1.00  0 0 0 1.00 0   1
+ 28 0.00  25 0.00   2 1.00  0 0 0 0.90 0   1
+  2 1.00   0 0.00  60 0.00  0 0 0 1.00 1   0
+  3 0.00   1 1.00   3 0.00  1 1 0 1.00 0   1
+ 60 0.00   2 0.00   2 1.00  0 0 0 1.00 0   1
+  9 0.00   2 0.00   1 1.00  0 0 0 1.00 0   1
+  2 0.00   2 0.00   2 1.00  0 0 0 1.00 0   1
+ 50 0.00   6 0.00  40 0.00  0 1 0 0.50 0   1
+ 18 0.00  50 0.00  20 0.00  0 1 0 0.50 0   1
+ 60 0.00  50 0.00   4 0.00  0 0 0 0.50 0   1
 """
 
 

@@ -36,13 +36,30 @@ def test_tree_learned_its_table():
     assert all(default_tree().judge(r[:-1]) == r[-1] for r in rows)
 
 
-@pytest.mark.parametrize("page", ["<a \"" * 20_000, "<" * 50_000, "<!--" * 20_000, "<p class='x" * 20_000, "<div>" * 20_000, "</p>" * 20_000, "&amp" * 50_000, "<script>" * 5_000])
+@pytest.mark.parametrize("page", ["<a \"" * 20_000, "<" * 50_000, "<!--" * 20_000, "<p class='x" * 20_000, "<div>" * 20_000, "</p>" * 20_000, "&amp" * 50_000, "<script>" * 5_000, "<span class=ad>a " * 100_000, "<section class=nav>a " * 100_000, "<div>a " * 100_000, "<article>a " * 100_000, "<select>a " * 50_000, "<b class=ad>a</i>" * 50_000])
 def test_odd_pages_take_linear_time(page):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 8
 
 
+def test_text_beside_a_teaser_article_is_kept():
+    body = f"<div><h2>Head of it</h2><p>{LONG * 6}</p><p>{LONG * 6}</p></div>"
+    want = ("Head of it " + LONG * 12).strip()
+    assert main_text(f"<body>{body}<article><p>short teaser</p></article>") == want
+    assert main_text(f"<body><article><h3>Read on</h3><p>short teaser</p></article>{body}") == want
+    halves = main_text(f"<body><article><p>{LONG * 6}</p></article><div><p>{LONG * 6}</p></div>")
+    assert halves == (LONG * 12).strip()  # in doubt nothing is lost
+    assert main_text(f"<body><article><h1>Title</h1><p>{LONG * 8}</p></article><div><p>{LONG * 2}</p></div>") == ("Title " + LONG * 8).strip()
+
+
+@pytest.mark.parametrize("count", range(1, 9))
+def test_lists_of_links_go_or_stay_as_a_whole(count):
+    links = "".join(f"<li><a href=/{i}>link{i} here</a></li>" for i in range(count))
+    page = f"<article><h1>Head</h1><p>{LONG * 6}</p><ul>{links}</ul><p>{LONG * 6}</p></article>"
+    assert sum(f"link{i}" in main_text(page) for i in range(count)) in (0, count)
+
+
 def test_rows(spark):
     rows = [(i, f"u{i}", page, "n") for i, (page, _) in enumerate(PAGES)] + [(0, "u0", PAGES[0][0], "n"), (None, None, "<article>é𝄞</article>", "n")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
