@@ -68,6 +68,11 @@ class Api:
     def themes(self, k: int = 12, min_volume: int = 3) -> DataFrame:
         return posts.themes(with_relevance(with_indicator(self.spark, self.sf_dir)), k, min_volume)
 
+    def assess(self, store: Store, job_id: int) -> DataFrame:
+        """Checks the stored posts of a job for bias, stores assessments and alerts once, and gives the open alerts."""
+        bias.record(store, bias.stored_posts(store, job_id), job_id)
+        return bias.open_alerts(store)
+
     def compact(self, store: Store, today: str, month: str | None = None) -> DataFrame:
         """Compacts the months beyond retention, or the one asked for, and says what was done."""
         return retention.compact(store, today, month)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .. import model
 from ..catalog import query
 from ..functions import values
 from ..plans.scored import with_indicator
+from ..sources.shared import shared_base
+from ..sources.store import Store
 from ..sources.tables import table
 from .audit import JOBS_SQL, jobs, latest
 
@@ -57,10 +61,42 @@ def negative_dominance(rows: DataFrame, threshold: float = model.DOMINANCE_MAX)
     return _assessed(one, "negative_dominance", "indicator", "negative_share", threshold)
 
 
-def assessments(rows: DataFrame) -> DataFrame:
+#: Thresholds of the three checks, and stricter ones for demonstrations, which ordinary data violate.
+LIMITS = (model.LOCATION_MAX, model.PARITY_MAX, model.DOMINANCE_MAX)
+STRICT = (0.05, 0.001, 0.01)
+
+
+def assessments(rows: DataFrame, limits: tuple[float, float, float] = LIMITS) -> DataFrame:
     """The three checks of a job's posts, one row each."""
-    checks = concentration(rows, "location", model.LOCATION_MAX, "location_concentration")
-    return checks.unionByName(platform_parity(rows)).unionByName(negative_dominance(rows))
+    location, parity, dominance = limits
+    checks = concentration(rows, "location", location, "location_concentration")
+    return checks.unionByName(platform_parity(rows, parity)).unionByName(negative_dominance(rows, dominance))
+
+
+def record(store: Store, rows: DataFrame, job_id: int, limits: tuple[float, float, float] = LIMITS) -> None:
+    """Stores a job's assessments, and an open alert for each violation. Both are stored once for each job and check, so
+    repeating it after a failure adds what is missing, and doing it again changes nothing. Alerts are made from the
+    stored assessments, not from a second reading of the posts."""
+    store.append("bias_assessments", assessments(rows, limits).withColumn("job_id", F.lit(job_id).cast("long")))
+    found = store.read("bias_assessments").where((F.col("job_id") == job_id) & F.col("is_violation"))
+    store.append("alert_events", found.withColumn("resolved_at", F.lit(None).cast("timestamp_ntz")))
+
+
+def resolve(store: Store, job_id: int, kind: str, at: str) -> None:
+    """Marks an open alert as resolved; one resolved before keeps its time. The table has at most three rows for each job."""
+    own = (F.col("job_id") == job_id) & (F.col("assessment_type") == kind) & F.col("resolved_at").isNull()
+    store.replace("alert_events", store.read("alert_events").withColumn("resolved_at", F.when(own, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("resolved_at"))))
+
+
+def open_alerts(store: Store) -> DataFrame:
+    return store.read("alert_events").where("resolved_at is null")
+
+
+def stored_posts(store: Store, job_id: int) -> DataFrame:
+    """The stored posts that a job decided on, with their scores; their number may be any, so both joins shuffle or adapt."""
+    named = store.read("decision_audit_log").where(F.col("job_id") == job_id).select("post_id")
+    scores = store.read("sentiment_results").select("post_id", "comparative", "indicator")
+    return store.read("raw_posts").select("post_id", "location", "category", "source_name").join(named, "post_id", "left_semi").join(scores, "post_id")
 
 
 def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +120,12 @@ def _concentration_sql(field: str, where: str, threshold: float, kind: str) -> s
 
 
 
-def _all_sql(job: str) -> str:
+def _all_sql(job: str, limits: tuple[float, float, float] = LIMITS) -> str:
     """The three checks of the job that `job` names, a number or a subquery."""
     of = f"from sentiment where job_id = {job}"
-    location = _concentration_sql("location", f"job_id = {job} and", model.LOCATION_MAX, "location_concentration")
-    return f"({location}) union all ({_PARITY.replace(_J, of)}) union all ({_NEGATIVE.replace(_J, of)})"
+    location = _concentration_sql("location", f"job_id = {job} and", limits[0], "location_concentration")
+    parity, negative = _PARITY.replace(_J, of).replace("0.3", str(limits[1])), _NEGATIVE.replace(_J, of).replace("0.7", str(limits[2]))
+    return f"({location}) union all ({parity}) union all ({negative})"
 
 
 _LOCATION = _concentration_sql("location", f"job_id = {JOB} and", model.LOCATION_MAX, "location_concentration")
@@ -131,6 +168,28 @@ def bias_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessments(_job(spark, sf_dir)).where("is_violation").select("assessment_type", "severity", "group_value")
 
 
+@query("bias_alerts_strict", f"select assessment_type, severity, group_value from ({_all_sql(str(JOB), STRICT)}) where is_violation")
+def bias_alerts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts under the strict limits."""
+    return assessments(_job(spark, sf_dir), STRICT).where("is_violation").select("assessment_type", "severity", "group_value")
+
+
+@query("stored_open_alerts", f"select {JOB}::bigint as job_id, assessment_type, severity from ({_all_sql(str(JOB), STRICT)}) where is_violation and assessment_type <> 'negative_dominance'")
+def stored_open_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's posts, scores, assessments and alerts go through a store, twice; alerts of dominance are resolved there."""
+    store = Store(spark, f"{shared_base(spark)}/alerts-{uuid.uuid4().hex}")
+    store.migrate()
+    scored = _job(spark, sf_dir).withColumn("content_hash", F.sha2("content", 256)).withColumn("month", F.trunc(F.to_date("collected_at"), "month"))
+    store.append("raw_posts", scored)
+    store.append("sentiment_results", scored)
+    decided = scored.select(F.sha2(F.col("post_id").cast("string"), 256).alias("audit_id"), "post_id", "job_id", F.lit("sentiment").alias("decision_type"), F.col("content_hash").alias("input_hash"), F.col("indicator").alias("output"), F.lit(None).cast("double").alias("confidence"))
+    store.append("decision_audit_log", decided)
+    for _ in range(2):
+        record(store, stored_posts(store, JOB), JOB, STRICT)
+    resolve(store, JOB, "negative_dominance", "2024-07-01 13:00:00")
+    return open_alerts(store).select("job_id", "assessment_type", "severity")
+
+
 @query("bias_summary", f"select count(*) as checks_run, count(*) filter (is_violation) as violations_found from ({_ALL})")
 def bias_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessments(_job(spark, sf_dir)).agg(F.count("*").alias("checks_run"), F.count_if("is_violation").alias("violations_found"))
