@@ -118,7 +118,10 @@ def audit_trail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(audited(scored_posts(spark, sf_dir)))
 
 
-@query("valid_uuid_flags", "select post_id, post_id % 3 <> 2 as valid from posts")
+_UUID = "h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]"
+
+
+@query("valid_uuid_flags", f"select post_id, regexp_full_match(case post_id % 3 when 0 then {_UUID} when 1 then upper({_UUID}) else 'x' || {_UUID} end, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') as valid from (select post_id, sha256(post_id::varchar) as h from posts)")
 def valid_uuid_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of some derived identifiers have the form of a UUID, in either case."""
     h = F.sha2(F.col("post_id").cast("string"), 256)
