@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .catalog import ORACLES, QUERIES
-from .operators import accounts, audit, bias, cities, clusters, correlation, fairness, history, insights, posts, retention, story, temporal, vectors  # noqa: F401  they register themselves
+from .operators import accounts, audit, bias, cities, clusters, correlation, fairness, history, insights, latent, posts, retention, story, temporal, vectors  # noqa: F401  they register themselves
 from .streaming import ingest, profiles, series  # noqa: F401
 from .streaming import queries as streams  # noqa: F401
 
