@@ -1,4 +1,5 @@
 import os
+from datetime import date
 
 import pytest
 from colloquy.api import Api
@@ -67,3 +68,78 @@ def test_compaction_of_the_store(spark, tmp_path):
     assert api.compact(store, "2024-09-29").count() == 0 and store.read("compaction_log").count() == 1
     with pytest.raises(ValueError):
         api.compact(store, "2024-09-29", "2024-13")
+
+
+def post(post_id, source, external, day="2024-01-05", content="text"):
+    return (post_id, source, "news", external, content, "h", "London", "en", None, date.fromisoformat(day).replace(day=1))
+
+
+def test_membership_reads_buckets_where_they_lie(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=5)
+    store.migrate()
+    columns = store.schemas["raw_posts"]
+    first = spark.createDataFrame([post(i, f"src{i % 3}", f"e{i}", f"2024-0{1 + i % 4}-03") for i in range(40)], columns)
+    store.append("raw_posts", first)
+    store.append("raw_posts", first)
+    store.append("raw_posts", spark.createDataFrame([post(i, f"src{i % 3}", f"e{i}", "2024-06-03") for i in range(30, 50)], columns))
+    held = store.read("raw_posts").collect()
+    assert sorted(r.post_id for r in held) == list(range(50)) and {str(r.month) for r in held if r.post_id < 40} == {f"2024-0{m}-01" for m in range(1, 5)}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.missing("raw_posts", first)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = [x for x in plan.splitlines() if x.strip()]
+    at = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+    assert "SelectedBucketsCount: 5 out of 5" in lines[at] and "ReadSchema: struct<source_name:string,external_id:string>" in lines[at]
+    above = next(i for i in range(at, -1, -1) if "SortMergeJoin" in lines[i])
+    side = lines[max(i for i in range(above, at) if lines[i].index(lines[i].lstrip(" :+-")) == lines[above].index("SortMergeJoin") + 3) : at]
+    assert side and not any("Exchange" in x for x in side)  # nothing of the store is shuffled
+    assert sum("Exchange" in x for x in lines[above:at]) == 1  # the rows that come are, once
+
+
+def test_null_keys_are_added_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=3)
+    store.migrate()
+    rows = spark.createDataFrame([post(1, None, "a"), post(2, None, "a"), post(3, "s", None), post(4, None, None), post(5, "s", "a")], store.schemas["raw_posts"])
+    store.append("raw_posts", rows)
+    store.append("raw_posts", rows)
+    assert sorted((r.source_name or "", r.external_id or "") for r in store.read("raw_posts").collect()) == [("", ""), ("", "a"), ("s", ""), ("s", "a")]
+
+
+def test_another_session_opens_the_same_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=3)
+    store.migrate()
+    columns = store.schemas["raw_posts"]
+    store.append("raw_posts", spark.createDataFrame([post(1, "s", "a"), post(2, "s", "b", "2024-02-09")], columns))
+    spark.sql(f"drop table {store._table('raw_posts')}")  # as if the catalog were new
+    again = Store(spark, str(tmp_path), buckets=64)
+    assert again.buckets == 3 and again.read("raw_posts").count() == 2
+    again.append("raw_posts", spark.createDataFrame([post(1, "s", "a"), post(3, "s", "c", "2024-03-09")], columns))
+    assert sorted(r.post_id for r in store.read("raw_posts").collect()) == [1, 2, 3]
+
+
+def test_replacing_keeps_buckets_and_other_months(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=3)
+    store.migrate()
+    store.append("raw_posts", spark.createDataFrame([post(1, "s", "a"), post(2, "s", "b", "2024-02-09"), post(3, "s", "c", "2024-02-09")], store.schemas["raw_posts"]))
+    store.replace_partitions("raw_posts", store.read("raw_posts").where("month = date'2024-02-01'").withColumn("content", F.lit(None).cast("string")))
+    assert sorted((r.post_id, r.content) for r in store.read("raw_posts").collect()) == [(1, "text"), (2, None), (3, None)]
+    vectors = spark.createDataFrame([(i, [float(i)], "m") for i in range(20)], store.schemas["post_embeddings"])
+    store.append("post_embeddings", vectors)
+    store.replace("post_embeddings", store.read("post_embeddings").where("post_id % 2 = 0"))
+    store.append("post_embeddings", vectors.where("post_id < 4"))
+    assert sorted(r.post_id for r in store.read("post_embeddings").collect()) == sorted([*range(0, 20, 2), 1, 3])
+    by_id = spark.range(20).withColumnRenamed("id", "post_id").join(store.read("post_embeddings"), "post_id")
+    assert by_id.count() == 12
+
+
+def test_a_store_without_buckets_goes_on(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=0)
+    store.migrate()
+    rows = spark.createDataFrame([post(1, "s", "a"), post(2, None, "b")], store.schemas["raw_posts"])
+    store.append("raw_posts", rows)
+    again = Store(spark, str(tmp_path))
+    again.append("raw_posts", rows)
+    assert again.buckets == 0 and again.read("raw_posts").count() == 2
