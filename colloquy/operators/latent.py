@@ -68,9 +68,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tupl
             own = piece.column(piece.schema.get_field_index("features"))
             row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
             at = row * FEATURES + own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            tf = np.bincount(at, minlength=len(own) * FEATURES).reshape(len(own), FEATURES).astype(np.float64)
-            weights = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0.0) * idf
-            yield piece, weights / np.sqrt((weights * weights).sum(1, keepdims=True))
+            counts = np.bincount(at, minlength=len(own) * FEATURES)
+            hit = np.flatnonzero(counts)
+            row, w = hit // FEATURES, (1 + np.log(counts[hit])) * idf[hit % FEATURES]
+            weights = np.zeros(len(own) * FEATURES)
+            weights[hit] = w / np.sqrt(np.bincount(row, w * w, minlength=len(own)))[row]
+            yield piece, weights.reshape(len(own), FEATURES)
 
 
 def _folded(rows: DataFrame, fold: Callable[[list[np.ndarray]], np.ndarray], width: int) -> dict[int, np.ndarray]:
