@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def tokens(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \t\n\r]+"))
 
 
+def has_tokens(text: Column) -> Column:
+    """Whether `tokens` would find a word, without splitting the text; false for null."""
+    return F.coalesce(text.rlike("[^" + re.escape(PUNCTUATION + BLANKS) + "]"), F.lit(False))
+
+
 def word_count(text: Column) -> Column:
     bare = trimmed(text)
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"\s+")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..catalog import query
-from ..functions.text import tokens, with_relevance
+from ..functions.text import has_tokens, tokens, with_relevance
 from ..sources.shared import checkpointed
 from ..sources.tables import posts
 from .vectors import nearest
@@ -47,12 +47,13 @@ def feature(word: Column) -> Column:
 
 def featured(rows: DataFrame, text: str = "content") -> DataFrame:
     """post_id and features (one for each word, in order) of the rows whose text holds a word."""
-    return rows.select("post_id", F.transform(tokens(F.col(text)), feature).alias("features")).where("size(features) > 0")
+    # a condition on the features themselves would compute them twice
+    return rows.where(has_tokens(F.col(text))).select("post_id", F.transform(tokens(F.col(text)), feature).alias("features"))
 
 
 def refused(rows: DataFrame, text: str = "content") -> DataFrame:
     """post_id of the rows that get no vector."""
-    return rows.where(F.size(tokens(F.col(text))) == 0).select("post_id")
+    return rows.where(~has_tokens(F.col(text))).select("post_id")
 
 
 def document_frequencies(features: DataFrame) -> DataFrame:

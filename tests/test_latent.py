@@ -5,9 +5,11 @@ import math
 
 import numpy as np
 import pytest
+from colloquy.functions.text import has_tokens, tokens
 from colloquy.operators import latent
 from colloquy.sources.store import Store
 from colloquy.streaming.ingest import Ingest
+from pyspark.sql import functions as F
 
 SCHEMA = "post_id long, content string, other string"
 
@@ -78,6 +80,13 @@ def test_odd_tables(spark, tmp_path):
     assert len(empty.singular) == 0 and [list(r.embedding) for r in empty.embedded(odd.where("post_id = 6")).collect()] == [[]]
 
 
+def test_words_are_seen_without_splitting(spark):
+    texts = [None, "", " ", "?!", "a", "  . x", "-", "\u00a0", "[\\]", "'", "()[]{}#&%$*|/<>@+=", "\u0130", "\n\t^"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "post_id int, content string")
+    split = {r.post_id for r in rows.where(F.size(tokens(F.col("content"))) > 0).collect()}
+    assert split == {r.post_id for r in rows.where(has_tokens(F.col("content"))).collect()} and 0 < len(split) < len(texts)
+
+
 def test_requests_refuse_empty_input(spark):
     learned = latent.fit(spark.createDataFrame(corpus(60), SCHEMA), dimensions=8)
     two = learned.request(["s1w3 s1w4", "s2w1 common3"])
