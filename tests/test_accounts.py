@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 from colloquy.operators import accounts
 from colloquy.operators.accounts import pair_confidence, persons
 from colloquy.operators.correlation import correlated, pseudo_id
@@ -81,3 +82,44 @@ def test_a_hundred_thousand_signals_are_as_many_profiles(spark):
     found = correlated(rows)
     assert found.count() == n and found.select("pseudo_id").distinct().count() == n
     assert spark.range(n).select(pseudo_id(F.col("id").cast("string")).alias("p")).distinct().count() == n
+
+
+def test_grams_are_counted_alike_by_numbers_and_by_signs(spark):
+    from collections import Counter
+
+    lines = ["_plain_\n_ñandú_\n_a__b_", "_x_", "__", "_\U0001f600\U0001f600z_\n_ab_", "_nul\0_\n_nul_", ""]
+    for text in [*lines, "\n".join(lines)]:
+        wanted = Counter(x[i : i + 4] for x in text.split("\n") for i in range(len(x) - 3))
+        assert dict(zip(*accounts._counted(text), strict=True)) == wanted
+
+
+def test_an_account_of_many_posts_is_counted_in_chunks_and_rare_grams_join_by_shuffle(spark, monkeypatch):
+    rows, vectors = planted(3)
+    posts, own = frames(spark, rows, vectors)
+    key = ["account", "gram", "tf", "df", "weight"]
+    whole = sorted(map(tuple, accounts.vocabulary(posts).select(key).collect()))
+    before = {(r.a, r.b): r.vocabulary for r in pair_confidence(posts, own).collect()}
+    batch = pa.RecordBatch.from_pydict({"account": ["a", "a", "a", "b"], "lines": ["_some_\n_words_", "_words_", "_some_\n_more_", "_words_"]})
+    counted = [list(accounts._count_accounts(iter([batch])))]
+    monkeypatch.setattr(accounts, "CHUNK", 10)
+    counted.append(list(accounts._count_accounts(iter([batch]))))
+    assert len({frozenset((r["account"], r["gram"], r["tf"]) for b in found for r in b.to_pylist()) for found in counted}) == 1
+    monkeypatch.setattr(accounts, "COMMON", 5)
+    assert sorted(map(tuple, accounts.vocabulary(posts).select(key).collect())) == whole
+    after = {(r.a, r.b): r.vocabulary for r in pair_confidence(posts, own).collect()}
+    assert before and set(before) == set(after) and all(abs(before[p] - after[p]) < 1e-12 for p in before)
+
+
+def test_grams_are_not_shuffled_row_by_row(spark):
+    """Before, every gram of every account went through shuffles and checkpoints, and once more for each pair."""
+    grams = accounts.vocabulary(frames(spark, *planted(2))[0])
+    assert grams.select("account", "gram", "weight").count() > 0
+    plan = accounts.packed(grams)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "Exchange hashpartitioning(account" in line]
+    assert scans and "MapInPandas" in plan and not any("gram" in line for line in scans)
+
+
+def test_accounts_with_the_same_grams_alone_have_no_vocabulary_in_common(spark):
+    rows = [(f"{p}/1", p, "quite the same words", None, []) for p in ("red", "blue")]
+    found = pair_confidence(*frames(spark, rows, [])).collect()
+    assert [(r.a, r.b, r.vocabulary) for r in found] == [("blue/1", "red/1", 0.0)]
