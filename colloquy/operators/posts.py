@@ -260,8 +260,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """Content, its hash, external id and the payload without personal keys, from raw JSON payloads.
+def normalised(raw: DataFrame, *more: str) -> DataFrame:
+    """Content, its hash, external id and the payload without personal keys, from raw JSON payloads; and the columns that `more` names.
 
     Posts of the kind reddit join their trimmed title and body by a blank line; others take the
     first of text, body, content and title that isn't empty. White space runs become one space.
@@ -275,7 +275,7 @@ def normalised(raw: DataFrame) -> DataFrame:
     kept = F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, _: ~k.isin(model.PII_KEYS))
     return fields.select(
         "post_id", "source_type", content.alias("content"), F.sha2(content, 256).alias("content_hash"),
-        F.coalesce(F.nullif(f["id"], F.lit("")), F.nullif(f["external_id"], F.lit("")), F.lit("")).alias("external_id"), F.to_json(kept).alias("payload"),
+        F.coalesce(F.nullif(f["id"], F.lit("")), F.nullif(f["external_id"], F.lit("")), F.lit("")).alias("external_id"), F.to_json(kept).alias("payload"), *more,
     )
 
 

@@ -25,6 +25,7 @@ from ..operators import audit
 from ..operators.correlation import gated, signal_hash
 from ..operators.posts import new_posts, normalised
 from ..operators.vectors import embed
+from ..sources.shared import kept
 from ..sources.store import Store
 from ..sources.tables import posts
 from .queries import shared
@@ -49,6 +50,13 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
+def with_content(rows: DataFrame) -> DataFrame:
+    """Parsed lines with content, its hash and an external id of their own instead of the payload."""
+    named = F.coalesce(F.nullif("external_id", F.lit("")), F.concat(F.lit("post-"), F.col("post_id").cast("string")))
+    full = normalised(rows, "value", "source_name", "category", "location", "language", "collected_at", "confidence", "reason")
+    return full.select("post_id", "value", "source_name", "source_type", "category", "location", "language", "collected_at", "confidence", "content", "content_hash", named.alias("external_id"), "reason")
+
+
 def letters(rows: DataFrame, stage: str, reason: Column, batch: int) -> DataFrame:
     """Dead letters of lines (`value`)."""
     return rows.select(F.sha2(F.concat_ws("|", F.lit(stage), "value"), 256).alias("letter_id"), F.lit(stage).alias("stage"), reason.alias("reason"), F.col("value").alias("line"), F.lit(batch).cast("long").alias("batch_id"))
@@ -93,16 +101,13 @@ class Ingest:
         self.store.append("processing_jobs", row)
 
     def _taken_in(self, lines: DataFrame, number: int) -> tuple[int, int]:
-        rows = parsed(lines.select("value")).persist()
-        try:
-            fine = rows.where("reason is null")
-            own = normalised(fine.select("post_id", "source_type", "payload")).select("post_id", "content", "content_hash", F.col("external_id").alias("own_id")).dropDuplicates(["post_id", "content_hash"])
-            full = fine.drop("payload", "_broken", "reason").join(own, "post_id").withColumn("external_id", F.coalesce(F.nullif("own_id", F.lit("")), F.concat(F.lit("post-"), F.col("post_id").cast("string")))).drop("own_id")
+        with kept(with_content(parsed(lines.select("value")))) as rows:
+            full = rows.where("reason is null").drop("reason")
             empty = full.where("content = ''")
             self.store.append("dead_letters", letters(rows.where("reason is not null"), "parse", F.col("reason"), number).unionByName(letters(empty, "parse", F.lit("no text"), number)))
             fresh = new_posts(full.where("content <> ''"), self.store.read("raw_posts"))
-            scored = with_dqi(with_relevance(with_sentiment(fresh))).withColumn("job_id", F.lit(self.first_job + number).cast("long")).withColumn("month", F.trunc(F.col("collected_at").cast("date"), "month")).persist()
-            try:
+            job, month = F.lit(self.first_job + number).cast("long"), F.trunc(F.col("collected_at").cast("date"), "month")
+            with kept(with_dqi(with_relevance(with_sentiment(fresh))).withColumn("job_id", job).withColumn("month", month)) as scored:
                 for name in ("sentiment_results", "relevance_results", "discourse_results"):
                     self.store.append(name, scored)
                 self.store.append("decision_audit_log", audit.audited(scored))
@@ -112,10 +117,6 @@ class Ingest:
                 counts = rows.count(), scored.count()
                 self.store.append("raw_posts", scored)  # last: until then a repeated batch takes the same posts in again
                 return counts
-            finally:
-                scored.unpersist()
-        finally:
-            rows.unpersist()
 
     def _branch(self, name: str, table: str, work: Branch, passed: DataFrame, number: int) -> None:
         for i in range(self.tries):

@@ -9,6 +9,7 @@ from colloquy.operators.correlation import profiles
 from colloquy.sources.store import Store
 from colloquy.streaming.ingest import Ingest, job_states, replayed, vectors_of
 from colloquy.streaming.profiles import SIGHTING, folded, run
+from pyspark.sql import functions as F
 
 GPT = "a large language model and an llm with embeddings, gpt, bert, nlp and the transformer: machine learning, deep learning, ai safety"
 
@@ -123,3 +124,37 @@ def test_keyed_profiles_over_ten_batches_with_a_restart(spark, tmp_path):
     ended = found.where("ended and user_id = 0").collect()
     assert len(ended) == 1 and ended[0].last_sighted_at < start + dt.timedelta(days=2)
     assert found.where("user_id = 0").select("episode").distinct().count() == 2
+
+
+def test_posts_are_scored_once_and_keep_their_own_fields(spark, store, monkeypatch):
+    """Before, reading the store again dropped the cached scores, so that they were computed twice; and lines of one id exchanged their contents."""
+    from colloquy.streaming import ingest as module
+
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        scored.add(1)
+        return text
+
+    def with_count(df):
+        return df.withColumn("content", counted.asNondeterministic()("content"))
+
+    score = module.with_sentiment
+    monkeypatch.setattr(module, "with_sentiment", lambda df: score(with_count(df)))
+    batch = lines(spark, *[line(i) for i in range(20)], line(30, "first", location="Tokyo", payload=json.dumps({"text": "first", "id": "a"})), line(30, location="Berlin", payload=json.dumps({"text": "second", "id": "b"})))
+    Ingest(store, pause=0).batch(batch, 0)
+    found = sorted((r.external_id, r.content, r.location) for r in store.read("raw_posts").where("post_id = 30").collect())
+    assert found == [("a", "first", "Tokyo"), ("b", "second", "Berlin")]
+    assert store.read("raw_posts").count() == scored.value == 22
+
+
+def test_what_a_batch_kept_is_removed_with_it(spark, store):
+    from colloquy.sources.shared import kept, shared_base
+
+    with kept(spark.range(3)) as rows:
+        folder = rows.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+        assert rows.count() == 3 and shared_base(spark)
+    import os
+
+    assert not os.path.exists(folder)
