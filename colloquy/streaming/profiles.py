@@ -1,7 +1,7 @@
 """Profiles of users as keyed state that ends: one state for each user, an event-time timer for each silence.
 
-A user's state holds one episode: a value with counts, best confidence, first and last sight and first
-topic, and a map of the platforms seen. Each batch gives the episode as it stands; when the watermark has
+A user's state holds one episode: one value with counts, best confidence, first and last sight, first
+topic and the platforms seen, read and written once for a batch. Each batch gives the episode as it stands; when the watermark has
 passed `silence` after the last sight, a timer ends the state. A user who comes back begins a new episode.
 `folded` puts the last word on each episode, and the episodes of a user, together: the same profile as the
 batch query gives. So the state holds users of the last days, however many there ever were.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -21,7 +21,8 @@ from ..operators.correlation import _SIGHTINGS, gated, sightings
 from .queries import shared
 
 EPISODE = "user_id long, episode long, sighting_count long, platforms array<string>, correlation_confidence double, first_sighted_at timestamp, first_event long, last_sighted_at timestamp, topic_affinity string, ended boolean"
-PROFILE = "episode long, n long, confidence double, first timestamp, first_event long, last timestamp, topic string"
+#: Times are microseconds inside the state and in what it gives.
+PROFILE = "episode long, n long, confidence double, first long, first_event long, last long, topic string, platforms array<string>"
 SIGHTING = "event_id long, user_id long, source_id string, sighted_at timestamp_ntz, confidence double, topic string"
 
 
@@ -34,34 +35,32 @@ class Episodes(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.profile = handle.getValueState("profile", PROFILE)
-        self.platforms = handle.getMapState("platforms", "platform string", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["sighted_at", "event_id"])
-        first, last, best = found.iloc[0], found["sighted_at"].iloc[-1], float(found["confidence"].max())
-        state = (int(first["event_id"]), len(found), best, first["sighted_at"].to_pydatetime(), int(first["event_id"]), last.to_pydatetime(), first["topic"])
-        if self.profile.exists():
-            was = self.profile.get()
-            earliest = was[3:5] if (was[3], was[4]) <= (state[3], state[4]) else state[3:5]
-            topic = was[6] if earliest == was[3:5] else state[6]
-            state = (was[0], was[1] + state[1], max(was[2], state[2]), *earliest, max(was[5], state[5]), topic)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = [(r.at, r.event_id, r.confidence, r.topic, r.source_id) for r in rows]
+        at, event, _, topic, _ = min(found, key=lambda r: r[:2])
+        last, best, platforms = max(r[0] for r in found), max(r[2] for r in found), {r[4] for r in found if r[4] is not None}
+        state, was = (event, len(found), best, at, event, last, topic, sorted(platforms)), self.profile.get()
+        if was is not None:
+            earliest, theme = ((was[3], was[4]), was[6]) if (was[3], was[4]) <= (at, event) else ((at, event), topic)
+            state = (was[0], was[1] + len(found), max(was[2], best), *earliest, max(was[5], last), theme, sorted(platforms.union(was[7])))
         self.profile.update(state)
-        for platform, n in found["source_id"].value_counts().items():
-            before = self.platforms.getValue((platform,))[0] if self.platforms.containsKey((platform,)) else 0
-            self.platforms.updateValue((platform,), (before + int(n),))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(int(pd.Timestamp(state[5]).timestamp() * 1000) + self.silence_ms)
+        if was is None or was[5] != state[5]:
+            if was is not None and self._ends(was) != self._ends(state):
+                self.handle.deleteTimer(self._ends(was))
+            self.handle.registerTimer(self._ends(state))
         yield self._row(key, state, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield self._row(key, self.profile.get(), True)
         self.profile.clear()
-        self.platforms.clear()
 
-    def _row(self, key, state, ended: bool) -> pd.DataFrame:
-        platforms = sorted(p[0] for p in self.platforms.keys())
-        return pd.DataFrame([(key[0], state[0], state[1], platforms, state[2], pd.Timestamp(state[3]), state[4], pd.Timestamp(state[5]), state[6], ended)], columns=[c.split()[0] for c in EPISODE.split(", ")])
+    def _ends(self, state) -> int:
+        """The moment, in milliseconds, at which the silence after the last sight is over."""
+        return state[5] // 1000 + self.silence_ms
+
+    def _row(self, key, state, ended: bool) -> Row:
+        return Row(user_id=key[0], **dict(zip([c.split()[0] for c in PROFILE.split(", ")], state, strict=True)), ended=ended)
 
     def close(self) -> None:
         pass
@@ -70,15 +69,19 @@ class Episodes(StatefulProcessor):
 def episodes(rows: DataFrame, silence: str = "1 day", late: str = "1 hour") -> DataFrame:
     """The stream of episodes of a stream of sightings."""
     silence_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
-    on_time = gated(rows).withColumn("sighted_at", F.col("sighted_at").cast("timestamp")).withWatermark("sighted_at", late)
-    return on_time.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Episodes(silence_ms), outputStructType=EPISODE, outputMode="Update", timeMode="EventTime")
+    on_time = gated(rows).withColumn("sighted_at", F.col("sighted_at").cast("timestamp")).withWatermark("sighted_at", late).withColumn("at", F.unix_micros("sighted_at"))
+    found = on_time.groupBy("user_id").transformWithState(statefulProcessor=Episodes(silence_ms), outputStructType=f"user_id long, {PROFILE}, ended boolean", outputMode="Update", timeMode="EventTime")
+    return found.select(
+        "user_id", "episode", F.col("n").alias("sighting_count"), "platforms", F.col("confidence").alias("correlation_confidence"), F.timestamp_micros("first").alias("first_sighted_at"), "first_event",
+        F.timestamp_micros("last").alias("last_sighted_at"), F.col("topic").alias("topic_affinity"), "ended",
+    )
 
 
 def run(rows: DataFrame, folder: str, silence: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Takes in what is there and gives all episodes so far; another call with the same folder goes on where this one ended."""
     spark, key = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that keeps maps and timers
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that keeps timers
     try:
 
         def sink(batch: DataFrame, number: int) -> None:

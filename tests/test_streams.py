@@ -158,3 +158,39 @@ def test_what_a_batch_kept_is_removed_with_it(spark, store):
     import os
 
     assert not os.path.exists(folder)
+
+
+def test_a_batch_of_a_user_asks_the_state_store_a_fixed_number_of_times():
+    """Before, each platform and each timer was asked for by itself, so that a user cost some 25 ms a batch."""
+    from colloquy.streaming.profiles import Episodes
+    from pyspark.sql import Row
+
+    class Handle:
+        calls, value, timers = 0, None, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.remove(at)
+
+    handle, processor = Handle(), Episodes(1_000)
+    processor.init(handle)
+    for batch in range(3):
+        handle.calls = 0
+        rows = [Row(at=batch * 10_000_000 + i * 1_000, event_id=batch * 100 + i, confidence=0.9, topic=f"t{i}", source_id=f"p{batch}{i % 20}") for i in range(50)]
+        (found,) = processor.handleInputRows((7,), iter(rows[::-1]), None)
+        assert handle.calls <= 4 and handle.timers == {batch * 10_000 + 49 + 1_000}
+        assert (found.n, found.topic, found.first, found.last) == (50 * (batch + 1), "t0", 0, rows[-1].at) and len(found.platforms) == 20 * (batch + 1)
