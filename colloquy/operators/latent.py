@@ -15,6 +15,7 @@ direction points to where its largest entry is positive.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
@@ -40,15 +41,26 @@ BLOCK, SLICE, FAN = 256, 256, 256
 LEAST_SHARE = 1e-9
 
 
-def feature(word: Column) -> Column:
+def feature(word: str) -> int:
     """The feature of a word, 0 to 4,095."""
-    return F.conv(F.left(F.md5(word), F.lit(3)), 16, 10).cast("smallint")
+    return int(hashlib.md5(word.encode()).hexdigest()[:3], 16)
 
 
 def featured(rows: DataFrame, text: str = "content") -> DataFrame:
-    """post_id and features (one for each word, in order) of the rows whose text holds a word."""
-    # a condition on the features themselves would compute them twice
-    return rows.where(has_tokens(F.col(text))).select("post_id", F.transform(tokens(F.col(text)), feature).alias("features"))
+    """post_id and features (one for each word, in order) of the rows whose text holds a word. Digests are taken of the distinct words of a batch only."""
+    own = rows.where(has_tokens(F.col(text))).select("post_id", tokens(F.col(text)).alias("words"))
+    kind = own.schema["post_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            flat = words.flatten().dictionary_encode()
+            numbers = np.fromiter(map(feature, flat.dictionary.to_pylist()), np.int16, len(flat.dictionary))
+            ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers[flat.indices.to_numpy()], pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["post_id", "features"])
+
+    return own.mapInArrow(run, f"post_id {kind}, features array<smallint>")
 
 
 def refused(rows: DataFrame, text: str = "content") -> DataFrame:

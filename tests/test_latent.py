@@ -105,3 +105,17 @@ def test_stream_takes_the_learned_model(spark, tmp_path):
     name, table, work = Ingest(store, embed_branch=learned.branch()).branches[0]
     store.append(table, work(passed))
     assert [(r.post_id, r.model_name, len(r.embedding)) for r in store.read("post_embeddings").collect()] == [(1, "latent-8", 8)]
+
+
+def test_digests_are_taken_of_distinct_words_and_the_text_is_lowered_once(spark):
+    """Before, each word was digested where it stood, and a filter on the relevance lowered the text for each keyword."""
+    from colloquy.functions.text import with_relevance
+
+    rows = [(1, "Same same\nother", "x"), (2, None, "x"), (3, " , ", "x"), (4, "ñandú same", "x")]
+    found = {r.post_id: r.features for r in latent.featured(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wanted = {1: ["same", "same", "other"], 4: ["ñandú", "same"]}
+    assert found == {i: [int(hashlib.md5(w.encode()).hexdigest()[:3], 16) for w in words] for i, words in wanted.items()}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert "md5" not in latent.featured(frame)._jdf.queryExecution().optimizedPlan().toString()
+    gated = with_relevance(frame).where("relevance >= 0.4").select("post_id")
+    assert gated._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
