@@ -15,16 +15,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..catalog import query
-from ..sources.shared import shared_base
+from ..sources.shared import shared_base, written
 from ..sources.tables import embeddings, posts
-from .vectors import CHUNK_VECTORS, _closest
+from .vectors import BLOCK_VECTORS, CHUNK_VECTORS
 
 #: Integer length of a unit vector. Products of two stay below 2^41, exact in double precision too.
 UNIT = 1 << 20
@@ -34,13 +33,13 @@ CLUSTERS, ROUNDS = 12, 8
 SPREAD_HIGH, SPREAD_LOW, MULTIPLIER_HIGH, MULTIPLIER_LOW = 0.6, 0.2, 1.2, 0.7
 
 
-def units(vectors: DataFrame) -> DataFrame:
-    """post_id and q (array of long): the vectors that take part, at unit length."""
-    own = vectors.where(F.col("embedding").isNotNull()).select("post_id", F.col("embedding").cast("array<double>").alias("v"))
+def units(vectors: DataFrame, *keep: str) -> DataFrame:
+    """post_id and q (array of long): the vectors that take part, at unit length, and the columns to keep."""
+    own = vectors.where(F.col("embedding").isNotNull()).select("post_id", *keep, F.col("embedding").cast("array<double>").alias("v"))
     own = own.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where(f"norm > 0 and norm < double('infinity')")
     common = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = common["d"] if common else 0
-    return own.where(F.size("v") == d).select("post_id", F.transform("v", lambda x: F.round(x / F.col("norm") * UNIT).cast("long")).alias("q"))
+    return own.where(F.size("v") == d).select("post_id", *keep, F.transform("v", lambda x: F.round(x / F.col("norm") * UNIT).cast("long")).alias("q"))
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -89,19 +88,20 @@ def fit(rows: DataFrame, cells: int, rounds: int = ROUNDS) -> tuple[np.ndarray,
     return centroids.astype(np.int64), history
 
 
-def assigned(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """The rows of `units` with their cell and its distance, 1 less the cosine."""
+def assigned(rows: DataFrame, centroids: np.ndarray, *keep: str) -> DataFrame:
+    """The rows of `units` with their cell and its distance, 1 less the cosine, and the columns to keep."""
     if not len(centroids):
-        return rows.select("post_id", "q", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("double").alias("distance"))
+        return rows.select("post_id", *keep, "q", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("double").alias("distance"))
     shared = rows.sparkSession.sparkContext.broadcast(centroids.astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cell, product = _assigned(_matrix(batch, "q"), shared.value)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(1 - product / UNIT**2)], ["post_id", "q", "cell", "distance"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(1 - product / UNIT**2)], ["post_id", *keep, "q", "cell", "distance"])
 
-    return rows.select(F.col("post_id").cast("long").alias("post_id"), "q").mapInArrow(run, "post_id long, q array<long>, cell int, distance double")
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.select(F.col("post_id").cast("long").alias("post_id"), *keep, "q").mapInArrow(run, f"post_id long, {kinds}q array<long>, cell int, distance double")
 
 
 def argument_clusters(vectors: DataFrame, cells: int = CLUSTERS, rounds: int = ROUNDS) -> DataFrame:
@@ -176,59 +176,163 @@ MARGIN = 0.42
 
 
 class CellIndex:
-    """An inverted file: all vectors, stored by cell, and the cells' centroids."""
+    """An inverted file: all vectors, stored by chunk and cell, and the cells' centroids; `chunks` has of each cell its
+    first chunk and how many it is cut into."""
 
-    def __init__(self, folder: str, centroids: np.ndarray, members: dict[int, int]):
-        self.folder, self.centroids, self.members = folder, centroids, members
+    def __init__(self, folder: str, centroids: np.ndarray, members: dict[int, int], chunks: dict[int, tuple[int, int]]):
+        self.folder, self.centroids, self.members, self.chunks = folder, centroids, members, chunks
+
+
+def chunks_of(members: dict[int, int], size: int = CHUNK_VECTORS) -> dict[int, tuple[int, int]]:
+    """First chunk and number of chunks of each cell: small cells share one of about `size` vectors, larger ones are cut."""
+    found, chunk, room = {}, -1, 0
+    for cell, n in sorted(members.items()):
+        if n > room:
+            chunk, room = chunk + 1, size
+        parts = max(1, -(-n // size))
+        found[cell] = (chunk, parts)
+        if parts > 1:
+            chunk, room = chunk + parts - 1, 0
+        room -= n if parts == 1 else 0
+    return found
 
 
 def build_index(vectors: DataFrame, folder: str, cells: int | None = None, rounds: int = ROUNDS) -> CellIndex:
-    """Every vector that takes part, written to `folder` by its cell.
+    """Every vector that takes part, written to `folder` by its chunk and cell.
 
     Cells (about the square root of the vectors, `MOST_CELLS` at most) are fitted on a sample of about
-    `SAMPLE_PER_CELL` vectors each, chosen by a hash of their ids. A cell may hold any number of rows: it
-    is cut into chunks of bounded size when it is written, and searched by chunk.
+    `SAMPLE_PER_CELL` vectors each, chosen by a hash of their ids. A cell may hold any number of rows: chunks
+    are of bounded size, whatever the cells', and there are about as many as the vectors ask for.
     """
     spark = vectors.sparkSession
-    rows = units(vectors)
+    rows = written(units(vectors.withColumn("post_id", F.col("post_id").cast("long")).where("post_id is not null"), "embedding"))
     n = rows.count()
     cells = cells or int(min(MOST_CELLS, max(1, n**0.5)))
     share = cells * SAMPLE_PER_CELL / max(1, n)
-    sample = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit(77), "post_id"), F.lit(1_000_000_007)) < F.lit(share * 1_000_000_007))
+    sample = rows if share >= 1 else written(rows.where(F.pmod(F.xxhash64(F.lit(77), "post_id"), F.lit(1_000_000_007)) < F.lit(share * 1_000_000_007)).select("post_id", "q"))
     centroids = fit(sample, cells, rounds)[0]
-    placed = assigned(rows, centroids).select("post_id", "q", "cell").join(vectors.select("post_id", "embedding"), "post_id")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("post_id"), F.lit(max(1, -(-n // CHUNK_VECTORS)))).cast("int"))
-    placed.select("post_id", "embedding", "chunk", "cell").repartition("cell", "chunk").write.partitionBy("cell").parquet(folder)
-    stored = spark.read.parquet(folder)
-    return CellIndex(folder, centroids, {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()})
-
-
-def probed(asked: DataFrame, index: CellIndex, margin: float = MARGIN) -> DataFrame:
-    """query_id, embedding and each cell that the query looks into; cells are a few thousand, so all angles are computed."""
+    placed = written(assigned(rows, centroids, "embedding").select("post_id", "embedding", "cell"))
+    members = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    chunks = chunks_of(members)
+    table = spark.createDataFrame([(cell, *own) for cell, own in chunks.items()], "cell int, first int, parts int")
+    chunk = (F.col("first") + F.pmod(F.xxhash64("post_id"), F.col("parts"))).cast("int").alias("chunk")
+    dealt = placed.join(F.broadcast(table), "cell").select("post_id", "embedding", chunk, "cell")
+    dealt.repartition("chunk").sortWithinPartitions("chunk", "cell").write.parquet(folder)
+    return CellIndex(folder, centroids, members, chunks)
+
+
+def _looking(asked: DataFrame, index: CellIndex, margin: float) -> DataFrame:
+    """post_id, embedding and the cells that each query looks into; cells are a few thousand, so all angles are computed."""
     shared = asked.sparkSession.sparkContext.broadcast(index.centroids.astype(np.float64))
+    rows = units(asked.withColumn("post_id", F.col("post_id").cast("long")).where("post_id is not null"), "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 angles = np.arccos(np.clip(_matrix(batch, "q") @ shared.value.T / UNIT**2, -1, 1))
                 near = [np.flatnonzero(a <= a.min() + margin).astype(np.int32) for a in angles]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.int32()))], ["post_id", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.int32()))], ["post_id", "embedding", "cells"])
 
-    cells = units(asked).select(F.col("post_id").cast("long").alias("post_id"), "q").mapInArrow(run, "post_id long, cells array<int>")
-    return cells.join(asked.select("post_id", "embedding"), "post_id").select("post_id", "embedding", F.explode("cells").alias("cell"))
+    return rows.select("post_id", "embedding", "q").mapInArrow(run, f"post_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, cells array<int>")
+
+
+def probed(asked: DataFrame, index: CellIndex, margin: float = MARGIN) -> DataFrame:
+    """post_id, embedding and each cell that the query looks into."""
+    return _looking(asked, index, margin).select("post_id", "embedding", F.explode("cells").alias("cell"))
+
+
+def _dealt(looking: DataFrame, index: CellIndex, blocks: int) -> DataFrame:
+    """Each query once for each chunk that holds one of its cells, with those of its cells that lie there."""
+    shared = looking.sparkSession.sparkContext.broadcast(index.chunks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts = np.full(max(shared.value, default=0) + 1, -1), np.zeros(max(shared.value, default=0) + 1, np.int64)
+        for cell, (start, n) in shared.value.items():
+            first[cell], parts[cell] = start, n
+        step = max(1, 50_000 // max(1, len(set(first.tolist()))))  # queries at once, each of which may go to all chunks
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                lists = batch.column(2)
+                row, cells = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+                row, cells = row[cells < len(first)], cells[cells < len(first)]
+                times = parts[cells]
+                chunks = np.repeat(first[cells] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                row, cells = np.repeat(row, times), np.repeat(cells, times)
+                order = np.lexsort((cells, chunks, row))
+                row, chunks, cells = row[order], chunks[order], cells[order]
+                starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(chunks, prepend=-1) != 0))
+                at = pa.array(row[starts])
+                own = pa.ListArray.from_arrays(pa.array([*starts, len(row)], pa.int32()), pa.array(cells, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[starts], pa.int32()), batch.column(0).take(at), batch.column(1).take(at), own], ["chunk", "post_id", "embedding", "cells"])
+
+    kind = looking.schema["embedding"].dataType.simpleString()
+    dealt = looking.mapInArrow(run, f"chunk int, post_id long, embedding {kind}, cells array<int>")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("post_id"), F.lit(blocks)).cast("int"))
+
+
+def _rows(table: pa.Table) -> np.ndarray:
+    """Embeddings at unit length."""
+    v = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1.0)
+
+
+def _best(row: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the k best of each row stand, and their places in it; ties (to six decimals) go to the smaller id."""
+    order = np.lexsort((ids, -np.round(near, 6), row))
+    place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    return order[place < k], place[place < k]
+
+
+def _within(asked: pa.Table, chunk: pa.Table, k: int) -> pa.Table:
+    """The k most similar vectors among those of a chunk that lie in each query's cells."""
+    names, ids = asked["post_id"].to_numpy(), chunk["post_id"].to_numpy()
+    best, near = np.full((len(names), k), -1), np.full((len(names), k), -np.inf)
+    if len(names) and len(ids):
+        q, v = _rows(asked), _rows(chunk)
+        lists = asked["cells"].combine_chunks()
+        who, wants = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        by_want, by_cell = np.argsort(wants, kind="stable"), np.argsort(chunk["cell"].to_numpy(), kind="stable")
+        who, wants = who[by_want], wants[by_want]
+        cells, starts = np.unique(chunk["cell"].to_numpy()[by_cell], return_index=True)
+        for cell, start, end in zip(cells, starts, [*starts[1:], len(ids)], strict=True):
+            members = by_cell[start:end]
+            asking = who[slice(*np.searchsorted(wants, [cell, cell + 1]))]
+            for i in range(0, len(asking), 256):  # a bounded share of the similarities at once
+                own = asking[i : i + 256]
+                found = q[own] @ v[members].T
+                found[names[own][:, None] == ids[members]] = -np.inf
+                bound = near[own].min(1) - 2e-6  # room for the rounding that orders them
+                if len(members) > k:
+                    reach = np.flatnonzero(found.max(1) >= bound)
+                    bound[reach] = np.maximum(bound[reach], np.partition(found[reach], -k, 1)[:, -k] - 2e-6)
+                at, to = np.nonzero((found >= bound[:, None]) & np.isfinite(found))
+                if len(at):
+                    rows = np.unique(own[at])
+                    row, other, value = np.concatenate([np.repeat(rows, k), own[at]]), np.concatenate([best[rows].ravel(), members[to]]), np.concatenate([near[rows].ravel(), found[at, to]])
+                    row, other, value = row[other >= 0], other[other >= 0], value[other >= 0]
+                    kept, place = _best(row, ids[other], value, k)
+                    best[row[kept], place], near[row[kept], place] = other[kept], value[kept]
+    row, place = np.nonzero(best >= 0)
+    return pa.table({"query_id": pa.array(names[row], pa.int64()), "post_id": pa.array(ids[best[row, place]], pa.int64()), "similarity": pa.array(near[row, place])})
 
 
 def indexed_nearest(asked: DataFrame, index: CellIndex, k: int, margin: float = MARGIN) -> DataFrame:
-    """query_id, rank, post_id and similarity of the k most similar other posts among the probed cells, compared exactly."""
+    """query_id, rank, post_id and similarity of the k most similar other posts among the probed cells, compared exactly.
+
+    A query goes once to each chunk that holds one of its cells, and each chunk once to every block of queries; their
+    vectors are multiplied cell by cell, and only k rows of a query leave a chunk.
+    """
     spark = asked.sparkSession
-    stored = spark.read.parquet(index.folder).select("cell", "chunk", "post_id", "embedding")
-    chunks = stored.select("cell", "chunk").distinct()
-    left = probed(asked, index, margin).join(chunks, "cell").select(*[F.col(c).alias(c) for c in ("cell", "chunk", "post_id", "embedding")])
+    blocks = max(1, -(-asked.count() // BLOCK_VECTORS))
+    left = _dealt(_looking(asked, index, margin), index, blocks)
+    stored = spark.read.parquet(index.folder).select("chunk", "cell", "post_id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def closest(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        return _closest(one, other, k)
+    def closest(one: pa.Table, other: pa.Table) -> pa.Table:
+        return _within(one, other, k)
 
-    pairs = left.groupBy("cell", "chunk").cogroup(stored.groupBy("cell", "chunk")).applyInPandas(closest, "query_id long, post_id long, similarity double")
+    pairs = left.groupBy("block", "chunk").cogroup(stored.groupBy("block", "chunk")).applyInArrow(closest, "query_id long, post_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "post_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "post_id", "similarity")
 

@@ -110,3 +110,33 @@ def test_recall_on_the_given_vectors(spark):
         pytest.skip("no test data")
     exact, found = ({(r.query_id, r.post_id) for r in QUERIES[n](spark, folder).collect()} for n in ("similar_posts_topk", "similar_posts_indexed"))
     assert len(exact & found) >= 0.95 * len(exact)
+
+
+def test_chunks_follow_the_cells(spark, tmp_path, monkeypatch):
+    """Small cells share a chunk and large ones are cut, so that a query goes to no more chunks than hold its cells."""
+    from colloquy.operators import clusters as C
+
+    assert C.chunks_of({0: 3, 1: 4, 2: 25, 3: 1, 5: 9, 6: 2}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 5: (4, 1), 6: (5, 1)}
+    assert C.chunks_of({}) == {}
+    rows = blobs(900, 9) + [(5000 + i, blobs(1, 9)[0][1]) for i in range(300)]  # one large group of copies
+    vectors = frame(spark, rows)
+    asked = vectors.where("post_id % 50 = 0")
+    monkeypatch.setattr(C, "chunks_of", lambda members, size=64, plain=C.chunks_of: plain(members, 64))
+    index = build_index(vectors, str(tmp_path / "index"))
+    stored = spark.read.parquet(index.folder)
+    assert stored.count() == 1200 == sum(index.members.values())
+    chunks = {r.chunk: r.n for r in stored.groupBy("chunk").agg({"*": "count"}).toDF("chunk", "n").collect()}
+    assert len(chunks) <= 2 * 1200 / 64 + 1 and max(chunks.values()) < 128
+    dealt = C._dealt(C._looking(asked, index, 0.42), index, 1).collect()
+    assert len({(r.post_id, r.chunk) for r in dealt}) == len(dealt) <= 24 * len(chunks)
+    keys = ("query_id", "rank", "post_id")
+    monkeypatch.setattr(C, "BLOCK_VECTORS", 7)  # several blocks of queries
+    found = indexed_nearest(asked, index, 4, margin=4.0).collect()
+    assert sorted(tuple(r[k] for k in keys) for r in found) == sorted(tuple(r[k] for k in keys) for r in nearest(asked, vectors, 4).collect())
+
+
+def test_index_of_odd_and_no_vectors(spark, tmp_path):
+    odd = frame(spark, [(900, None), (901, [0.0] * 24), (904, [1.0]), *blobs(3, 1)])
+    index = build_index(odd, str(tmp_path / "odd"))
+    assert {(r.query_id, r.post_id) for r in indexed_nearest(odd, index, 5).collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
+    assert indexed_nearest(frame(spark, []), build_index(frame(spark, []), str(tmp_path / "none")), 5).collect() == []
