@@ -110,6 +110,21 @@ def fit_centroids(words: list[bytes], counts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(centres.T, np.float32)
 
 
+def _summed(centroids: np.ndarray, triples: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each word, the sum of its triples' rows: first, second, third triples of all words and so on, the rest of long words at once."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    total = np.take(centroids, triples[starts], axis=0)
+    for i in range(1, min(64, lengths[0])):
+        n = np.searchsorted(-lengths, -i)  # words of more than i triples
+        total[:n] += np.take(centroids, triples[starts[:n] + i], axis=0)
+    for w in range(np.searchsorted(-lengths, -64)):
+        total[w] += centroids[triples[starts[w] + 64 : starts[w] + lengths[w]]].sum(0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def classes_of(words: list[bytes], centroids: np.ndarray) -> np.ndarray:
     """The class of each word that is not the end."""
     out = np.empty(len(words), np.int64)
@@ -119,9 +134,7 @@ def classes_of(words: list[bytes], centroids: np.ndarray) -> np.ndarray:
         while high < len(words) and size < 200_000:  # bytes at once; a single word may have more
             size += len(words[high])
             high += 1
-        triples, sizes = spelling(words[low:high])
-        bounds = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        out[low:high] = np.add.reduceat(centroids[triples], bounds, axis=0).argmax(1) + 1
+        out[low:high] = _summed(centroids, *spelling(words[low:high])).argmax(1) + 1
         low = high
     return out
 
@@ -218,10 +231,12 @@ class Model:
         out = []
         for start, own in ((self.class_prior, found[:SEEN]), (self.part_prior[c], found[SEEN:])):
             # arrays that came with a broadcast have a type object of their own, with which numpy adds rows slowly
-            total = np.empty((len(c), CLASSES), np.float32)
-            np.add(self.weights[own[0]], start, out=total)
+            total, one = np.empty((2, len(c), CLASSES), np.float32)
+            np.take(self.weights, own[0], axis=0, out=total, mode="clip")  # without "clip" it makes a copy first
+            total += start
             for rows in own[1:]:
-                total += self.weights[rows]
+                np.take(self.weights, rows, axis=0, out=one, mode="clip")
+                total += one
             total -= total.max(1, keepdims=True)
             np.exp(total, out=total)
             total /= (total @ np.ones(CLASSES, np.float32))[:, None]
@@ -249,16 +264,17 @@ class Model:
     def expect(self, ids: np.ndarray, sizes: np.ndarray, into: np.ndarray) -> None:
         """Adds how often the model expects each outcome after each feature."""
         c, _, found = self.features(ids, sizes)
-        every, flat = np.arange(CLASSES), into.reshape(-1)
-        at = np.empty((CHUNK, CLASSES), np.int64)  # one buffer for all chunks
+        # two neighbouring outcomes are added as one complex number: the same sums from half as many places
+        half = CLASSES // 2
+        every, flat = np.arange(half), into.view(np.complex64).reshape(-1)
+        at = np.empty((CHUNK, half), np.int64)  # one buffer for all chunks
         for i in range(0, len(ids), CHUNK):
             own = slice(i, i + CHUNK)
             for expected, rows in zip(self.probabilities(c[own], found[:, own]), (found[:SEEN, own], found[SEEN:, own]), strict=True):
-                place = at[: len(expected)]
-                for r in rows:
-                    np.multiply(r[:, None], CLASSES, out=place)
-                    np.add(place, every, out=place)
-                    np.add.at(flat, place.reshape(-1), expected.reshape(-1))
+                place, pairs = at[: len(expected)], expected.view(np.complex64).reshape(-1)
+                for r in rows * half:
+                    np.add(r[:, None], every, out=place)
+                    np.add.at(flat, place.reshape(-1), pairs)
 
 
 def moved(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
@@ -318,7 +334,9 @@ def _frequent(counts: DataFrame, most: int) -> Column:
 
 
 def _hash(word: bytes) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64))
+    """Spark's xxhash64 of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (h >> 63 << 64)
 
 
 class Encoder:
@@ -484,11 +502,7 @@ def score(docs: DataFrame, held_out: Column, head: int = HEAD - 2_000) -> DataFr
 
     whole = encoded.select("row", "ids", "doc_id", "held_out", "n_tokens", "sums", "known", "inside").mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, sums double, known long, inside double, logs double")
 
-    @F.pandas_udf("long")
-    def hashes(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: _hash(bytes(w))).astype("int64")
-
-    tail = counts.where(~frequent).select(hashes("word").alias("word"), "c").groupBy("word").agg(F.max("c").alias("c"))
+    tail = counts.where(~frequent).select(F.xxhash64("word").alias("word"), "c").groupBy("word").agg(F.max("c").alias("c"))
     wanted = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = wanted.join(tail, "word", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("times")).alias("rare_sums"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known")

@@ -132,3 +132,35 @@ def test_rank_ties_never_leave_the_head_empty(spark):
     n = counts.where(lm_scoring._frequent(counts, 300)).count()
     assert 200 < n < 400
     assert score(df, F.lit(False), head=300).count() == 40
+
+
+def test_class_sums_of_short_and_long_words():
+    """Sums by place within the words equal sums word by word."""
+    words = [b"a", b"x" * 64, b"tion", bytes(range(97, 123)) * 40, "über".encode(), b"ab" * 33, b"the"]
+    centroids = np.random.default_rng(5).normal(size=(lm_scoring.TRIPLES, CLASSES - 1)).astype(np.float32)
+    triples, sizes = spelling(words)
+    want = [centroids[spelling([w])[0]].astype(float).sum(0) for w in words]
+    assert np.allclose(lm_scoring._summed(centroids, triples, sizes), want, atol=1e-3)
+    assert classes_of(words, centroids).tolist() == [int(np.argmax(w)) + 1 for w in want] and classes_of([], centroids).tolist() == []
+
+
+def test_expectations_equal_sums_row_by_row():
+    counts = Counter(w for _, t in texts(60) for w in [*t.encode().split(), b"\n"])
+    known = known_of(counts, 30)
+    model = Model.empty(known, sum(counts.values()))
+    model.weights = np.random.default_rng(2).normal(size=model.weights.shape).astype(np.float32)
+    ids, sizes = Encoder(known).batch([t.encode() for _, t in texts(40)])[:2]
+    c, _, found = model.features(ids, sizes)
+    want, got = np.zeros(model.weights.shape), np.zeros(model.weights.shape, np.float32)
+    for rows, p in zip((found[:SEEN], found[SEEN:]), model.probabilities(c, found), strict=True):
+        for r in rows:
+            np.add.at(want, r, p)
+    model.expect(ids, sizes, got)
+    assert np.allclose(got, want, atol=1e-3) and abs(got.sum() - 8 * len(ids)) < 1
+
+
+def test_hashes_of_rare_words_are_those_of_spark(spark):
+    """Counts of rare words are hashed by Spark and their occurrences in tasks; both have to agree."""
+    words = [b"", b"a", "über".encode(), b"\xff\xfe", b"the" * 30]
+    got = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select("word", F.xxhash64("word").alias("h")).collect()
+    assert {bytes(r.word): r.h for r in got} == {w: lm_scoring._hash(w) for w in words}
