@@ -41,8 +41,9 @@ SHARD_WORDS = 2_000_000
 BITS = 25
 COUNTS = "lang string, phrase string, count long"
 
-#: A-Z in lower case, the marks that end a piece as new lines, tabs as blanks.
-SPELLED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+#: A-Z in lower case, then the marks that end a piece as `STOP`, which is in no word any more, and tabs as blanks.
+STOP = b"A"
+SPELLED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + STOP * 10 + b" ")
 #: Ids of the end of a piece and of words left out; the words that remain begin behind them.
 END, OUT = 0, 1
 
@@ -118,8 +119,8 @@ class Shard:
         if lang not in self.known:
             self.known[lang] = Ids(lang, self.words)
         own = self.known[lang]
-        found = np.fromiter(map(own.__getitem__, (text.translate(SPELLED) + b"\n").replace(b"\n", b" \n ").split(b" ")), np.int32)
-        self.ids.setdefault(lang, []).append(found[found >= 0])
+        found = (text.translate(SPELLED) + STOP).replace(STOP, b" A ").split()
+        self.ids.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
         self.size += len(found)
 
     def counts(self, shortest: int, longest: int) -> Batches:
@@ -145,26 +146,29 @@ def batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
 
 
 class Ids(dict):
-    """Ids of one language's words; -1 for the empty word, OUT for words that the bitmap doesn't have."""
+    """Ids of one language's words; OUT for words that the bitmap doesn't have."""
 
     def __init__(self, lang: str, words: np.ndarray | None):
-        super().__init__({b"\n": END, b"": -1})
-        self.words, self.seed = words, xxhash.xxh64_intdigest(lang.encode(), seed=42)
+        super().__init__({STOP: END})
+        self.words, self.seed = None if words is None else memoryview(words.astype("<u8", copy=False)).cast("B"), xxhash.xxh64_intdigest(lang.encode(), seed=42)
         self.spelled: list[bytes] = []
-        self.hashes: list[int] = [0, 0]
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, seed=self.seed)  # Spark's xxhash64(lang, word)
-        if self.words is not None and not self.words[(h & MASK) >> 6] >> np.uint64(h & 63) & np.uint64(1):
-            self[word] = OUT
-            return OUT
+        if self.words is not None:
+            h = self.hash(word)
+            if not self.words[(h & MASK) >> 3] >> (h & 7) & 1:
+                self[word] = OUT
+                return OUT
         self.spelled.append(word)
-        self.hashes.append(h)
-        self[word] = len(self.spelled) + OUT
-        return len(self.spelled) + OUT
+        self[word] = at = len(self.spelled) + OUT
+        return at
+
+    def hash(self, word: bytes) -> int:
+        """Spark's xxhash64(lang, word)."""
+        return xxhash.xxh64_intdigest(word, self.seed)
 
     def allowed(self, pairs: np.ndarray):
-        hashes = np.array(self.hashes, np.uint64)
+        hashes = np.array([0, 0, *map(self.hash, self.spelled)], np.uint64)
 
         def run(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             h = ((hashes[left] >> np.uint64(8)) ^ (hashes[right] >> np.uint64(29))) & np.uint64(MASK)

@@ -106,3 +106,20 @@ def test_products_beyond_64_bits(spark):
     """The score's arithmetic, with a scale that makes scale * a pass 2^63."""
     rows = [("en", "a b")] * 40
     assert run(spark, rows, scale=10**18 - 1)[0][-1] == (10**18 - 1) * 40 // 80
+
+
+def test_a_shard_holds_words_and_ends_of_pieces_alone():
+    """Neither blanks nor words that the bitmap lacks take room; white space other than blanks and tabs is part of a word."""
+    text = "A a.\tB\x1cA  !\r\n é\xa0A\x00 a"
+    shard = C.Shard(None, None)
+    shard.add("en", text.encode())
+    own = shard.known["en"]
+    assert own.spelled == [b"a", b"b\x1ca", "é\xa0a\x00".encode()]
+    ids = np.concatenate(shard.ids["en"])
+    assert ids.tolist() == [2, 2, END, 3, END, END, END, 4, 2, END] and shard.size == len(ids)
+    bits = np.zeros(1 << (C.BITS - 6), np.uint64)
+    h = own.hash(b"a") & C.MASK
+    bits[h >> 6] |= np.uint64(1 << (h & 63))
+    few = C.Shard(bits, None)
+    few.add("en", text.encode())
+    assert np.concatenate(few.ids["en"]).tolist() == [2, 2, END, OUT, END, END, END, OUT, 2, END] and few.known["en"].spelled == [b"a"]
