@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,85 +127,105 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder(dict):
-    """Token ids of space-separated words as little-endian bytes, remembered up to a limit.
+class Ids:
+    """Token ids of some words, one after another: those of word i are `sizes[i]` ids of `pool` from `starts[i]` on."""
+
+    def __init__(self, pool: np.ndarray, sizes: np.ndarray):
+        self.pool, self.sizes, self.starts = pool, sizes, np.cumsum(sizes) - sizes
+
+    def take(self, at: np.ndarray) -> Ids:
+        """Those of the words at these places, in this order."""
+        sizes = self.sizes[at]
+        after = np.cumsum(sizes)
+        return Ids(self.pool[np.repeat(self.starts[at] - after + sizes, sizes) + np.arange(sizes.sum())], sizes)
+
+    def summed(self, counts: np.ndarray) -> Ids:
+        """Neighbours as one: so many of them each."""
+        after = np.concatenate([[0], np.cumsum(self.sizes)])
+        ends = np.cumsum(counts)
+        return Ids(self.pool, after[ends] - after[ends - counts])
+
+    @classmethod
+    def joined(cls, parts: list[Ids]) -> Ids:
+        return cls(np.concatenate([p.pool for p in parts]), np.concatenate([p.sizes for p in parts]))
+
+
+class Encoder:
+    """Token ids of texts, a batch at a time, with the ids of words seen remembered up to a limit.
 
     White space never joins two words of this tokenizer's pattern, so a text's ids are its words'
     ids one after another. A text with special tokens' strings or with unusual white space is
-    given to the library as a whole. The tokenizer ignores case, so ASCII words are looked up in
-    lower case. It splits letters from marks that follow them, and a word whose last letter is ASCII
-    is looked up without its trailing marks first; other letters may, decomposed, end in a mark that
-    joins with those after it, and are not split. What a text has in new words of lower-case Latin letters
-    goes to the library in one call, which tells the ids of each by its place. When the memory is full it becomes the older
-    generation, from which words in use come back.
+    given to the library as a whole. The other texts of a batch are split together, and each distinct
+    word is looked up once, in a memory that is one array of words and one of ids. The tokenizer ignores
+    case, so A-Z are lowered before, and it splits letters and digits from marks that follow them, so these
+    are parted as well where no composing letter is near. New words of plain letters go to the library's model
+    many in a call, which tells the ids of each by its place; other words are given to the library one by one.
     """
 
-    #: Marks that may trail a word.
-    MARKS = ".,;:!?#&%$*|)]}\""
-    #: Words that normalising leaves as they are and the pattern takes as one piece.
-    PLAIN = re.compile("[a-zß-öø-ÿ]+")
+    #: Texts for the library.
+    ODD = "<[|]|[\\x1c-\\x1f\\x{85}\\x{180e}]"
+    #: Latin letters that normalising leaves as they are; one of them, or a digit, ends a piece before marks like these.
+    LETTERS = "^[a-zß-öø-ÿ]+$"
+    TRAILING = "([a-z0-9ß-öø-ÿ])([.,;:!?#&%$*|)\\]}\"]+)"
+    #: Words in one call of the library.
+    AT_ONCE = 4_000
 
     def __init__(self, tokenizer_json: str, limit: int = 400_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        super().__init__()
         self.limit = limit
-        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(word)
-        if value is None:
-            value = self._parts(word)
-        self[word] = value
-        return value
-
-    def _parts(self, word: str) -> bytes:
-        core = word.rstrip(self.MARKS)
-        if core != word and core and core[-1].isascii() and core[-1].isalpha():
-            return self[core] + self[word[len(core) :]]
-        if word.isascii() and (low := word.lower()) != word:
-            return self[low]
-        if word.isascii() and word.isalpha():
-            # lower-case ASCII letters: normalising and the byte mapping change nothing and the pattern takes them as one piece
-            return pack_ids([t.id for t in self.library.model.tokenize(word)])
-        return self.whole(word)
+        self.model = Tokenizer(self.library.model)  # the same model, for words that are one piece in lower case already
+        self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.ids = pa.array([], pa.string()), Ids(np.empty(0, "<u4"), np.empty(0, np.int64))
 
     def whole(self, text: str) -> bytes:
         return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f\x85\u180e"):
-            return self.whole(text)
-        words = text.split()
-        if not text.isascii():
-            self._learn({w for w in words if w not in self and not w.isascii()})
-        return b"".join(map(self.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        """Takes the plain ones of these words, or what is plain before their trailing marks, into the memory."""
-        plain = set()
-        for word in words:
-            core = word.rstrip(self.MARKS)
-            if core and core[-1].isascii() and core[-1].isalpha():
-                word = core
-            if word not in self and word not in self.older and self.PLAIN.fullmatch(word):
-                plain.add(word)
-        if len(plain) < 2 or len(self) + len(plain) > self.limit:
-            return
-        own = sorted(plain)
-        found = self.library.encode(" ".join(own), add_special_tokens=False)
-        ids, places = np.array(found.ids, "<u4"), np.array(found.word_ids)
-        starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-        if len(starts) == len(own):  # else some word was more than one piece: each is asked for by itself
-            data, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
-            for word, low, high in zip(own, starts.tolist(), ends, strict=True):
-                self[word] = data[4 * low : 4 * high]
+        return bytes(self.encode_all(pa.array([text], pa.string()))[0])
+
+    def encode_all(self, texts: pa.Array) -> list[bytes | memoryview]:
+        """The ids of each of the texts, none of which is null."""
+        odd = pc.match_substring_regex(texts, self.ODD)
+        parted = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(odd, "", texts)), self.TRAILING, "\\1 \\2")
+        split = pc.ascii_split_whitespace(parted)
+        words = split.flatten().dictionary_encode()
+        found = self._known(words.dictionary).take(words.indices.to_numpy()).summed(split.value_lengths().to_numpy())
+        ids, starts = memoryview(found.pool).cast("B"), [*(4 * found.starts).tolist(), 4 * len(found.pool)]
+        return [self.whole(texts[i].as_py()) if is_odd else ids[starts[i] : starts[i + 1]] for i, is_odd in enumerate(odd.to_pylist())]
+
+    def _known(self, words: pa.Array) -> Ids:
+        """The ids of distinct words, which are remembered from now on."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        if len(self.words) + len(new) > self.limit and len(self.words):
+            self.words, self.ids = self.words[:0], Ids(self.ids.pool[:0], self.ids.sizes[:0])
+            return self._known(words)
+        at = at.fill_null(-1).to_numpy()
+        at = np.where(at < 0, len(self.words) - 1 + np.cumsum(at < 0), at)
+        if len(new):
+            plain = pc.match_substring_regex(new, self.LETTERS)
+            own, others = new.filter(plain), new.filter(pc.invert(plain)).to_pylist()
+            order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+            place = np.empty(len(new), np.int64)
+            place[order] = np.arange(len(new))
+            ids = Ids.joined([*(self._letters(own[i : i + self.AT_ONCE]) for i in range(0, len(own), self.AT_ONCE)), self._of_bytes(list(map(self.whole, others)))])
+            self.words, self.ids = pa.concat_arrays([self.words, new]), Ids.joined([self.ids, ids.take(place)])
+        return self.ids.take(at)
+
+    def _letters(self, words: pa.Array) -> Ids:
+        """The ids of words that are one piece of lower-case letters each."""
+        found = self.model.encode(" ".join(words.to_pylist()), add_special_tokens=False)
+        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        return Ids(np.array(found.ids, "<u4"), sizes)
+
+    @staticmethod
+    def _of_bytes(values: list[bytes]) -> Ids:
+        return Ids(np.frombuffer(b"".join(values), "<u4"), np.array([len(v) // 4 for v in values], np.int64))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int = 1, seed: int = 17, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -241,13 +262,13 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: int
         encoder = Encoder(shared.value)
         open_group, names, ids = None, [], []
         for batch in batches:
-            for doc_id, text, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, own, group in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if group != open_group:
                     if ids:
                         yield packed(open_group, names, ids)
                     open_group, names, ids = group, [], []
                 names.append(doc_id)
-                ids.append(encoder.encode(text) + end)
+                ids.append(b"".join((own, end)))
         if ids:
             yield packed(open_group, names, ids)
 

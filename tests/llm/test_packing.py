@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from colloquy.llm.packing import BinTree, Encoder, pack, pack_group
 
@@ -80,3 +81,30 @@ def test_memory_of_words_equals_the_library_on_random_texts():
     for letter in decomposing:
         for mark in ".,*":
             assert encoder.encode(letter + mark) == np.array(library.encode(letter + mark, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_batch_asks_the_library_once_for_all_its_new_words():
+    """Words in any case and with marks behind them are looked up as one, whatever the texts; the memory may be cleared between batches."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = Encoder(f.read(), limit=3_000)
+    library, rng = Tokenizer.from_file(PATH), random.Random(5)
+    words = ["".join(rng.choices("abcdeéñß", k=8)) for _ in range(2_000)]
+    asked = []
+
+    class Counting:
+        def __init__(self, of):
+            self.of = of
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return self.of.encode(text, **options)
+
+    encoder.library, encoder.model = Counting(encoder.library), Counting(encoder.model)
+    for _ in range(3):
+        rng.shuffle(words)
+        texts = [" ".join(rng.choice([w, w + ".", w[0].upper() + w[1:] + ",", w + '?!"']) if w[0].isascii() else w for w in words[i : i + 100]) for i in range(0, 2_000, 50)]
+        texts += ["", " \t", "1.5 a-b <|endoftext|>"]
+        got = encoder.encode_all(pa.array(texts))
+        assert [bytes(x) for x in got] == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        words += ["".join(rng.choices("xyzéñß", k=9)) for _ in range(400)]
+    assert len(asked) < 40
