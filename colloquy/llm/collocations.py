@@ -6,10 +6,13 @@ same places, with the number of those places, its longest and shortest length, a
 state of the longest suffix that ends elsewhere too. Enumerating the states gives every distinct
 substring of the shard with its count, and these are summed by language and phrase.
 
-Three such passes over whole texts go by depth: words, pairs, phrases of up to `LONGEST` words. A phrase
-is no more frequent than any part of it, so each pass leaves out what holds a word, or a pair, with too
-few occurrences in the whole corpus. Tasks know these by a bitmap of fixed size, filled from the exact
-counts of the pass before: a collision lets a rare phrase through to be counted exactly, none is lost.
+Three passes over whole texts go by depth: words, pairs, phrases of up to `LONGEST` words. A phrase is no
+more frequent than any part of it, so each pass leaves out what holds a word, or a pair, with too few
+occurrences in the whole corpus. Tasks know these by a bitmap of fixed size: a collision lets a rare phrase
+through to be counted exactly, none is lost. Most pairs of a corpus are rare, and all that is asked of the
+pass over them is which ones are not. So it counts them by a hash of some 40 bits instead of spelling them:
+a shard's hashes are sorted and packed into some bytes for each, dealt to buckets of bounded size, and
+added up there. The last pass counts pairs and longer phrases exactly.
 
 A phrase of m words falls to a longer one that keeps `kept_percent` of its occurrences. It's enough to
 look one word further, as a still longer phrase is no more frequent: along the suffix link of each
@@ -23,6 +26,7 @@ then by the bytes of the phrase.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +44,10 @@ SHARD_WORDS = 2_000_000
 #: Bits of a bitmap of frequent words or pairs: 4 MB, whatever the corpus.
 BITS = 25
 COUNTS = "lang string, phrase string, count long"
+#: Words of the corpus for each bucket of hashed pairs; a bucket never has more distinct pairs than that, about.
+BUCKET_WORDS = 1_000_000
+#: What a shard has in one bucket: sorted 32-bit hashes by their four bytes, high ones first, then counts of 16 bits.
+PACKED = "bucket long, hashes binary, counts binary"
 
 #: A-Z in lower case, then the marks that end a piece as `STOP`, which is in no word any more, and tabs as blanks.
 STOP = b"A"
@@ -123,6 +131,16 @@ class Shard:
         self.ids.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
         self.size += len(found)
 
+    def pairs_by_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pairs of words, and how often each occurs."""
+        found = []
+        for lang, parts in self.ids.items():
+            ids, own = np.concatenate(parts), self.known[lang].hashes()
+            left, right = ids[:-1], ids[1:]
+            has = (left > OUT) & (right > OUT)
+            found.append(pair_hashes(own[left[has]], own[right[has]]))
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+
     def counts(self, shortest: int, longest: int) -> Batches:
         """Rows of lang, phrase and count for the lengths asked for; for words, also a row of no phrase with the count of all."""
         for lang, parts in self.ids.items():
@@ -168,18 +186,27 @@ class Ids(dict):
         return xxhash.xxh64_intdigest(word, self.seed)
 
     def allowed(self, pairs: np.ndarray):
-        hashes = np.array([0, 0, *map(self.hash, self.spelled)], np.uint64)
+        hashes = self.hashes()
 
         def run(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            h = ((hashes[left] >> np.uint64(8)) ^ (hashes[right] >> np.uint64(29))) & np.uint64(MASK)
+            h = pair_hashes(hashes[left], hashes[right]) & np.uint64(MASK)
             return (pairs[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
         return run
 
+    def hashes(self) -> np.ndarray:
+        """By id; 0 for END and OUT."""
+        return np.array([0, 0, *map(self.hash, self.spelled)], np.uint64)
+
 
 MASK = (1 << BITS) - 1
 
 
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of pairs of words given by their hashes; the lowest bits are those of `pair_place`."""
+    return (left >> np.uint64(8)) ^ ((right >> np.uint64(29)) | (right << np.uint64(35)))
+
+
 def word_place(lang: Column, word: Column) -> Column:
     return F.xxhash64(lang, word).bitwiseAND(F.lit(MASK))
 
@@ -196,23 +223,78 @@ def bitmap(places: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def packed(hashes: np.ndarray, times: np.ndarray, buckets: int) -> Batches:
+    """The hashes and how often each occurs, as rows of `PACKED`."""
+    bucket, low = (hashes >> np.uint64(32)) % np.uint64(buckets), hashes & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((low, bucket))
+    bucket, low, times = bucket[order], low[order].astype(">u4"), times[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+    for i in range(0, len(starts), 1_000):
+        named, planes, counts = [], [], []
+        for a, b in zip(starts[i : i + 1_000], [*starts[i + 1 : i + 1_000], *starts[i + 1_000 : i + 1_001], len(low)], strict=False):
+            named.append(int(bucket[a]))
+            planes.append(low[a:b].view(np.uint8).reshape(-1, 4).T.tobytes())
+            counts.append(np.minimum(times[a:b], 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(planes, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "hashes", "counts"])
+
+
+def unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Those of one row of `PACKED`."""
+    low = np.ascontiguousarray(np.frombuffer(hashes, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32)
+    return low, np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
+def frequent_pairs(docs: DataFrame, least: int, words: np.ndarray, total: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """`place` in the bitmap of each pair of allowed words that occurs at least `least` times, and rarely of another of the same hash.
+
+    `total` is the number of words of the corpus. A count of 65,535 in a shard stands for any larger one, which is enough.
+    """
+    shared, buckets = docs.sparkSession.sparkContext.broadcast(words), max(1, -(-total // BUCKET_WORDS))
+    least = min(least, 0xFFFF)
+
+    @freeing
+    def run(batches: Batches) -> Batches:
+        for shard in shards(batches, shared.value, None, shard_words):
+            yield from packed(*shard.pairs_by_hash(), buckets)
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = [unpacked(h, c) for h, c in zip(rows["hashes"].to_pylist(), rows["counts"].to_pylist(), strict=True)]
+        low = np.concatenate([p[0] for p in parts])
+        order = np.argsort(low)
+        low, times = low[order], np.concatenate([p[1] for p in parts])[order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
+        found = low[starts][np.add.reduceat(times, starts) >= least]
+        return pa.table({"place": pa.array((found & MASK).astype(np.int64))})
+
+    return texts_of(docs).mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(add, "place long")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def shards(batches: Batches, words: np.ndarray | None, pairs: np.ndarray | None, shard_words: int) -> Iterator[Shard]:
+    """The shards of a task's rows of lang and text, one after another."""
+    shard = Shard(words, pairs)
+    for rows in batches:
+        for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()), strict=True):
+            shard.add(lang, text.as_py())
+            if shard.size >= shard_words:
+                yield shard
+                shard = Shard(words, pairs)
+    yield shard
+
+
 def phrase_counts(docs: DataFrame, shortest: int, longest: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """lang, phrase and f of the phrases whose length lies between the two, as far as the bitmaps allow them; f of no phrase counts all words."""
     shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     @freeing
     def run(batches: Batches) -> Batches:
-        shard = Shard(*shared.value)
-        for rows in batches:
-            for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()), strict=True):
-                shard.add(lang, text.as_py())
-                if shard.size >= shard_words:
-                    yield from shard.counts(shortest, longest)
-                    shard = Shard(*shared.value)
-        yield from shard.counts(shortest, longest)
+        for shard in shards(batches, *shared.value, shard_words):
+            yield from shard.counts(shortest, longest)
 
-    whole = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
+    return texts_of(docs).mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
 
 
 def collocations(docs: DataFrame, least: int = 30, kept_percent: int = 80, best: int = 2000, scale: int = 2_000_000, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -225,12 +307,12 @@ def collocations(docs: DataFrame, least: int = 30, kept_percent: int = 80, best:
     words = written(phrase_counts(docs, 1, 1, shard_words=shard_words).where(f"phrase is null or f >= {least}"))
     n, words = words.where("phrase is null").select("lang", F.col("f").alias("n")), words.where("phrase is not null")
     word_bits = bitmap(words.select(word_place(F.col("lang"), F.col("phrase")).alias("place")))
-    pairs = written(phrase_counts(docs, 2, 2, word_bits, shard_words=shard_words).where(f"f >= {least}"))
-    pair_bits = bitmap(pairs.select(pair_place(F.col("lang"), F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)).alias("place")))
-    longer = written(phrase_counts(docs, 3, LONGEST, word_bits, pair_bits, shard_words=shard_words).where(f"f >= {least}"))
+    total = int(n.agg(F.sum("n")).first()[0] or 0)
+    pair_bits = bitmap(frequent_pairs(docs, least, word_bits, total, shard_words))
+    phrases = written(phrase_counts(docs, 2, LONGEST, word_bits, pair_bits, shard_words).where(f"f >= {least}"))
 
     size = F.size(F.split("phrase", " ")).alias("size")
-    found = pairs.unionByName(longer).select("lang", "phrase", F.col("f").alias("a"), size)
+    found = phrases.select("lang", "phrase", F.col("f").alias("a"), size)
     # the suffix link of a phrase leads to its last words; its first words lie inside it as well
     inside = found.where("size > 2").select("lang", "a", F.explode(F.array(F.expr("substring_index(phrase, ' ', 1 - size)"), F.expr("substring_index(phrase, ' ', size - 1)"))).alias("phrase"))
     most = inside.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
@@ -238,7 +320,7 @@ def collocations(docs: DataFrame, least: int = 30, kept_percent: int = 80, best:
 
     cuts = own.select("lang", "phrase", "a", "size", F.explode(F.expr("sequence(1, size - 1)")).alias("k"))
     cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)")).withColumn("right", F.expr("substring_index(phrase, ' ', k - size)"))
-    parts = words.unionByName(pairs).unionByName(longer.where(F.size(F.split("phrase", " ")) < LONGEST))
+    parts = words.unionByName(phrases.where(F.size(F.split("phrase", " ")) < LONGEST))
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     score = F.expr(f"(cast({scale} as decimal(18,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")

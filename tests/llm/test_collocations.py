@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from colloquy.llm import collocations as C
 from colloquy.llm.collocations import END, OUT, automaton, collocations
@@ -123,3 +124,29 @@ def test_a_shard_holds_words_and_ends_of_pieces_alone():
     few = C.Shard(bits, None)
     few.add("en", text.encode())
     assert np.concatenate(few.ids["en"]).tolist() == [2, 2, END, OUT, END, END, END, OUT, 2, END] and few.known["en"].spelled == [b"a"]
+
+
+def test_pairs_leave_a_shard_as_packed_hashes():
+    """A few bytes for each pair, and every count comes back."""
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64))
+    times = rng.choice([1, 1, 1, 2, 40, 70_000], len(hashes))
+    rows = [r for b in C.packed(hashes, times, 7) for r in b.to_pylist()]
+    assert sorted(r["bucket"] for r in rows) == list(range(7))
+    got = {}
+    for r in rows:
+        low, counts = C.unpacked(r["hashes"], r["counts"])
+        got |= {(r["bucket"], int(x)): int(c) for x, c in zip(low, counts, strict=True)}
+    assert got == {(int(h >> np.uint64(32)) % 7, int(h) & 0xFFFFFFFF): min(int(t), 0xFFFF) for h, t in zip(hashes, times, strict=True)}
+    assert sum(len(pa.compress(r[k], "lz4", asbytes=True)) for r in rows for k in ("hashes", "counts")) < 4.5 * len(hashes)
+
+
+def test_hashed_counts_find_the_frequent_pairs_of_all_shards(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("en", "new york")] * 29 + [("en", "old york")] * 30 + [("de", "new york")] * 30
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    every = np.full(1 << (C.BITS - 6), ~np.uint64(0), np.uint64)
+    got = {r.place for r in C.frequent_pairs(docs, 30, every, 3_500_000, shard_words=4).collect()}
+    named = spark.createDataFrame([("en", "old", "york"), ("de", "new", "york")], "lang string, v string, w string")
+    assert got == {r.place for r in named.select(C.pair_place(F.col("lang"), F.col("v"), F.col("w")).alias("place")).collect()}
