@@ -6,13 +6,13 @@ same places, with the number of those places, its longest and shortest length, a
 state of the longest suffix that ends elsewhere too. Enumerating the states gives every distinct
 substring of the shard with its count, and these are summed by language and phrase.
 
-Three passes over whole texts go by depth: words, pairs, phrases of up to `LONGEST` words. A phrase is no
+Four passes over whole texts go by depth: words, pairs, phrases of up to `LONGEST` words. A phrase is no
 more frequent than any part of it, so each pass leaves out what holds a word, or a pair, with too few
 occurrences in the whole corpus. Tasks know these by a bitmap of fixed size: a collision lets a rare phrase
-through to be counted exactly, none is lost. Most pairs of a corpus are rare, and all that is asked of the
-pass over them is which ones are not. So it counts them by a hash of some 40 bits instead of spelling them:
-a shard's hashes are sorted and packed into some bytes for each, dealt to buckets of bounded size, and
-added up there. The last pass counts pairs and longer phrases exactly.
+through to be counted exactly, none is lost. Most phrases of a corpus are rare, and all that is asked of the
+passes over pairs and over longer phrases is which ones are not. So these count by a hash of some 40 bits
+instead of spelling: a shard's hashes are sorted and packed into some bytes for each, dealt to buckets of
+bounded size, and added up there. The last pass spells and counts exactly what they let through.
 
 A phrase of m words falls to a longer one that keeps `kept_percent` of its occurrences. It's enough to
 look one word further, as a still longer phrase is no more frequent: along the suffix link of each
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, freeing, small_batches, written
+from .common import STEPS, Batches, freeing, mixed, small_batches, written
 
 LONGEST = 4
 #: Words of a shard, about; what is in memory at once is some hundred bytes for each.
@@ -117,8 +117,8 @@ def automaton(ids: np.ndarray, depth: int, pair_allowed=None) -> Automaton:
 class Shard:
     """Words of documents by language, as ids; what `counts` gives of them."""
 
-    def __init__(self, words: np.ndarray | None, pairs: np.ndarray | None):
-        self.words, self.pairs = words, pairs
+    def __init__(self, words: np.ndarray | None, pairs: np.ndarray | None, longer: np.ndarray | None = None):
+        self.words, self.pairs, self.longer = words, pairs, longer
         self.ids: dict[str, list[np.ndarray]] = {}
         self.known: dict[str, dict[bytes, int]] = {}
         self.size = 0
@@ -131,14 +131,22 @@ class Shard:
         self.ids.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
         self.size += len(found)
 
-    def pairs_by_hash(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the pairs of words, and how often each occurs."""
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pairs of words, and how often each occurs; where pairs are known already, of longer phrases of such pairs."""
         found = []
         for lang, parts in self.ids.items():
             ids, own = np.concatenate(parts), self.known[lang].hashes()
-            left, right = ids[:-1], ids[1:]
-            has = (left > OUT) & (right > OUT)
-            found.append(pair_hashes(own[left[has]], own[right[has]]))
+            at = np.flatnonzero((ids[:-1] > OUT) & (ids[1:] > OUT))
+            if self.pairs is None:
+                found.append(pair_hashes(own[ids[at]], own[ids[at + 1]]))
+                continue
+            at = at[self.known[lang].allowed(self.pairs)(ids[at], ids[at + 1])]
+            pairs = np.zeros(len(ids), bool)
+            pairs[at] = True
+            for k in range(3, LONGEST + 1):
+                at = at[:-1] if len(at) and at[-1] + k > len(ids) else at
+                at = at[pairs[at + k - 2]]
+                found.append(phrase_hashes([own[ids[at + i]] for i in range(k)]))
         return np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
 
     def counts(self, shortest: int, longest: int) -> Batches:
@@ -149,14 +157,17 @@ class Shard:
             if shortest == 1:
                 yield batch(lang, pa.array([None], pa.binary()), np.array([np.count_nonzero(ids != END)]))
             allowed = None if self.pairs is None else own.allowed(self.pairs)
-            states = automaton(ids, longest, allowed)
+            states, hashes = automaton(ids, longest, allowed), None if self.longer is None else own.hashes()
             for k in range(shortest, longest + 1):
                 has = (states.shortest <= k) & (k <= states.longest)
-                at = states.last[has]
+                at, times = states.last[has], states.endpos[has]
+                if k > 2 and self.longer is not None:
+                    kept = in_bitmap(self.longer, phrase_hashes([hashes[ids[at - back]] for back in range(k - 1, -1, -1)]))
+                    at, times = at[kept], times[kept]
                 for i in range(0, len(at), 100_000):
                     ends = at[i : i + 100_000]
                     said = [spelled.take(pa.array(ids[ends - back])) for back in range(k - 1, -1, -1)]
-                    yield batch(lang, pc.binary_join_element_wise(*said, b" ") if k > 1 else said[0], states.endpos[has][i : i + 100_000])
+                    yield batch(lang, pc.binary_join_element_wise(*said, b" ") if k > 1 else said[0], times[i : i + 100_000])
 
 
 def batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
@@ -189,8 +200,7 @@ class Ids(dict):
         hashes = self.hashes()
 
         def run(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            h = pair_hashes(hashes[left], hashes[right]) & np.uint64(MASK)
-            return (pairs[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            return in_bitmap(pairs, pair_hashes(hashes[left], hashes[right]))
 
         return run
 
@@ -223,6 +233,19 @@ def bitmap(places: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """Of phrases given by the hashes of their first words, their second words and so on."""
+    total = np.full(len(words[0]), len(words), np.uint64)
+    for step, own in zip(STEPS, words, strict=False):
+        total = mixed(total + own * np.uint64(step))
+    return total
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    h = hashes & np.uint64(MASK)
+    return (bits[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def packed(hashes: np.ndarray, times: np.ndarray, buckets: int) -> Batches:
     """The hashes and how often each occurs, as rows of `PACKED`."""
     bucket, low = (hashes >> np.uint64(32)) % np.uint64(buckets), hashes & np.uint64(0xFFFFFFFF)
@@ -244,18 +267,19 @@ def unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low, np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(2, -1).T).view("<u2").ravel()
 
 
-def frequent_pairs(docs: DataFrame, least: int, words: np.ndarray, total: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`place` in the bitmap of each pair of allowed words that occurs at least `least` times, and rarely of another of the same hash.
+def frequent(docs: DataFrame, least: int, words: np.ndarray, pairs: np.ndarray | None, total: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """`place` in a bitmap of each pair of allowed words that occurs at least `least` times, and rarely of another of the same
+    hash; given the bitmap of `pairs`, of each longer phrase of allowed pairs.
 
     `total` is the number of words of the corpus. A count of 65,535 in a shard stands for any larger one, which is enough.
     """
-    shared, buckets = docs.sparkSession.sparkContext.broadcast(words), max(1, -(-total // BUCKET_WORDS))
+    shared, buckets = docs.sparkSession.sparkContext.broadcast((words, pairs)), max(1, -(-total // BUCKET_WORDS))
     least = min(least, 0xFFFF)
 
     @freeing
     def run(batches: Batches) -> Batches:
-        for shard in shards(batches, shared.value, None, shard_words):
-            yield from packed(*shard.pairs_by_hash(), buckets)
+        for shard in shards(batches, *shared.value, None, shard_words):
+            yield from packed(*shard.hashed(), buckets)
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         parts = [unpacked(h, c) for h, c in zip(rows["hashes"].to_pylist(), rows["counts"].to_pylist(), strict=True)]
@@ -273,21 +297,21 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def shards(batches: Batches, words: np.ndarray | None, pairs: np.ndarray | None, shard_words: int) -> Iterator[Shard]:
+def shards(batches: Batches, words: np.ndarray | None, pairs: np.ndarray | None, longer: np.ndarray | None, shard_words: int) -> Iterator[Shard]:
     """The shards of a task's rows of lang and text, one after another."""
-    shard = Shard(words, pairs)
+    shard = Shard(words, pairs, longer)
     for rows in batches:
         for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()), strict=True):
             shard.add(lang, text.as_py())
             if shard.size >= shard_words:
                 yield shard
-                shard = Shard(words, pairs)
+                shard = Shard(words, pairs, longer)
     yield shard
 
 
-def phrase_counts(docs: DataFrame, shortest: int, longest: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
+def phrase_counts(docs: DataFrame, shortest: int, longest: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None, longer: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """lang, phrase and f of the phrases whose length lies between the two, as far as the bitmaps allow them; f of no phrase counts all words."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs, longer))
 
     @freeing
     def run(batches: Batches) -> Batches:
@@ -308,8 +332,9 @@ def collocations(docs: DataFrame, least: int = 30, kept_percent: int = 80, best:
     n, words = words.where("phrase is null").select("lang", F.col("f").alias("n")), words.where("phrase is not null")
     word_bits = bitmap(words.select(word_place(F.col("lang"), F.col("phrase")).alias("place")))
     total = int(n.agg(F.sum("n")).first()[0] or 0)
-    pair_bits = bitmap(frequent_pairs(docs, least, word_bits, total, shard_words))
-    phrases = written(phrase_counts(docs, 2, LONGEST, word_bits, pair_bits, shard_words).where(f"f >= {least}"))
+    pair_bits = bitmap(frequent(docs, least, word_bits, None, total, shard_words))
+    longer_bits = bitmap(frequent(docs, least, word_bits, pair_bits, total, shard_words))
+    phrases = written(phrase_counts(docs, 2, LONGEST, word_bits, pair_bits, longer_bits, shard_words).where(f"f >= {least}"))
 
     size = F.size(F.split("phrase", " ")).alias("size")
     found = phrases.select("lang", "phrase", F.col("f").alias("a"), size)

@@ -147,6 +147,24 @@ def test_hashed_counts_find_the_frequent_pairs_of_all_shards(spark):
     rows = [("en", "new york")] * 29 + [("en", "old york")] * 30 + [("de", "new york")] * 30
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     every = np.full(1 << (C.BITS - 6), ~np.uint64(0), np.uint64)
-    got = {r.place for r in C.frequent_pairs(docs, 30, every, 3_500_000, shard_words=4).collect()}
+    got = {r.place for r in C.frequent(docs, 30, every, None, 3_500_000, shard_words=4).collect()}
     named = spark.createDataFrame([("en", "old", "york"), ("de", "new", "york")], "lang string, v string, w string")
     assert got == {r.place for r in named.select(C.pair_place(F.col("lang"), F.col("v"), F.col("w")).alias("place")).collect()}
+
+
+def test_rare_phrases_of_frequent_pairs_are_not_spelled():
+    """What leaves a shard in the last pass is what the bitmaps let through."""
+    every, none = np.full(1 << (C.BITS - 6), ~np.uint64(0), np.uint64), np.zeros(1 << (C.BITS - 6), np.uint64)
+    spelled = {}
+    for name, longer in (("all", every), ("none", none)):
+        shard = C.Shard(every, every, longer)
+        shard.add("en", b"a b c d a b, c")
+        spelled[name] = {(r["phrase"], r["count"]) for b in shard.counts(2, C.LONGEST) for r in b.to_pylist()}
+    assert spelled["none"] == {("a b", 2), ("b c", 1), ("c d", 1), ("d a", 1)}
+    assert spelled["all"] - spelled["none"] == {(p, 1) for p in ("a b c", "b c d", "c d a", "d a b", "a b c d", "b c d a", "c d a b")}
+    shard = C.Shard(every, every)
+    shard.add("en", b"a b c d a b, c")
+    own = shard.known["en"]
+    found = {p: int(C.phrase_hashes([np.array([own.hash(w.encode())], np.uint64) for w in p.split()])[0]) for p, _ in spelled["all"] - spelled["none"]}
+    hashes, times = shard.hashed()
+    assert sorted(found.values()) == hashes.tolist() and set(times) == {1}
